@@ -207,10 +207,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about SLICE bytes of text each."""
+def _slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes of text each."""
     sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
-    marks = np.cumsum(sizes) // SLICE
+    marks = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(sizes)]
     yield from ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
