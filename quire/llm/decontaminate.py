@@ -19,13 +19,14 @@ from quire.llm.quality import _bytes_of, _slices
 BLOCK = 16
 #: Hashed terms, columns of the sketch, and singular directions kept of it.
 TERMS, SKETCH, KEPT = 8192, 64, 48
-#: Cosine from which a passage is a candidate.
-COSINE = 0.5
+#: Cosine from which a passage is a candidate, by the words of the item: one that fills a passage only in part gets
+#: further from it.
+COSINES = ((28, 0.1), (40, 0.3), (1 << 31, 0.45))
 #: A document leaks an item when their longest common subsequence of words covers CLEAR of the item, or PARAPHRASE of
 #: it and ANSWER of the item's answer.
 CLEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 #: A candidate passage holds words with at least this part of the item's inverse frequencies, as far as they fit in.
-SHARED = 0.45
+SHARED = 0.55
 #: The subsequence lies within so many times the item's words.
 STRETCH = 1.5
 #: Items of fewer words say too little and are left out.
@@ -281,7 +282,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Every document is cut into overlapping passages. Term statistics and a randomised SVD of their TF-IDF matrix cover
     the whole corpus; every passage is then compared with every item's passages in the latent space, and each pair
-    from COSINE on is checked by the longest common subsequence of words around it and by the item's answer. One row
+    from COSINES on is checked by the longest common subsequence of words around it and by the item's answer. One row
     per text and item, with the best passage's figures (``word`` is where it begins).
 
     Null and empty texts hold nothing; null ids are reported as null. Repeated rows are reported once (equal id and
@@ -328,6 +329,7 @@ def _searched(stored: DataFrame, items: list[Item], table: np.ndarray, weight: n
     for k, i in enumerate(items):
         member[k, i.words & (TERMS - 1)] = True
     whole = np.array([weight[i.words & (TERMS - 1)].sum() * min(1, 1.5 * BLOCK / len(i.words)) for i in items])
+    limits = np.array([next(c for n, c in COSINES if len(items[k].words) < n) for k in owner], np.float32)
     queries = _unit(np.stack([table[items[k].words[a : a + 2 * BLOCK] & (TERMS - 1)].sum(axis=0) for k, a in spans])).T.copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +347,7 @@ def _searched(stored: DataFrame, items: list[Item], table: np.ndarray, weight: n
                 weights = weight[blocks]
                 for k in range(0, len(z), 4096):
                     cosine = z[k : k + 4096] @ queries
-                    near, which = np.nonzero(cosine >= COSINE)
+                    near, which = np.nonzero(cosine >= limits)
                     item, block, after = owner[which], at[k + near], follow[k + near]
                     shared = (member[item[:, None], blocks[block]] * weights[block]).sum(axis=1)
                     shared += np.where((after >= 0) & (after != block), (member[item[:, None], blocks[after]] * weights[after]).sum(axis=1), 0)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard, packing, pii, quality, search, sharding, spans, warc
+from quire.llm import decontaminate, jaccard, packing, pii, quality, search, secrets, sharding, spans, warc
 from quire.llm.common import new_path, table
 
 #: A key for these queries; whoever runs the operator gives one of their own.
@@ -40,6 +40,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train())
+
+
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
     "op5_topk": op5_topk,
+    "op6_secrets": op6_secrets,
     "op7_spans": op7_spans,
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
