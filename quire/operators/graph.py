@@ -91,7 +91,7 @@ def add_relationships(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         r = r.join(own, match).withColumn("_k", F.row_number().over(W.partitionBy("book", "ord").orderBy("_rank"))).where("_k = 1").drop("_b", "_ref_name", "_first", "_rank", "_k")
     r = r.where("source_id != target_id")
     default = F.concat("source_name", F.lit(" 与 "), "target_name", F.lit(" 存在 "), "relation_type", F.lit(" 关系。"))
-    r = r.withColumn("description", F.coalesce(T.compact_text(F.col("description")), default)).withColumn("evidence", F.left(T.compact_text(F.col("evidence")), F.lit(260)))
+    r = r.withColumn("description", F.when(F.col("description").isNull(), default).otherwise(T.compact_text(F.col("description")))).withColumn("evidence", F.left(T.compact_text(F.col("evidence")), F.lit(260)))
     r = first_wins(r, ["book", "source_id", "target_id", "relation_type", "description"], "ord")
     number = F.row_number().over(W.partitionBy("book").orderBy("ord"))
     fact = ~F.coalesce(F.col("derived"), F.lit(False))

@@ -168,7 +168,10 @@ def graph_payloads(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
 
 
 def read_env(spark: SparkSession, path: str) -> DataFrame:
-    """Names and values of an environment file; comments and blank lines go, quotes around a value too."""
+    """Names and values of an environment file; comments and blank lines go, quotes around a value too.
+
+    Spark passes over files whose names begin with a dot, so the file needs another name.
+    """
     line = T.strip(F.col("value"))
     value = T.strip(F.regexp_extract(line, r"^(?:export\s+)?[A-Za-z_][A-Za-z0-9_]*\s*=(.*)\z", 1))
     name = F.regexp_extract(line, r"^(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=", 1)
