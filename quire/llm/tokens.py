@@ -14,8 +14,8 @@ import regex
 #: Fixed value: the pre-tokenizer pattern of the word vocabulary file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT = regex.compile(WORD_PATTERN)
-#: Entries kept per Python worker in each memory (about 200 MB together).
-CHUNKS, WORDS = 400_000, 600_000
+#: Entries kept per Python worker in each memory (about 330 MB together).
+CHUNKS, WORDS = 800_000, 1_000_000
 
 
 class ChunkIds:
