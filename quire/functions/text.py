@@ -356,14 +356,14 @@ def approval(c: Column) -> Column:
     return F.when(t.isin(*APPROVALS), whole).when(word != "", part)
 
 
-def permission_ask(index: Column, total: Column, permission: Column, patterns: Column, metadata: Column) -> Column:
+def permission_ask(index: Column, total: Column, permission: Column, patterns: Column, metadata: Column, agent: str = "agent") -> Column:
     """The message that asks for a permission; a long change is cut."""
     diff = metadata["diff"]
     cut = F.when(F.length(diff) > 1500, F.concat(F.left(diff, F.lit(1500)), F.lit("\n…(已截断)"))).otherwise(diff)
     filled = lambda c: F.when(c != "", c)
     return F.concat_ws(
         "\n",
-        F.format_string("🔐 opencode 请求授权（%d/%d）", index + 1, total),
+        F.format_string(f"🔐 {agent} 请求授权（%d/%d）", index + 1, total),
         F.concat(F.lit("操作："), permission),
         F.when(F.size(patterns) > 0, F.concat(F.lit("范围："), F.array_join(patterns, "、"))),
         F.concat(F.lit("文件："), filled(metadata["filepath"])),

@@ -147,7 +147,7 @@ def pdf_chapters(items: DataFrame) -> DataFrame:
     return segment.heading_scan(kept)
 
 
-def parsed_books(spark: SparkSession, folder: str, prefix: str = "preParseTextbook2JSON-") -> DataFrame:
+def parsed_books(spark: SparkSession, folder: str, prefix: str = "textbook-") -> DataFrame:
     """Parsed textbooks of a folder, the first file of each identity winning; total characters are filled in where missing."""
     books = spark.read.option("multiLine", True).option("pathGlobFilter", f"{prefix}*.json").json(folder).withColumn("file", T.basename(F.col("_metadata.file_path")))
     books = books.where(~F.col("file").endswith(".summary.json"))

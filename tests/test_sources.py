@@ -60,7 +60,7 @@ def test_addresses():
 
 def test_parsed_books_and_graphs(spark, tmp_path):
     chapter = {"chapter_id": "ch_01", "content": "abc", "char_count": None}
-    for name, book in (("preParseTextbook2JSON-1.json", {"textbook_id": "t", "chapters": [chapter, chapter | {"char_count": 10}]}), ("preParseTextbook2JSON-2.json", {"textbook_id": "t", "total_chars": 99, "chapters": [chapter]}), ("preParseTextbook2JSON-3.summary.json", {"textbook_id": "s", "chapters": []})):
+    for name, book in (("textbook-1.json", {"textbook_id": "t", "chapters": [chapter, chapter | {"char_count": 10}]}), ("textbook-2.json", {"textbook_id": "t", "total_chars": 99, "chapters": [chapter]}), ("textbook-3.summary.json", {"textbook_id": "s", "chapters": []})):
         (tmp_path / name).write_text(json.dumps(book, indent=1))
     got = files.parsed_books(spark, str(tmp_path)).collect()
     assert [(r["identity"], r["total_chars"]) for r in got] == [("t", 13)]
