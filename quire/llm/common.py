@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +49,31 @@ def free_name(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+#: Bits of a membership map: 1024 rows of 4 KB, whatever the number of keys.
+_BITS, _ROW_BITS = 1 << 25, 1 << 15
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_BITS))
+
+
+def membership(keys: DataFrame, key: str) -> DataFrame:
+    """A bit map of hashed keys (row, bits) of at most 4 MB, so that it can be sent to every executor."""
+    at = _place(F.col(key))
+    rows = keys.select(F.floor(at / _ROW_BITS).cast("int").alias("row"), (at % _ROW_BITS).alias("bit"))
+    return rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def marked_members(df: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name``: false where the key is surely not among those of the map.
+
+    With more keys than bits all rows are marked, so what follows is right at any size.
+    """
+    row, value = free_name([*df.columns, name], "bits_row"), free_name([*df.columns, name], "bits_value")
+    at = _place(key)
+    joined = df.withColumn(row, F.floor(at / _ROW_BITS).cast("int")).join(F.broadcast(bits.toDF(row, value)), row, "left")
+    bit = (at % _ROW_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(value), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn(name, F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))).drop(row, value)

@@ -26,6 +26,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     Each round is checkpointed to the shared folder; only counts come to the driver. A node that links to itself is a
     component. The number of rounds grows with the logarithm of the nodes.
     """
+    links = checkpointed(links.select("a", "b"))  # it is read twice below
     nodes = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
     state = checkpointed(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None

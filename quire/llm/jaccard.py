@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, written
+from quire.llm.common import free_name, marked_members, membership, written
 from quire.llm.components import components
 
 #: Words of a shingle and the similarity from which texts are linked.
@@ -206,7 +206,9 @@ def _candidates(classes: DataFrame, needed: list[int]) -> DataFrame:
 def _verified(docs: DataFrame, members: DataFrame, words: int, threshold: float, needed: list[int]) -> DataFrame:
     """(a, b, n) for each class and block: n links of class a, one of them leading to b by way of others."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    members = written(members, "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    texts = marked_members(texts, F.col("th"), membership(members, "th"), "likely").where("likely").drop("likely")  # else every text is shuffled
     joined = texts.join(members.withColumnRenamed("doc_id", "rep"), (F.col("doc_id").eqNullSafe(F.col("rep"))) & (texts["th"] == members["th"])).select("root", "size", "c", "text").dropDuplicates(["c"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +294,15 @@ def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD)
 
     Of rows with equal id and text one stays. Texts without a word all stay, but for such repeats. Columns are kept.
     """
-    found = near_duplicates(docs, words, threshold)
-    spare = found.where(F.col("class_id").isNotNull())
+    found = written(near_duplicates(docs, words, threshold).select("doc_id", "th", "class_id"), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
-    best = spare.groupBy("class_id").agg(F.min(order).alias("k")).select("k.doc_id", "k.th").unionByName(found.where(F.col("class_id").isNull()).select("doc_id", "th"))
-    i, t, own = (free_name(docs.columns, n) for n in ("kept_id", "kept_th", "own_th"))
-    best = best.toDF(i, t).distinct()
+    best = found.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.min(order).alias("k")).select("k.doc_id", "k.th")
+    best = best.unionByName(found.where(F.col("class_id").isNull()).select("doc_id", "th")).toDF("best_id", "best_th")
+    spare = found.select("doc_id", "th").distinct().join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("th") == F.col("best_th")), "left_anti")
+    again = found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "th")
+    i, t, own, touched = (free_name(docs.columns, n) for n in ("spare_id", "spare_th", "own_th", "touched"))
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = marked.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(t)), "left_semi")
-    return joined.dropDuplicates(["doc_id", own]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = marked_members(marked, F.col(own), membership(spare.unionByName(again), "th"), touched)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = marked.where(F.col(touched)).join(spare.toDF(i, t), F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(t)), "left_anti")
+    return marked.where(~F.col(touched)).select(columns).unionByName(rest.dropDuplicates(["doc_id", own]).select(columns))
