@@ -32,9 +32,13 @@ def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return pii.pseudonymise(docs, PII_KEY)
 
 
+#: Chunks and words whose ids a Python worker keeps; the workers hold the other stages' memory too.
+PACKING_MEMORY = (120_000, 200_000)
+
+
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of tokens."""
-    return packing.pack(docs, WORD_VOCABULARY)
+    return packing.pack(docs, WORD_VOCABULARY, memory=PACKING_MEMORY)
 
 
 STAGES = [
