@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import chunk_ids
+from quire.llm.tokens import CHUNKS, WORDS, chunk_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padding long"
 #: Local sequence numbers of a block stay below this.
@@ -137,13 +137,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, block_docs: int = 256) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, block_docs: int = 256, memory: tuple[int, int] = (CHUNKS, WORDS)) -> DataFrame:
     """Packs every document's ids (then ``end_id``) into windows of at most ``window`` tokens.
 
     Documents are taken in order of ``doc_id`` in blocks of ``block_docs`` neighbouring ids; each block is packed by
     itself, so a task holds one block and results depend neither on partitions nor on retries. Returns one row per
     piece: doc_id, start and length within the document's ids, CRC-32 of the piece's ids, tokens of the document,
-    sequence_id, offset in the sequence, sequence_length and the sequence's padding.
+    sequence_id, offset in the sequence, sequence_length and the sequence's padding. ``memory`` bounds the chunks and
+    words whose ids a Python worker keeps; it changes the speed, not the result.
 
     Null text counts as empty (one piece that holds ``end_id``). Null ids form blocks of their own, dealt by the text.
     Rows with equal ids are all packed, in order of their texts. An empty table gives no rows; other columns of the
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
         raise ValueError("window must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, block, at, out = chunk_ids(vocabulary), None, None, []
+        ids, block, at, out = chunk_ids(vocabulary, memory), None, None, []
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)

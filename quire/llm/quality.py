@@ -16,7 +16,7 @@ SAMPLE, SAMPLE_LINES = 1500, 300
 #: Documents whose score is at least this are predicted to be good.
 THRESHOLD = 0.7
 #: Text of about so many bytes is worked on at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 STEPS, RATE, DECAY = 160, 0.08, 1e-4
 
 #: Byte classes that lines are counted by.

@@ -21,7 +21,8 @@ CHUNKS, WORDS = 400_000, 600_000
 class ChunkIds:
     """Ids of chunks as bytes of unsigned 32-bit little-endian integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: tuple[int, int] = (CHUNKS, WORDS)) -> None:
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
@@ -69,9 +70,9 @@ class ChunkIds:
                 new.update((w, self.direct(w)) for w in some)
         for chunk, ws in parts.items():
             out[chunk] = b"".join([known[w] if w in known else new[w] for w in ws])
-        if len(known) < WORDS:
+        if len(known) < self.memory[1]:
             known.update(new)
-        if len(self.chunks) < CHUNKS:
+        if len(self.chunks) < self.memory[0]:
             self.chunks.update(out)
         return out
 
@@ -89,8 +90,9 @@ class ChunkIds:
 _KEPT: dict[str, ChunkIds] = {}
 
 
-def chunk_ids(path: str) -> ChunkIds:
-    """One per Python worker and vocabulary file."""
+def chunk_ids(path: str, memory: tuple[int, int] = (CHUNKS, WORDS)) -> ChunkIds:
+    """One per Python worker and vocabulary file; ``memory`` bounds the chunks and the words it keeps from now on."""
     if path not in _KEPT:
         _KEPT[path] = ChunkIds(path)
+    _KEPT[path].memory = memory
     return _KEPT[path]
