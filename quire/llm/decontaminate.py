@@ -21,7 +21,7 @@ BLOCK = 16
 TERMS, SKETCH, KEPT = 8192, 64, 48
 #: Cosine from which a passage is a candidate, by the words of the item: one that fills a passage only in part gets
 #: further from it.
-COSINES = ((28, 0.1), (40, 0.3), (1 << 31, 0.45))
+COSINES = ((28, 0.05), (40, 0.3), (1 << 31, 0.45))
 #: A document leaks an item when their longest common subsequence of words covers CLEAR of the item, or PARAPHRASE of
 #: it and ANSWER of the item's answer.
 CLEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
