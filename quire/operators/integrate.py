@@ -77,19 +77,35 @@ def apply_decision(groups: list[Group], decision: dict, known: set[str]) -> list
 
 
 def replay(raw_ids: list[str], decisions: list[dict]) -> list[Group]:
-    """The whole log applied to the raw ids that it names; ids it never names stay as they are and need no fold."""
+    """The whole log applied to the raw ids that it names; ids it never names stay as they are and need no fold.
+
+    A step sees only the groups that hold its ids, which are looked up by raw id: it changes no other.
+    """
     known = set(raw_ids)
-    groups = [Group(i, (i,)) for i in raw_ids]
+    groups = {k: Group(i, (i,)) for k, i in enumerate(raw_ids)}
+    at = {i: k for k, i in enumerate(raw_ids)}
+    new = len(raw_ids)
     for d in decisions:
-        groups = apply_decision(groups, d, known)
-    return groups
+        touched = sorted({at[i] for i in d.get("affected_nodes") or [] if i in at})
+        before = [groups[k] for k in touched]
+        after = apply_decision(before, d, known)
+        if after is before:
+            continue
+        for k in touched:
+            for i in groups.pop(k).raw:
+                del at[i]
+        for g in after:
+            groups[new] = g
+            at.update(dict.fromkeys(g.raw, new))
+            new += 1
+    return list(groups.values())
 
 
 def current_ids(raw: DataFrame, decisions: DataFrame) -> DataFrame:
     """raw_id, id, status and decision of each raw node that is still part of the graph.
 
-    Only ids that the log names are folded on the driver: the log is written by people and is small. All others are
-    their own current node and stay distributed.
+    The whole log and the ids it names are folded on the driver, as each step depends on those before; README has the
+    figures. All others are their own current node and stay distributed.
     """
     log = [r.asDict(recursive=True) for r in decisions.orderBy("seq").collect()]
     named = decisions.select(F.explode("affected_nodes").alias("id")).distinct()
@@ -176,9 +192,9 @@ def comparison(raw: DataFrame, edges: DataFrame, current: DataFrame, new_edges:
     return count(raw, "nodes_before").join(count(edges, "edges_before"), F.lit(True)).join(nodes, F.lit(True)).join(count(new_edges, "edges_after"), F.lit(True))
 
 
-def decision_ids(decisions: DataFrame) -> DataFrame:
-    """Ids by action and place in the log."""
-    n = F.row_number().over(W.orderBy("seq"))
+def decision_ids(decisions: DataFrame, placed: bool = False) -> DataFrame:
+    """Ids by action and place in the log; ``placed`` says that ``seq`` is that place already."""
+    n = F.col("seq") if placed else F.row_number().over(W.orderBy("seq"))
     return decisions.withColumn("decision_id", F.concat("action", F.lit("_"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
 
 

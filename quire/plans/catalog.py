@@ -572,6 +572,11 @@ def merged_by_name(spark, sf_dir):
 
 @query(f"WITH {DECISIONS} SELECT count(*) FILTER (action = 'merge') AS merge, count(*) FILTER (action = 'keep') AS keep, count(*) FILTER (action = 'remove') AS remove FROM decisions")
 def action_counts(spark, sf_dir):
+    return integrate.action_counts(D.first_decisions(spark, sf_dir))
+
+
+@query()
+def action_counts_all(spark, sf_dir):
     return integrate.action_counts(D.decisions(spark, sf_dir))
 
 
@@ -585,6 +590,11 @@ def compression_stats(spark, sf_dir):
 
 @query(f"WITH {NODES}, {DECISIONS}, p AS (SELECT count(DISTINCT x) AS processed FROM (SELECT unnest(affected_nodes) AS x FROM decisions) WHERE x IN (SELECT id FROM nodes)) SELECT (SELECT count(*) FROM nodes) AS raw, processed, greatest(0, (SELECT count(*) FROM nodes) - processed) AS remaining, greatest(0, (SELECT count(*) FROM nodes) - processed) > 0 AS should_continue FROM p")
 def remaining_nodes(spark, sf_dir):
+    return integrate.remaining(D.nodes(spark, sf_dir), D.first_decisions(spark, sf_dir))
+
+
+@query()
+def remaining_nodes_all(spark, sf_dir):
     return integrate.remaining(D.nodes(spark, sf_dir), D.decisions(spark, sf_dir))
 
 
@@ -595,10 +605,19 @@ def before_after(spark, sf_dir):
     return integrate.comparison(n, e, current, integrate.rewrite_edges(e, current))
 
 
+def _last5(decisions):
+    d = integrate.decision_ids(decisions, placed=True)
+    return d.orderBy(F.desc("seq")).limit(5).select("decision_id", F.size("affected_nodes").alias("n"))
+
+
 @query(f"WITH {DECISIONS} SELECT action || '_' || lpad(CAST(seq AS VARCHAR), 3, '0') AS decision_id, len(affected_nodes)::INT AS n FROM decisions ORDER BY seq DESC LIMIT 5")
 def recent_decisions_last5(spark, sf_dir):
-    d = integrate.decision_ids(D.decisions(spark, sf_dir))
-    return d.orderBy(F.desc("seq")).limit(5).select("decision_id", F.size("affected_nodes").alias("n"))
+    return _last5(D.first_decisions(spark, sf_dir))
+
+
+@query()
+def recent_decisions_last5_all(spark, sf_dir):
+    return _last5(D.decisions(spark, sf_dir))
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 12")
@@ -615,9 +634,18 @@ def stop_policy(spark, sf_dir):
 
 @query(f"WITH {NODES}, {EDGES}, {DECISIONS} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges WHERE {FACT}) AS facts, (SELECT count(DISTINCT textbook_id) FROM nodes) AS books, (SELECT count(*) FROM decisions) AS decisions, (SELECT sum(n_chars)::BIGINT FROM documents) AS chars")
 def report_overview(spark, sf_dir):
+    return _overview(spark, sf_dir, D.first_decisions(spark, sf_dir))
+
+
+@query()
+def report_overview_all(spark, sf_dir):
+    return _overview(spark, sf_dir, D.decisions(spark, sf_dir))
+
+
+def _overview(spark, sf_dir, decisions):
     n = D.nodes(spark, sf_dir).agg(F.count("*").alias("nodes"), F.count_distinct("textbook_id").alias("books"))
     e = integrate.factual(D.edges(spark, sf_dir)).agg(F.count("*").alias("facts"))
-    d = D.decisions(spark, sf_dir).agg(F.count("*").alias("decisions"))
+    d = decisions.agg(F.count("*").alias("decisions"))
     c = table(spark, sf_dir, "documents").agg(F.sum("n_chars").alias("chars"))
     return n.join(e, F.lit(True)).join(d, F.lit(True)).join(c, F.lit(True)).select("nodes", "facts", "books", "decisions", "chars")
 

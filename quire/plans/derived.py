@@ -95,14 +95,35 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = """lines AS (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"""
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of decisions from orders: clerks merge, keep and remove the parts of an order."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT").orderBy("o_orderdate", "o_orderkey").limit(400)
+def _decisions(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("part")).distinct()
-    named = o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy("o_orderkey", "o_orderstatus", "o_orderdate").agg(F.array_sort(F.collect_set("part")).alias("affected_nodes"))
-    seq = F.row_number().over(W.orderBy("o_orderdate", "o_orderkey"))
+    named = orders.join(li, orders["o_orderkey"] == li["l_orderkey"]).groupBy("o_orderkey", "o_orderstatus", "o_orderdate").agg(F.array_sort(F.collect_set("part")).alias("affected_nodes"))
     action = F.when(F.col("o_orderstatus") == "F", "merge").when(F.col("o_orderstatus") == "O", "keep").otherwise("remove")
-    return named.select(seq.alias("seq"), action.alias("action"), "affected_nodes")
+    return named.withColumn("action", action)
+
+
+def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of decisions from orders: clerks merge, keep and remove the parts of an order.
+
+    Rows are numbered within their date, after the rows of all earlier dates, so that no task sees the whole log.
+    """
+    urgent = _urgent(spark, sf_dir)
+    d = _decisions(spark, sf_dir, urgent)
+    listed = urgent.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    before = F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = listed.groupBy(F.col("o_orderdate").alias("day")).agg(F.count("*").alias("n")).select("day", before.alias("before"))
+    seq = F.col("before") + F.row_number().over(W.partitionBy("o_orderdate").orderBy("o_orderkey"))
+    return d.join(F.broadcast(days), F.col("o_orderdate").eqNullSafe(F.col("day"))).select(seq.cast("int").alias("seq"), "action", "affected_nodes")
+
+
+def first_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of the first 400 urgent orders only, which is what the SQL DECISIONS holds."""
+    d = _decisions(spark, sf_dir, _urgent(spark, sf_dir).orderBy("o_orderdate", "o_orderkey").limit(400))
+    return d.select(F.row_number().over(W.orderBy("o_orderdate", "o_orderkey")).alias("seq"), "action", "affected_nodes")
 
 
 DECISIONS = """decisions AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq,
