@@ -420,6 +420,17 @@ def cosine_topk(spark, sf_dir):
     return retrieval.cosine_top_k(q, v)
 
 
+def _vector_queries(v):
+    """The stated query set of searches: every id divisible by 50."""
+    return v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+
+
+@query()
+def cosine_topk_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.cosine_top_k_blocks(_vector_queries(v), v)
+
+
 @query(f"WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v ORDER BY id LIMIT 10) SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, v.id, {COS} AS score FROM q, v WHERE v.label = 3)) WHERE rank <= 5")
 def cosine_filtered(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
@@ -427,6 +438,12 @@ def cosine_filtered(spark, sf_dir):
     return retrieval.cosine_top_k(q, v, 5, F.col("label") == 3)
 
 
+@query()
+def cosine_filtered_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return retrieval.cosine_top_k_blocks(_vector_queries(v), v, 5, F.col("label") == 3)
+
+
 LEX = f"qt AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS q FROM benchmark), tt AS (SELECT doc_id AS id, {TOKENS.format('text')} AS t FROM documents), lex AS (SELECT query_id, id, CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(q, t)) / len(q) END AS keyword FROM qt, tt)"
 
 

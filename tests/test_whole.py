@@ -3,9 +3,10 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
-from quire.operators import integrate
+from quire.operators import integrate, retrieval
 from quire.plans import catalog
 from quire.plans import derived as D
 
@@ -47,3 +48,29 @@ def test_decision_queries(spark, duck, log):
         groups = integrate.apply_decision(groups, d, set(raw))
     assert sorted(r[:3] for r in run("decision_fold")) == sorted((i, g.id, g.status) for g in groups for i in g.raw)
     assert {r["id"]: r["frequency"] for r in catalog.QUERIES["merged_node_rollup"](spark, DIR).collect()} == {g.id: len(g.raw) for g in groups}
+
+
+@pytest.mark.parametrize(("name", "k", "label"), [("cosine_topk_all", 20, None), ("cosine_filtered_all", 5, 3)])
+def test_cosine(spark, duck, name, k, label):
+    rows = duck.execute("SELECT vec_id, label, embedding FROM embeddings").fetchall()
+    x = np.array([r[2] for r in rows], float)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    ids = [r[0] for r in rows]
+    want = []
+    for i, v in zip(ids, x, strict=True):
+        if i % 50 == 0:
+            best = sorted((-round(float(s), 6), j) for s, j, r in zip(x @ v, ids, rows, strict=True) if label is None or r[1] == label)[:k]
+            want += [(i, j, -s, n + 1) for n, (s, j) in enumerate(best)]
+    assert max(w[0] for w in want) > 400
+    got = sorted(map(tuple, catalog.QUERIES[name](spark, DIR).collect()), key=lambda r: (r[0], r[3]))
+    assert [(r[0], r[1], r[3]) for r in got] == [(w[0], w[1], w[3]) for w in sorted(want, key=lambda r: (r[0], r[3]))]
+
+
+def test_cosine_blocks(spark):
+    rows = [(k, [1.0, float(k % 3)]) for k in range(40)] + [(90, [0.0, 0.0]), (91, None)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = v.where("id % 7 = 0 or id >= 90").selectExpr("id as query_id", "vector as q")
+    plain = retrieval.cosine_top_k(q.where("query_id < 90"), v.where("id < 90"), 5)
+    for block in (2, 100):
+        got = retrieval.cosine_top_k_blocks(q, v, 5, block=block)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
