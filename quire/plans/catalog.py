@@ -394,6 +394,13 @@ def candidate_score_topk(spark, sf_dir):
     return retrieval.rank_candidates(n.orderBy("ord").limit(5), n)
 
 
+@query()
+def candidate_score_topk_all(spark, sf_dir):
+    n = retrieval.prepared(D.nodes(spark, sf_dir), ascii_only=True)
+    hashed = n.withColumns({c: F.transform(c, lambda x: F.xxhash64(x)) for c in ("grams", "text_grams")})
+    return retrieval.rank_candidates_blocks(hashed.where("ord % 50 = 0"), hashed)
+
+
 @query(f"WITH {NODES}, n1 AS (SELECT *, {KEY.format('name')} AS k FROM nodes) SELECT id, name FROM n1 ORDER BY CASE WHEN contains('please merge the red widget with others', id) THEN 0 WHEN contains('pleasemergetheredwidgetwithothers', k) OR contains(k, 'pleasemergetheredwidgetwithothers') THEN 1 ELSE 2 END, CASE WHEN contains('pleasemergetheredwidgetwithothers', k) THEN -length(k) ELSE 0 END, ord LIMIT 1")
 def target_selection(spark, sf_dir):
     n = D.nodes(spark, sf_dir)

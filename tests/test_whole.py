@@ -74,3 +74,30 @@ def test_cosine_blocks(spark):
     for block in (2, 100):
         got = retrieval.cosine_top_k_blocks(q, v, 5, block=block)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_candidates(spark):
+    rows = retrieval.prepared(D.nodes(spark, DIR), ascii_only=True).collect()
+    rows = [(r["id"], r["ord"], r["name"], r["key"], r["category_key"], r["textbook_id"], set(r["grams"]), set(r["text_grams"])) for r in rows]
+    dice = lambda a, b: 2.0 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
+
+    def score(t, c):
+        a, b = t[3], c[3]
+        name = 0.0 if not a or not b else 1.0 if a == b else 0.82 if a in b or b in a else dice(t[6], c[6])
+        return round(0.58 * name + 0.29 * dice(t[7], c[7]) + 0.08 * (t[4] == c[4]) + 0.05 * (t[5] != c[5]), 6)
+
+    want = {}
+    for t in rows:
+        if t[1] % 50 == 0:
+            best = sorted((-min(1.0, score(t, c)), c[2], c[0]) for c in rows if c[0] != t[0])[:10]
+            want |= {(t[0], k + 1): (-s, i) for k, (s, _, i) in enumerate(best)}
+    got = {(r["target"], r["rank"]): (r["score"], r["id"]) for r in catalog.QUERIES["candidate_score_topk_all"](spark, DIR).collect()}
+    assert len(want) == 400 and got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
+    assert sum(got[k][1] == want[k][1] for k in want) >= 398  # a score may round the other way
+
+
+def test_candidate_blocks(spark):
+    n = retrieval.prepared(D.nodes(spark, DIR).where("ord < 200"), ascii_only=True)
+    plain = retrieval.rank_candidates(n.where("ord % 50 = 0"), n).collect()
+    assert sorted(retrieval.rank_candidates_blocks(n.where("ord % 50 = 0"), n, block=2).collect()) == sorted(plain)
