@@ -19,18 +19,15 @@ from quire.llm.quality import _bytes_of, _slices
 BLOCK = 16
 #: Hashed terms, columns of the sketch, and singular directions kept of it.
 TERMS, SKETCH, KEPT = 8192, 64, 48
-#: Cosine from which a passage is a candidate, by the words of the item: one that fills a passage only in part gets
-#: further from it.
-COSINES = ((28, 0.05), (40, 0.3), (1 << 31, 0.45))
 #: A document leaks an item when their longest common subsequence of words covers CLEAR of the item, or PARAPHRASE of
 #: it and ANSWER of the item's answer.
 CLEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
-#: A candidate passage holds words with at least this part of the item's inverse frequencies, as far as they fit in.
-SHARED = 0.55
 #: The subsequence lies within so many times the item's words.
 STRETCH = 1.5
 #: Items of fewer words say too little and are left out.
 LEAST_WORDS = 8
+#: Items whose words are counted at a time.
+ITEM_GROUP = 256
 #: Items searched in one pass over the corpus.
 MOST_ITEMS = 4_000
 _SEED = 20240229
@@ -257,6 +254,59 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _size(m: int) -> int:
+    """Words of a stretch that is compared with an item of m words."""
+    return int(STRETCH * m) + 1
+
+
+def _least(m: int) -> int:
+    """Words that a leak of an item of m words has in common with it, at least."""
+    return int(np.ceil(PARAPHRASE * m - 1e-9))
+
+
+def _window(m: int) -> int:
+    """Blocks that hold a stretch wherever it begins in the first."""
+    return -(-(_size(m) - 1) // BLOCK) + 1
+
+
+def _common(item: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Words that each row of ``spans`` has in common with the item, each as often as both have it."""
+    out = np.zeros(len(spans), np.int64)
+    for word, n in zip(*np.unique(item, return_counts=True), strict=True):
+        out += np.minimum((spans == word).sum(axis=1), n)
+    return out
+
+
+def _candidates(items: list[Item], groups: list[tuple[int, list[int], np.ndarray]], ids: np.ndarray, counts: np.ndarray, blocks: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(block, item) where the blocks from there on that a stretch can fill have enough of the item's words.
+
+    Whatever _check accepts has a stretch with _least words of the item in order, so no leak is missed. Sums run over
+    the ends of documents, which lets more through; true words of the document alone are then counted.
+    """
+    where = begin + (np.cumsum(counts) - counts)[doc]
+    end = np.cumsum(counts)[doc]
+    for window, group, member in groups:
+        own = member[blocks[:, 0]]
+        for c in range(1, BLOCK):
+            own += member[blocks[:, c]]
+        total = own.copy()
+        for j in range(1, min(window, len(own))):
+            total[:-j] += own[j:]
+        block, which = np.nonzero(total >= np.array([_least(len(items[k].words)) for k in group], own.dtype))
+        order = np.argsort(which, kind="stable")
+        block, which = block[order], which[order]
+        cuts = np.searchsorted(which, np.arange(len(group) + 1))
+        for k, item in enumerate(group):
+            words = items[item].words
+            for at in range(cuts[k], cuts[k + 1], 4096):
+                some = block[at : min(at + 4096, cuts[k + 1])]
+                place = where[some, None] + np.arange(window * BLOCK)
+                inside = place < end[some, None]
+                spans = np.where(inside, ids[np.minimum(place, len(ids) - 1)].astype(np.int64), -1)
+                for b in some[_common(words, spans) >= _least(len(words))].tolist():
+                    yield b, item
+
+
 def _check(item: Item, words: np.ndarray, low: int, high: int) -> tuple[float, float]:
     """Shares of the item and of its answer in the longest common subsequence with words from low to high or around.
 
@@ -268,7 +318,7 @@ def _check(item: Item, words: np.ndarray, low: int, high: int) -> tuple[float, f
     inside = np.isin(span, item.words)
     if inside.sum() < PARAPHRASE * m or lcs(own, span[inside].tolist())[0] < PARAPHRASE * m:
         return 0.0, 0.0
-    best, size = (0.0, 0.0), int(STRETCH * m) + 1
+    best, size = (0.0, 0.0), _size(m)
     for k in range(0, max(1, len(span) - size + max(1, m // 4)), max(1, m // 4)):
         part = span[k : k + size][inside[k : k + size]]
         if len(part) >= PARAPHRASE * m:
@@ -281,9 +331,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold benchmark items: doc_id, th (hash of the text), item_id, cosine, lcs_share, answer_share, word.
 
     Every document is cut into overlapping passages. Term statistics and a randomised SVD of their TF-IDF matrix cover
-    the whole corpus; every passage is then compared with every item's passages in the latent space, and each pair
-    from COSINES on is checked by the longest common subsequence of words around it and by the item's answer. One row
-    per text and item, with the best passage's figures (``word`` is where it begins).
+    the whole corpus. Wherever a stretch of text has as many of an item's words as a leak must have, the two are
+    compared by the longest common subsequence of words and by the item's answer; the latent space ranks the passages
+    of what is found but keeps nothing out. One row per text and item, with the best passage's figures (``word`` is
+    where it begins).
 
     Null and empty texts hold nothing; null ids are reported as null. Repeated rows are reported once (equal id and
     text). Items that are null, empty or shorter than LEAST_WORDS are left out. Items of equal text are all reported.
@@ -309,28 +360,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], schema)
     idf = np.sqrt(blocks / np.maximum(df, 1))  # gives every term the same variance, so that rare words tell
     table = latent_space(stored, idf, df / df.sum())
-    weight = np.append(np.log1p(blocks / np.maximum(df, 1)), 0).astype(np.float32)
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     parts = max(1, -(-usable.count() // MOST_ITEMS))
     out = None
     for p in range(parts):
         some = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
         items = [i for i in (item_of(r["item_id"], r["text"]) for r in some) if len(i.words) >= LEAST_WORDS]
-        found = _searched(stored, items, table, weight, schema) if items else docs.sparkSession.createDataFrame([], schema)
+        found = _searched(stored, items, table, schema) if items else docs.sparkSession.createDataFrame([], schema)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine", (-F.col("word")).alias("back"))).alias("b")
     return out.groupBy("doc_id", "th", "item_id").agg(best).select("doc_id", "th", "item_id", "b.cosine", "b.lcs_share", "b.answer_share", (-F.col("b.back")).alias("word"))
 
 
-def _searched(stored: DataFrame, items: list[Item], table: np.ndarray, weight: np.ndarray, schema: str) -> DataFrame:
-    spans = [(k, a) for k, i in enumerate(items) for a in sorted({*range(0, max(1, len(i.words) - 2 * BLOCK + 1), BLOCK), max(0, len(i.words) - 2 * BLOCK)})]
-    owner = np.array([k for k, _ in spans])
-    member = np.zeros((len(items), TERMS + 1), bool)
-    for k, i in enumerate(items):
-        member[k, i.words & (TERMS - 1)] = True
-    whole = np.array([weight[i.words & (TERMS - 1)].sum() * min(1, 1.5 * BLOCK / len(i.words)) for i in items])
-    limits = np.array([next(c for n, c in COSINES if len(items[k].words) < n) for k in owner], np.float32)
-    queries = _unit(np.stack([table[items[k].words[a : a + 2 * BLOCK] & (TERMS - 1)].sum(axis=0) for k, a in spans])).T.copy()
+def _searched(stored: DataFrame, items: list[Item], table: np.ndarray, schema: str) -> DataFrame:
+    spans = [sorted({*range(0, max(1, len(i.words) - 2 * BLOCK + 1), BLOCK), max(0, len(i.words) - 2 * BLOCK)}) for i in items]
+    queries = [_unit(np.stack([table[i.words[a : a + 2 * BLOCK] & (TERMS - 1)].sum(axis=0) for a in s])).T for i, s in zip(items, spans, strict=True)]
+    groups = []
+    for window in sorted({_window(len(i.words)) for i in items}):
+        same = [k for k, i in enumerate(items) if _window(len(i.words)) == window]
+        for some in (same[a : a + ITEM_GROUP] for a in range(0, len(same), ITEM_GROUP)):
+            member = np.zeros((TERMS + 1, len(some)), np.uint8 if window * BLOCK < 256 else np.uint32)
+            for column, k in enumerate(some):
+                member[items[k].words & (TERMS - 1), column] = 1
+            groups.append((window, some, member))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,31 +391,23 @@ def _searched(stored: DataFrame, items: list[Item], table: np.ndarray, weight: n
                 blocks, doc, begin = _terms(ids, counts)
                 if not len(blocks):
                     continue
-                z, at = _passages(blocks, doc, table)
-                z, ends = _unit(z), np.cumsum(counts)
-                best: dict[tuple[int, int, int], tuple[float, int, int]] = {}
-                follow = np.minimum(at + 1, len(doc) - 1)
-                follow = np.where(doc[follow] == doc[at], follow, -1)
-                weights = weight[blocks]
-                for k in range(0, len(z), 4096):
-                    cosine = z[k : k + 4096] @ queries
-                    near, which = np.nonzero(cosine >= limits)
-                    item, block, after = owner[which], at[k + near], follow[k + near]
-                    shared = (member[item[:, None], blocks[block]] * weights[block]).sum(axis=1)
-                    shared += np.where((after >= 0) & (after != block), (member[item[:, None], blocks[after]] * weights[after]).sum(axis=1), 0)
-                    likely = shared >= SHARED * whole[item]
-                    for w, q in zip(near[likely].tolist(), which[likely].tolist(), strict=True):
-                        block = int(at[k + w])
-                        d, item, low = int(doc[block]), int(owner[q]), int(begin[block])
-                        key = (d, item, low // (4 * BLOCK))
-                        had = best.get(key)
-                        best[key] = (max(float(cosine[w, q]), had[0]), min(low, had[1]), max(low, had[2])) if had else (float(cosine[w, q]), low, low)
-                for (d, item, _), (cosine, low, high) in best.items():
+                ends = np.cumsum(counts)
+                near: dict[tuple[int, int, int], tuple[int, int]] = {}
+                for block, item in _candidates(items, groups, ids, counts, blocks, doc, begin):
+                    low = int(begin[block])
+                    key = (int(doc[block]), item, low // (4 * BLOCK))
+                    had = near.get(key, (block, block))
+                    near[key] = (min(block, had[0]), max(block, had[1]))
+                for (d, item, _), (low, high) in near.items():
                     words = ids[ends[d] - counts[d] : ends[d]]
-                    share, answer = _check(items[item], words, low, high + 2 * BLOCK)
+                    m = len(items[item].words)
+                    share, answer = _check(items[item], words, int(begin[low]), int(begin[high]) + _window(m) * BLOCK)
                     if share >= CLEAR or share >= PARAPHRASE and answer >= ANSWER:
-                        row = first + d
-                        rows.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), items[item].item_id, cosine, share, answer, low))
+                        some = slice(low, min(high + _window(m), int(np.searchsorted(doc, d, side="right"))))
+                        z, at = _passages(blocks[some], doc[some], table)
+                        cosine = (_unit(z) @ queries[item]).max(axis=1)
+                        best, row = int(cosine.argmax()), first + d
+                        rows.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), items[item].item_id, float(cosine[best]), share, answer, int(begin[low + at[best]])))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])

@@ -66,3 +66,30 @@ def test_empty(spark):
     none, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs, bench).count() == 0 and D.leaks(none, bench).count() == 0
     assert D.leaks(none, bench.unionByName(spark.createDataFrame([(1, prose(30, 1))], "item_id long, text string"))).count() == 0
+
+
+def test_candidates_miss_nothing():
+    """Every pair that the check accepts anywhere in a document is a candidate there."""
+    import numpy as np
+
+    r = random.Random(2)
+    items = [D.item_of(k, " ".join(r.choice(VOCABULARY[:90]) for _ in range(m))) for k, m in enumerate((3, 9, 17, 24, 31, 55))]
+    groups = []
+    for k, i in enumerate(items):
+        member = np.zeros((D.TERMS + 1, 1), np.uint8)
+        member[i.words & (D.TERMS - 1), 0] = 1
+        groups.append((D._window(len(i.words)), [k], member))
+    for seed in range(60):
+        texts = []
+        for k, i in enumerate(items):
+            own = [w if r.random() < 0.75 else np.uint32(7) for w in i.words]
+            fill = [D.ids_of(w)[0] for w in prose(r.randint(0, 70), 100 * seed + k).split()]
+            texts.append(np.array([*fill, *own, *fill[::-1]], np.uint32))
+        ids, counts = np.concatenate(texts), np.array([len(t) for t in texts])
+        blocks, doc, begin = D._terms(ids, counts)
+        got = {(int(doc[b]), k) for b, k in D._candidates(items, groups, ids, counts, blocks, doc, begin)}
+        for d, words in enumerate(texts):
+            for k, i in enumerate(items):
+                share, answer = D._check(i, words, 0, len(words))
+                if share >= D.CLEAR or share >= D.PARAPHRASE and answer >= D.ANSWER:
+                    assert (d, k) in got
