@@ -24,7 +24,7 @@ TERMS, SKETCH, KEPT = 8192, 64, 48
 CLEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 #: The subsequence lies within so many times the item's words.
 STRETCH = 1.5
-#: Items of fewer words say too little and are left out.
+#: Items of fewer words say too little in part: they leak only where all their words stand in a row.
 LEAST_WORDS = 8
 #: Items whose words are counted at a time.
 ITEM_GROUP = 256
@@ -261,7 +261,7 @@ def _size(m: int) -> int:
 
 def _least(m: int) -> int:
     """Words that a leak of an item of m words has in common with it, at least."""
-    return int(np.ceil(PARAPHRASE * m - 1e-9))
+    return m if m < LEAST_WORDS else int(np.ceil(PARAPHRASE * m - 1e-9))
 
 
 def _window(m: int) -> int:
@@ -314,6 +314,9 @@ def _check(item: Item, words: np.ndarray, low: int, high: int) -> tuple[float, f
     """
     m = len(item.words)
     span = words[max(0, low - m) : high + m]
+    if m < LEAST_WORDS:
+        rows = np.lib.stride_tricks.sliding_window_view(span, m) if len(span) >= m else span[:0, None]
+        return (1.0, 1.0) if (rows == item.words).all(axis=1).any() else (0.0, 0.0)
     own = item.words.tolist()
     inside = np.isin(span, item.words)
     if inside.sum() < PARAPHRASE * m or lcs(own, span[inside].tolist())[0] < PARAPHRASE * m:
@@ -337,7 +340,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     where it begins).
 
     Null and empty texts hold nothing; null ids are reported as null. Repeated rows are reported once (equal id and
-    text). Items that are null, empty or shorter than LEAST_WORDS are left out. Items of equal text are all reported.
+    text). Items that are null or empty are left out; those shorter than LEAST_WORDS must stand there word
+    for word. Items of equal text are all reported.
     Empty tables give no rows; other columns take no part. Documents shorter than a passage are one short passage.
     """
     text = F.concat(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit("\n"))
@@ -365,7 +369,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for p in range(parts):
         some = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
-        items = [i for i in (item_of(r["item_id"], r["text"]) for r in some) if len(i.words) >= LEAST_WORDS]
+        items = [i for i in (item_of(r["item_id"], r["text"]) for r in some) if len(i.words)]
         found = _searched(stored, items, table, schema) if items else docs.sparkSession.createDataFrame([], schema)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine", (-F.col("word")).alias("back"))).alias("b")

@@ -68,6 +68,27 @@ def test_empty(spark):
     assert D.leaks(none, bench.unionByName(spark.createDataFrame([(1, prose(30, 1))], "item_id long, text string"))).count() == 0
 
 
+def test_leaks_at_the_limit(spark):
+    """Paraphrases that keep just enough words, wherever they begin, and short items word for word."""
+    r = random.Random(11)
+    items, docs, want = [(100, "abc def gea bhi cej")], [(i, prose(r.randint(100, 400), 5000 + i)) for i in range(200)], set()
+    for m in range(17, 29):
+        own = [f"{r.choice(VOCABULARY)}{k if k % 3 else ''}" for k in range(m)]
+        items.append((m, " ".join(own)))
+        answer = m - -(-m // 3)
+        keep = -(-3 * m // 5) - (m - answer)
+        kept = {*r.sample(range(answer), keep), *range(answer, m)}
+        for at in (12, 8, 0):
+            text = [w if k in kept else "zzz" for k, w in enumerate(own)]
+            around = prose(200, 9000 + m).replace(".", "").split(" ")
+            docs.append((1000 + 20 * m + at, " ".join([*around[: 48 + at], *text, *around[48 + at :]])))
+            want.add((1000 + 20 * m + at, m))
+    docs += [(9001, prose(70, 3) + " abc def gea bhi cej " + prose(30, 4)), (9002, prose(70, 3) + " abc def gea bhi zzz cej " + prose(30, 4)), (9003, "abc")]
+    want.add((9001, 100))
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(f["doc_id"], f["item_id"]) for f in found} == want
+
+
 def test_candidates_miss_nothing():
     """Every pair that the check accepts anywhere in a document is a candidate there."""
     import numpy as np
