@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,18 +13,40 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set if driver and executors are one process; on a cluster
+    that folder would not be shared, so the setting is asked for.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths made in the shared folder and not released yet.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes what was written to the shared folder so far, but for the files that ``keep`` reads.
+
+    To be called when no other result that reads those tables is still wanted.
+    """
+    files = keep.inputFiles() if keep is not None else []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in list(_MADE):
+        if not any(path.rsplit("/", 1)[1] in f for f in files):
+            place = hadoop(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _MADE.remove(path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
