@@ -7,13 +7,18 @@ values to equal pseudonyms and different ones to different ones, so values stay
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import free_name
+
 ROUNDS = 8
-#: The written forms, in the order in which they are tried at a place of the text.
+#: The written forms, in the order in which they are tried at a place of the text. Every part is bounded
+#: (a domain as the name system bounds it), so that matching a text of any length takes a bounded stack.
 FORMS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?![0-9-]|[./][0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -177,12 +182,45 @@ def _date(key: str, t: Column) -> Column:
         moved = feistel(key, "date", F.floor(day / DAY_LOW), DAY_HIGH, day % DAY_LOW, DAY_LOW)
         return _let(moved, lambda m: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (m["l"] * DAY_LOW + m["r"]).cast("int")), fmt))
 
-    day_first = F.substring(t, 4, 2).cast("int") <= 12
-    slashed = F.when(day_first, written("dd/MM/yyyy")).otherwise(written("MM/dd/yyyy"))
-    out = F.when(t.contains("-"), written("yyyy-MM-dd")).when(t.contains("/"), slashed).otherwise(written("dd.MM.yyyy"))
+    out = F.when(t.contains("-"), written("yyyy-MM-dd")).when(t.contains("/"), _slashed(key, t)).otherwise(written("dd.MM.yyyy"))
     return F.coalesce(out, t)
 
 
+def _slashed(key: str, t: Column) -> Column:
+    """dd/MM/yyyy and MM/dd/yyyy; null where neither reading is a day of the calendar.
+
+    Strings that can be read both ways, those that are only day first and those that are only month first are three
+    sets, each moved inside itself; of the latter two, the days up to the 28th, the 29th and 30th, the 31st, and the 29th of
+    February are again moved among their like, so that every result is a day and no two values meet.
+    """
+    first, second, year = (F.substring(t, *x).cast("long") for x in ((1, 2), (4, 2), (7, 4)))
+    both = first.between(1, 12) & second.between(1, 12)
+    day, month, y = F.greatest(first, second), F.least(first, second), year - 1900
+    valid = both | (month >= 1) & (month <= 12) & F.try_to_date(F.concat_ws("-", year.cast("string"), _pad(month, 2), _pad(day, 2)), "yyyy-MM-dd").isNotNull()
+    leap, long_month = (day == 29) & (month == 2), F.floor(F.when(month > 7, month).otherwise(month - 1) / 2)
+
+    def by_set(ambiguous, usual, late, last, leap_day) -> Column:
+        return F.when(both, _long(ambiguous)).when(day <= 28, _long(usual)).when(leap, _long(leap_day)).when(day <= 30, _long(late)).otherwise(_long(last))
+
+    eleven = month - F.when(month > 2, F.lit(2)).otherwise(F.lit(1))
+    leaps = F.floor((year - 1904) / 4)
+    left = by_set(y * 12 + first - 1, y * 12 + month - 1, y * 11 + eleven, y, F.floor(leaps / 7))
+    right = by_set(second - 1, day - 13, day - 29, long_month, leaps % 7)
+    moved = feistel(key, "slashed", left, by_set(2400, 2400, 2200, 200, 7), right, by_set(12, 16, 2, 7, 7))
+
+    def out(m: Column) -> Column:
+        to = m["l"] % 11
+        to_month = by_set(0, m["l"] % 12 + 1, to + F.when(to > 0, F.lit(2)).otherwise(F.lit(1)), F.when(m["r"] > 3, m["r"] * 2).otherwise(m["r"] * 2 + 1), 2)
+        to_day = by_set(0, m["r"] + 13, m["r"] + 29, 31, 29)
+        to_year = by_set(F.floor(m["l"] / 12) + 1900, F.floor(m["l"] / 12) + 1900, F.floor(m["l"] / 11) + 1900, m["l"] + 1900, (m["l"] * 7 + m["r"]) * 4 + 1904)
+        day_first = first > 12
+        a = F.when(both, m["l"] % 12 + 1).when(day_first, to_day).otherwise(to_month)
+        b = F.when(both, m["r"] + 1).when(day_first, to_month).otherwise(to_day)
+        return F.concat_ws("/", _pad(a, 2), _pad(b, 2), to_year.cast("string"))
+
+    return F.when(valid, _let(moved, out))
+
+
 def _email(key: str, t: Column) -> Column:
     """The part before the sign: letters move among letters and digits among digits, half by half."""
     local = F.substring_index(t, "@", 1)
@@ -239,8 +277,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     Row by row, with no shuffle and no Python. ``found`` and ``changed`` name optional columns with the number of
     tokens that have a known form and of those that were replaced. Null text stays null (counts 0), empty text empty.
     Equal rows give equal rows; an empty table gives an empty one. A token whose form matches but whose check fails
-    is left as it stands.
+    is left as it stands, as is an address whose domain has more labels or longer ones than the name system allows. A
+    date is linked with dates written alike. Texts may have any length; columns of the input keep their names.
     """
+    key = hashlib.sha256(key.encode()).hexdigest()  # the plan does not show the key itself
     source = F.col(f"`{text}`").cast("string")
     tokens = F.when(source.rlike("[0-9@]"), F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0)))
     some = F.size(tokens) > 0
@@ -250,9 +290,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
         return F.array_join(parts, "")
 
     pairs = F.when(some, F.struct(tokens.alias("old"), F.transform(tokens, lambda t: pseudonym(t, key)).alias("new")))
-    pair = "__tokens"
-    while pair in docs.columns:
-        pair = "_" + pair
+    pair = free_name([*docs.columns, *(n for n in (found, changed) if n)], "tokens")
     out = docs.withColumn(pair, pairs)
     p = F.col(pair)
     out = out.withColumn(text, F.when(p.isNull(), source).otherwise(rebuilt(p)))
