@@ -40,6 +40,48 @@ def test_marginals_against_enumeration():
     assert np.allclose(p, want) and np.allclose(expected, turns) and np.isclose(constant, total)
 
 
+def test_posteriors_are_the_marginals(monkeypatch):
+    rng = np.random.default_rng(1)
+    sizes = np.array([3, 1, 400, 1000, 2, 130])
+    unary, turn = 6 * rng.normal(size=sizes.sum()), 2 * rng.normal(size=(2, 2))
+    first = np.isin(np.arange(len(unary)), np.cumsum(sizes) - sizes)
+    want = Q.marginals(unary, turn, sizes)[0]
+    assert np.allclose(Q.posteriors(unary, turn, first), want, atol=1e-12)
+    monkeypatch.setattr(Q, "WINDOW_LINES", 3 * Q.BLOCK_LINES)
+    assert np.allclose(Q.posteriors(unary, turn, first), want, atol=1e-12)
+
+
+def test_a_long_text_scores_as_in_one_piece(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = Q.Model(rng.normal(size=Q.FEATURES) / 3, rng.normal(size=(2, 2)), 4.0, -2.0)
+    raw = ("\n".join(bad() if R.random() < 0.5 else good() for _ in range(300)) + "\n" + "long line " * 500 + "\n\n").encode()
+    data = np.frombuffer(raw, np.uint8)
+    want = model.documents(data, np.array([0, len(data)]))
+    monkeypatch.setattr(Q, "SLICE", 1000)
+    assert b"".join(p.tobytes() for p in Q._parts(data, 1000)) == raw
+    assert np.allclose(model.documents(data, np.array([0, len(data)])), want, atol=1e-6)
+
+
+def test_millions_of_lines(spark):
+    docs = spark.createDataFrame([(1, "\n" * 4_000_000), (2, "x" * 3_000_000), (3, good())], "doc_id long, text string").repartition(1)
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = Q.score(docs, Q.train(docs, labels), keep=["doc_id"]).collect()
+    assert len(got) == 3 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_learning_is_bounded_under_repeats(spark):
+    docs = spark.createDataFrame([(4, bad() + f" {i}") for i in range(500)] + [(1, "\n".join(good() for _ in range(200)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 0), (1, 1)], "doc_id long, quality int")
+    seen = []
+    fit, Q.fit = Q.fit, lambda chains, *rest: seen.append([len(c) for c in chains]) or fit(chains, *rest)
+    try:
+        Q.train(docs, labels, lines=20)
+    finally:
+        Q.fit = fit
+    assert len(seen[0]) == 2 and max(seen[0]) == 20
+    assert {Q._place(d, 100, 20) for d in range(2000)} == set(range(81)) and Q._place(1, 20, 20) == 0
+
+
 def test_line_features():
     texts = ["Plain line here.\nSHOUT!! NOW!!\n", "\n", "a a a a\nx | y | z\n"]
     x, weight, doc = Q.line_features(*Q._bytes_of(pa.array(texts)))
