@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, jaccard, packing, pii, quality
-from quire.llm.common import free_name, table, written
+from quire.llm.common import free_name, release, table, written
 from quire.llm.queries import PII_KEY, WORD_VOCABULARY
 
 
@@ -49,12 +49,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read by the next."""
+    """All stages over ``documents``; each stage's result is written to the shared folder and read by the next.
+
+    What a stage wrote besides its result is deleted when the result is there.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage{k}")
+            release(spark, keep=docs)
     return docs
 
 
