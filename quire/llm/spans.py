@@ -13,8 +13,10 @@ from quire.llm.common import free_name, written
 
 #: A run has at least so many sentences and so many words; sentences with LONG words make a run even alone.
 LEAST_SENTENCES, LEAST_WORDS, LONG = 2, 20, 30
-#: A place packs 16 bits of the text's hash, 27 of the first sentence's number and 20 of the run's length.
-_START, _MARK = 1 << 20, 1 << 47
+#: A place packs the first sentence's number and 20 bits of the run's length.
+_START = 1 << 20
+#: Runs that make up more than one part in HEAVY of all are joined by a broadcast: there are at most so many of them.
+HEAVY = 1 << 16
 
 
 def sentences(text: str) -> list[str]:
@@ -22,14 +24,14 @@ def sentences(text: str) -> list[str]:
     return [s for s in text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n") if s and not s.isspace()]
 
 
-def runs(words: list[int], least: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+def runs(words: list[int], least: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long: int = LONG) -> list[tuple[int, int]]:
     """(first, count) of the shortest runs from each sentence on and up to each sentence that are long enough.
 
     Of a passage shared by two documents every sentence is covered by a run inside it, as soon as the passage's whole
     sentences make one run: the first ones by runs from them on, the last ones by runs up to them.
     """
     out = set()
-    short = lambda count, total: total < least_words or count < least and total < LONG
+    short = lambda count, total: total < least_words or count < least and total < long
     n, j, total = len(words), 0, 0
     for i in range(n):
         if j < i:
@@ -55,25 +57,25 @@ def runs(words: list[int], least: int = LEAST_SENTENCES, least_words: int = LEAS
     return sorted(out)
 
 
-def _mark(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(65536))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def repeated(docs: DataFrame, least: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The runs that are not the first of their kind: doc_id, mark (16 bits of the text's hash), start, count.
+def repeated(docs: DataFrame, least: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long: int = LONG) -> DataFrame:
+    """The runs that are not the first of their kind: doc_id, th (hash of the text), start, count.
 
-    The first is the one with the smallest (doc_id, mark, start). Hashes of runs are counted with map-side sums, so a
-    passage that a third of all documents share is no hot key; the join back has one row per hash on its small side.
+    The first is the one with the smallest (doc_id, th, start). Hashes of runs are counted with map-side sums. Of the runs
+    that repeat, those so frequent that they would fill a task (at most HEAVY kinds) find their first by a broadcast
+    and are not shuffled; the others are joined by their hash.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(text).alias("mark"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text()).alias("th"), _text().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                hashes, ids, places = [], [], []
-                for doc_id, mark, t in zip(*(c.to_pylist() for c in batch.slice(k, 1000).columns), strict=True):
+                hashes, ids, marks, places = [], [], [], []
+                for doc_id, th, t in zip(*(c.to_pylist() for c in batch.slice(k, 1000).columns), strict=True):
                     said = [" ".join(s.split()) for s in sentences(t.lower())]
                     words = [s.count(" ") + 1 for s in said]
                     starts, at = [], 0
@@ -82,17 +84,21 @@ def repeated(docs: DataFrame, least: int = LEAST_SENTENCES, least_words: int = L
                         at += len(s) + 1
                     starts.append(at)
                     whole = "\n".join(said)
-                    spans = runs(words, least, least_words)
+                    spans = runs(words, least, least_words, long)
                     hashes += [digest(whole[starts[i] : starts[i + n] - 1]) - (1 << 63) for i, n in spans]
-                    places += [mark * _MARK + i * _START + n for i, n in spans]
+                    places += [i * _START + n for i, n in spans]
                     ids += [doc_id] * len(spans)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hashes, ids, places)], names=["h", "doc_id", "place"])
+                    marks += [th] * len(spans)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hashes, ids, marks, places)], names=["h", "doc_id", "th", "place"])
 
-    spans = written(base.mapInArrow(run, "h long, doc_id long, place long"), "spans")
-    here = F.struct("doc_id", "place")
-    firsts = spans.groupBy("h").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1").drop("n")
-    later = spans.join(firsts, "h").where(here > F.col("first"))
-    return later.select("doc_id", F.floor(F.col("place") / _MARK).cast("long").alias("mark"), F.floor(F.col("place") % _MARK / _START).cast("int").alias("start"), (F.col("place") % _START).cast("int").alias("count"))
+    spans = written(base.mapInArrow(run, "h long, doc_id long, th long, place long"), "spans")
+    here = F.struct("doc_id", "th", "place")
+    firsts = written(spans.groupBy("h").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1"), "firsts")
+    most = spans.count() // HEAVY
+    heavy = F.broadcast(firsts.where(F.col("n") > most).select("h", "first"))
+    usual = spans.join(heavy.select("h"), "h", "left_anti").join(firsts.where(F.col("n") <= most).select("h", "first"), "h")
+    later = spans.join(heavy, "h").unionByName(usual).where(here > F.col("first"))
+    return later.select("doc_id", "th", F.floor(F.col("place") / _START).cast("int").alias("start"), (F.col("place") % _START).cast("int").alias("count"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -114,18 +120,20 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(lines), len(gone)
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, removed: str = "n_removed") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long: int = LONG, removed: str = "n_removed") -> DataFrame:
     """``docs`` without the sentences covered by a non-first repeated run; ``removed`` counts them.
 
+    A run is several sentences in a row, at least ``least`` of them with ``least_words`` words together, or one of
+    ``long`` words. Longer runs that repeat are covered by the shortest ones that start and end inside them.
+
     Sentences are compared in lower case with blanks folded. Null text stays null and empty text empty (0 removed).
     Rows with equal id and text are one document and lose the same sentences; null ids come before all others. Texts
     too short for one run are left alone; an empty table gives an empty one; other columns stay as they are.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = repeated(docs, least, least_words).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "count")).alias("spans"))
-    i, m, s = (free_name([*docs.columns, removed], n) for n in ("span_id", "span_mark", "spans"))
+    spans = repeated(docs, least, least_words, long).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "count")).alias("spans"))
+    i, m, s = (free_name([*docs.columns, removed], n) for n in ("span_id", "span_th", "spans"))
     spans = spans.toDF(i, m, s)
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (_mark(text) == F.col(m)), "left").drop(i, m)
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(_text()) == F.col(m)), "left").drop(i, m)
     schema = docs.withColumn(removed, F.lit(0).cast("long")).schema
     at = docs.columns.index("text")
 

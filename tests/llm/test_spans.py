@@ -62,6 +62,28 @@ def test_against_brute_force(spark):
     assert sum(passage in t for t in kept) == 1
 
 
+def test_hot_runs_and_equal_ids(spark, monkeypatch):
+    passage = " ".join(sentence() for _ in range(6))
+    rows = [(7, f"{sentence()} {passage} {sentence()}") for _ in range(120)] + [(None, f"{sentence()}\n{passage}") for _ in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    said, counts = sum(t.count(".") for _, t in rows), {}
+    for heavy in (S.HEAVY, 1):  # by broadcast, by shuffle
+        monkeypatch.setattr(S, "HEAVY", heavy)
+        got = S.remove_repeats(df).collect()
+        counts[heavy] = sorted((str(r["doc_id"]), r["text"], r["n_removed"]) for r in got)
+        assert sum(passage in r["text"] for r in got) == 1
+        assert said - sum(r["text"].count(".") for r in got) == sum(r["n_removed"] for r in got)
+    assert counts[1] == counts[S.HEAVY] or len(set(map(str, counts.values()))) == 1
+
+
+def test_a_very_long_text(spark):
+    passage = " ".join(sentence() for _ in range(8))
+    long = " ".join(f"{sentence()} Number {k} it is." for k in range(60_000))
+    df = spark.createDataFrame([(1, passage), (2, f"{long} {passage}"), (3, "word " * 500_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in S.remove_repeats(df).collect()}
+    assert passage not in got[2]["text"] and got[1]["n_removed"] == got[3]["n_removed"] == 0
+
+
 def test_without():
     text = "One a. Two b.\nThree c.\n\nFour d."
     assert S.without(text, [(1, 2)]) == ("One a.\n\nFour d.", 2)
