@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import MEMORY, UnitIds, slices, unit_ids
+from quire.llm.tokens import MEMORY, PART, UnitIds, parts_of, slices, texts_of, unit_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padding long"
 #: Numbers of a partition's sequences stay below this.
@@ -23,8 +23,6 @@ PARTITION_SPAN = 1 << 36
 SENTENCE_PENALTY, FORCED_PENALTY, WINDOW_COST = 4, 64, 1
 #: A window may also be a power of two from window / SHORTEST on: such lengths are not padded.
 SHORTEST = 32
-#: Text of about so many bytes is worked on at once; a longer text in parts that end at blanks.
-SLICE = 1 << 20
 #: Windows are settled once so many times their length is at hand.
 SETTLED = 32
 
@@ -89,20 +87,6 @@ def offered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return total[np.searchsorted(begin, at)]
 
 
-def parts_of(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """A long text in parts of about ``most`` bytes, each ending after a blank or line break."""
-    low = 0
-    while low < len(data):
-        high = low + most
-        if high < len(data):
-            blank = np.flatnonzero((data[low:high] == 32) | (data[low:high] == 10))
-            if not len(blank):
-                blank = np.flatnonzero((data[high:] == 32) | (data[high:] == 10))[:1] + most
-            high = low + int(blank[-1]) + 1 if len(blank) else len(data)
-        yield data[low:high]
-        low = high
-
-
 class _Stream:
     """The token stream of a partition's documents, in their order; windows leave it as they are settled."""
 
@@ -118,9 +102,9 @@ class _Stream:
     def add(self, names: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
         """Texts, each closed by a line break, and the places where they start and the last ends."""
         ends = offsets[1:] - 1
-        if len(ends) == 1 and len(data) > 2 * SLICE:
+        if len(ends) == 1 and len(data) > 2 * PART:
             got, cuts, at = [], [], 0
-            for part in parts_of(data, SLICE):
+            for part in parts_of(data, PART):
                 last = np.array([len(part) - 1] if at + len(part) == len(data) else [], np.int64)
                 ids, begin, size = self.table.of(part, last)
                 cuts.append(offered(part, begin, size) + sum(map(len, got)))
@@ -183,7 +167,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     that is cut at ends of documents and sentences only, except inside sentences longer than a window. Returns one row
     per piece: doc_id, start and length within the document's ids, CRC-32 of the piece's ids, tokens of the document,
     sequence_id, offset in the sequence, sequence_length and the sequence's padding. ``memory`` bounds the units whose
-    ids a Python worker keeps; it changes the speed, not the result. A task holds a slice of its stream (SLICE bytes
+    ids a Python worker keeps; it changes the speed, not the result. A task holds a slice of its stream (PART bytes
     and SETTLED windows), or the ids of one document that is longer.
 
     Null text counts as empty (one piece that holds ``end_id``). Any long is an id; null ids come first. Rows with equal
@@ -198,11 +182,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
         for batch in batches:
             texts = batch.column(1)
             sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes, SLICE):
-                part = texts.slice(a, b - a).cast(pa.large_binary())
-                offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + b - a + 1]
-                data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-                stream.add(batch.column(0).slice(a, b - a), data, offsets - offsets[0])
+            for a, b in slices(sizes, PART):
+                stream.add(batch.column(0).slice(a, b - a), *texts_of(texts.slice(a, b - a)))
                 if (out := stream.settle(True)) is not None:
                     yield out
         if (out := stream.settle(False)) is not None:

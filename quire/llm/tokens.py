@@ -10,12 +10,15 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Units whose ids a Python worker keeps (about 60 bytes each); a full table is emptied.
 MEMORY = 1_000_000
 #: Longer units get their hash from the whole run of bytes.
 LONG_UNIT = 64
+#: Text of about so many bytes is worked on at once; a longer text in parts that end at blanks.
+PART = 1 << 20
 #: Words that the library encodes at a time.
 LEARNED = 2000
 
@@ -180,8 +183,8 @@ class UnitIds:
             ids[i] = np.array(self._direct(words[i]), np.uint32)
         return np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
 
-    def of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in turn (each closed by the end id), the first byte of each unit, and its number of ids."""
+    def _slots(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each unit of the buffer, all of them learned, and the unit's first byte."""
         begin, end, kind = units(data, ends)
         keys = keys_of(data, begin, end, kind)
         at, hit = self._places(keys)
@@ -200,6 +203,22 @@ class UnitIds:
             words = [raw[a:b].decode(errors="replace") for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)]
             self._put(new, *self._learn(words, kind[where] == _WHOLE))
             at, hit = self._places(keys)
+        return at, begin
+
+    def counts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of ids of the texts, each with its end id; one long text is counted part by part."""
+        if len(ends) == 1 and len(data) > 2 * PART:
+            total, at = 0, 0
+            for part in parts_of(data, PART):
+                at += len(part)
+                total += int(self.size[self._slots(part, ends[:1] - (at - len(part)) if at == len(data) else ends[:0])[0]].sum())
+            return np.array([total])
+        at, begin = self._slots(data, ends)
+        return np.bincount(np.searchsorted(ends, begin), self.size[at], len(ends)).astype(np.int64)
+
+    def of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in turn (each closed by the end id), the first byte of each unit, and its number of ids."""
+        at, begin = self._slots(data, ends)
         first, size = self.first[at], self.size[at].astype(np.int64)
         total = np.cumsum(size)
         place = np.repeat(first - (total - size), size)
@@ -207,6 +226,28 @@ class UnitIds:
         return self.pool[place], begin, size
 
 
+def parts_of(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A long text in parts of about ``most`` bytes, each ending after a blank or line break."""
+    low = 0
+    while low < len(data):
+        high = low + most
+        if high < len(data):
+            blank = np.flatnonzero((data[low:high] == 32) | (data[low:high] == 10))
+            if not len(blank):
+                blank = np.flatnonzero((data[high:] == 32) | (data[high:] == 10))[:1] + most
+            high = low + int(blank[-1]) + 1 if len(blank) else len(data)
+        yield data[low:high]
+        low = high
+
+
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, none of them null, and where each text starts and the last ends."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes each; a longer row is a range by itself."""
     marks = np.cumsum(sizes) // most
