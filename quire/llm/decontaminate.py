@@ -9,16 +9,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import free_name, written
 from quire.llm.quality import _bytes_of, _slices
 
-#: A passage is two neighbouring blocks of so many words.
+#: The latent space is fitted on passages of two neighbouring blocks of so many words.
 BLOCK = 16
 #: Hashed terms, columns of the sketch, and singular directions kept of it.
-TERMS, SKETCH, KEPT = 8192, 64, 48
+TERMS, SKETCH, KEPT = 8192, 112, 96
+#: Passages are searched in steps of a quarter of the item, made of units of so many words.
+UNIT = 4
+#: A passage is looked at when its cosine with the item in the latent space is at least this, whatever the item.
+COSINE = 0.3
 #: A document leaks an item when their longest common subsequence of words covers CLEAR of the item, or PARAPHRASE of
 #: it and ANSWER of the item's answer.
 CLEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
@@ -26,10 +31,10 @@ CLEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 STRETCH = 1.5
 #: Items of fewer words say too little in part: they leak only where all their words stand in a row.
 LEAST_WORDS = 8
-#: Items whose words are counted at a time.
-ITEM_GROUP = 256
-#: Items searched in one pass over the corpus.
-MOST_ITEMS = 4_000
+#: Bytes of the items' vectors that one pass over the corpus searches for, and passages compared with them at a time.
+ITEM_BYTES, PASSAGES = 8 << 20, 8192
+#: Slices in which sketches are summed up.
+SLICES = 64
 _SEED = 20240229
 _WORDS = np.zeros(256, bool)
 _WORDS[list(b"0123456789_abcdefghijklmnopqrstuvwxyz") + list(range(128, 256))] = True
@@ -165,29 +170,35 @@ def _stored(batch: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator
             yield a, np.frombuffer(data.tobytes(), np.uint32), sizes[a:b]
 
 
-def _summed(rows: DataFrame, size: int, slices: int) -> np.ndarray:
-    """Sums arrays that tasks return in slices (k, part): added up slice by slice on executors, then put together."""
+def _summed(rows: DataFrame, size: int, slices: int, tasks: int) -> np.ndarray:
+    """Sums arrays that tasks return in slices (k, g, part): first inside groups g of about the root of all tasks, then
+    slice by slice, so that no task reads more than that root of parts; the driver gets one array."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(part, np.float64)
-                total[k] = total[k] + values if k in total else values
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["k", "part"])
-
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                values = np.frombuffer(part.as_buffer(), np.float32)
+                total[k] = total[k] + values if k in total else values.astype(float)
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["k", "g", "part"])
+
+    schema = "k int, g int, part binary"
+    if tasks > 16:
+        rows = rows.repartition("k", "g").mapInArrow(add, schema)
     out = np.zeros((slices, size // slices))
-    for r in rows.repartition(slices, "k").mapInArrow(add, "k int, part binary").collect():
-        out[r["k"]] += np.frombuffer(r["part"], np.float64)
+    for r in rows.repartition(slices, "k").mapInArrow(add, schema).collect():
+        out[r["k"]] += np.frombuffer(r["part"], np.float32)
     return out.ravel()
 
 
-def _sliced(values: np.ndarray, slices: int) -> pa.RecordBatch:
-    parts = values.astype(np.float64).reshape(slices, -1)
-    return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["k", "part"])
+def _sliced(values: np.ndarray, slices: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    group = TaskContext.get().partitionId() % max(1, int(tasks**0.5))
+    for k, part in enumerate(values.astype(np.float32).reshape(slices, -1)):
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "g", "part"])
 
 
-def document_frequencies(stored: DataFrame) -> tuple[np.ndarray, float]:
+def document_frequencies(stored: DataFrame, tasks: int) -> tuple[np.ndarray, float]:
     """In how many blocks of the corpus each term stands, and the number of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,18 +211,21 @@ def document_frequencies(stored: DataFrame) -> tuple[np.ndarray, float]:
                 new = np.ones(blocks.shape, bool)
                 new[:, 1:] = blocks[:, 1:] != blocks[:, :-1]
                 total[:TERMS] += np.bincount(blocks[new], minlength=TERMS + 1)[:TERMS]
-        yield _sliced(total, 2)
+        yield from _sliced(total, 2, tasks)
 
-    got = _summed(stored.select("ids").mapInArrow(run, "k int, part binary"), 2 * TERMS, 2)
+    got = _summed(stored.select("ids").mapInArrow(run, "k int, g int, part binary"), 2 * TERMS, 2, tasks)
     return got[:TERMS], got[TERMS]
 
 
-def latent_space(stored: DataFrame, idf: np.ndarray, share: np.ndarray) -> np.ndarray:
+def latent_space(stored: DataFrame, idf: np.ndarray, share: np.ndarray, tasks: int) -> np.ndarray:
     """A table of TERMS + 1 rows: what a word adds to its passage's latent vector.
 
     With A the TF-IDF matrix of all passages, one pass works out the sketch Y = A'A W of a random W: each task adds up
     its passages' part. From Y the randomised Nystrom decomposition of A'A gives the right singular vectors and the
-    singular values of A; the coordinates are divided by the latter, so that no direction outweighs the others.
+    singular values of A. Each term keeps its direction among them, and its length is the logarithm of its inverse
+    frequency: otherwise the terms of passages with thousands of copies, which fill the first directions, would drown
+    the others. A second pass sums up the passages' second moments, by which the space is made round, so that
+    cosines of unrelated passages scatter around nought alike in all directions.
     """
     start = np.random.default_rng(_SEED).standard_normal((TERMS, SKETCH))
     weighted = start * idf[:, None]
@@ -236,9 +250,9 @@ def latent_space(stored: DataFrame, idf: np.ndarray, share: np.ndarray) -> np.nd
                     some = terms[k : k + (1 << 14)]
                     cuts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
                     total[some[cuts]] += np.add.reduceat(gives[order[k : k + (1 << 14)] // BLOCK], cuts, axis=0)
-        yield _sliced(total[:TERMS] * idf[:, None], 16)
+        yield from _sliced(total[:TERMS] * idf[:, None], SLICES, tasks)
 
-    y = _summed(stored.select("ids").mapInArrow(run, "k int, part binary"), TERMS * SKETCH, 16).reshape(TERMS, SKETCH)
+    y = _summed(stored.select("ids").mapInArrow(run, "k int, g int, part binary"), TERMS * SKETCH, SLICES, tasks).reshape(TERMS, SKETCH)
     nudge = 1e-9 * np.linalg.norm(y)
     y = y + nudge * start
     core = start.T @ y
@@ -247,7 +261,30 @@ def latent_space(stored: DataFrame, idf: np.ndarray, share: np.ndarray) -> np.nd
     left, singular, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     keep = min(KEPT, int((singular > 1e-6 * max(singular[0], 1e-300)).sum()) if len(singular) else 0)
     table = left[:, :keep] * idf[:, None] / singular[:keep]
-    return np.vstack([table - share @ table, np.zeros(keep)]).astype(np.float32)
+    table = _unit(table) * np.where(idf > 0, np.log1p(idf * idf), 0)[:, None]
+    table = np.vstack([table - share @ table, np.zeros(keep)])
+    moment = second_moment(stored, table.astype(np.float32), tasks)
+    spread, axes = np.linalg.eigh(moment)
+    spread = np.maximum(spread, 0) + 1e-3 * max(spread.mean(), 1e-300)
+    return (table @ (axes / np.sqrt(spread)) @ axes.T).astype(np.float32)
+
+
+def second_moment(stored: DataFrame, table: np.ndarray, tasks: int) -> np.ndarray:
+    """Sum over passages of two blocks, one after the other, of their latent vectors' outer products."""
+    dims = table.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dims, dims))
+        for batch in batches:
+            for _, ids, counts in _stored(batch, 0):
+                if len(ids):
+                    sums, units = _units(ids, counts, table)
+                    _, low, high = _places(units, 2 * BLOCK // UNIT, 2 * BLOCK // UNIT)
+                    z = sums[high] - sums[low]
+                    total += z.T @ z
+        yield from _sliced(total, 1, tasks)
+
+    return _summed(stored.select("ids").mapInArrow(run, "k int, g int, part binary"), dims * dims, 1, tasks).reshape(dims, dims)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -264,47 +301,110 @@ def _least(m: int) -> int:
     return m if m < LEAST_WORDS else int(np.ceil(PARAPHRASE * m - 1e-9))
 
 
-def _window(m: int) -> int:
-    """Blocks that hold a stretch wherever it begins in the first."""
-    return -(-(_size(m) - 1) // BLOCK) + 1
+def _shape(m: int) -> tuple[int, int]:
+    """Units of a passage, and of the step between passages, for an item of m words.
+
+    A step is about a quarter of the item, and a passage has room for the item wherever it begins inside a step.
+    """
+    step = max(1, -(-m // (4 * UNIT)))
+    return -(-m // UNIT) + step, step
+
+
+def _units(ids: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the latent vectors of units (those of a document begin at its first word), and units a document."""
+    units = -(-counts // UNIT)
+    first, begin = np.cumsum(units) - units, np.cumsum(counts) - counts
+    padded = np.full(int(units.sum()) * UNIT, len(table) - 1, np.int64)
+    padded[np.arange(len(ids)) - np.repeat(begin - first * UNIT, counts)] = ids & np.uint32(TERMS - 1)
+    padded = padded.reshape(-1, UNIT)
+    sums = np.zeros((len(padded) + 1, table.shape[1]), np.float32)
+    for k in range(0, len(padded), 4096):
+        some = padded[k : k + 4096]
+        part = table[some[:, 0]]
+        for c in range(1, UNIT):
+            part += table[some[:, c]]
+        np.cumsum(part, axis=0, out=sums[k + 1 : k + 1 + len(part)])
+        sums[k + 1 : k + 1 + len(part)] += sums[k]
+    return sums, units
+
+
+def _places(units: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and last + 1 unit of every passage: every ``step`` units while they fit, and the last ``size``."""
+    first = np.cumsum(units) - units
+    steps = np.where(units > 0, np.maximum(-(-(units - size) // step), 0) + 1, 0)
+    doc = np.repeat(np.arange(len(units)), steps)
+    low = (np.arange(len(doc)) - np.repeat(np.cumsum(steps) - steps, steps)) * step
+    low = first[doc] + np.maximum(np.minimum(low, units[doc] - size), 0)
+    return doc, low, np.minimum(low + size, first[doc] + units[doc])
+
+
+@dataclass
+class Queries:
+    """Items whose passages have the same shape, as unit vectors (a column each)."""
+
+    size: int
+    step: int
+    items: list[Item]
+    vectors: np.ndarray
+
+
+def _queries(items: list[Item], table: np.ndarray) -> list[Queries]:
+    shapes: dict[tuple[int, int], list[Item]] = {}
+    for i in items:
+        shapes.setdefault(_shape(len(i.words)), []).append(i)
+    return [Queries(*shape, same, _unit(np.stack([table[i.words & np.uint32(TERMS - 1)].sum(axis=0) for i in same])).T.astype(np.float32)) for shape, same in sorted(shapes.items())]
+
+
+def candidates(ids: np.ndarray, counts: np.ndarray, queries: list[Queries], table: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[Item, np.ndarray, np.ndarray, np.ndarray]]:
+    """Cosine search: for each item the documents, first units in their document, and cosines of the passages found."""
+    if not len(ids):
+        return
+    sums, units = _units(ids, counts, table)
+    first = np.cumsum(units) - units
+    for q in queries:
+        doc, low, high = _places(units, q.size, q.step)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(0, len(doc), PASSAGES):
+            some = slice(k, k + PASSAGES)
+            score = _unit(sums[high[some]] - sums[low[some]]) @ q.vectors
+            at, which = np.nonzero(score >= cosine)
+            found.append((at + k, which, score[at, which]))
+        at, which, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(which, kind="stable")
+        at, which, score = at[order], which[order], score[order]
+        cuts = np.searchsorted(which, np.arange(len(q.items) + 1))
+        for n, item in enumerate(q.items):
+            mine = slice(cuts[n], cuts[n + 1])
+            if cuts[n + 1] > cuts[n]:
+                yield item, doc[at[mine]], low[at[mine]] - first[doc[at[mine]]], score[mine]
 
 
 def _common(item: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Words that each row of ``spans`` has in common with the item, each as often as both have it."""
-    out = np.zeros(len(spans), np.int64)
+    out = np.zeros(len(spans), np.int16)
     for word, n in zip(*np.unique(item, return_counts=True), strict=True):
-        out += np.minimum((spans == word).sum(axis=1), n)
+        same = spans == word
+        out += same.any(axis=1) if n == 1 else np.minimum(same.sum(axis=1), n).astype(np.int16)
     return out
 
 
-def _candidates(items: list[Item], groups: list[tuple[int, list[int], np.ndarray]], ids: np.ndarray, counts: np.ndarray, blocks: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(block, item) where the blocks from there on that a stretch can fill have enough of the item's words.
+def _enough(item: Item, doc: np.ndarray, unit: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which passages have, with half an item around them, as many of the item's words as any leak must have.
 
-    Whatever _check accepts has a stretch with _least words of the item in order, so no leak is missed. Sums run over
-    the ends of documents, which lets more through; true words of the document alone are then counted.
+    A leak has at least that many of them in a stretch of STRETCH times the item, so one that overlaps the passage is
+    kept for the subsequence check.
     """
-    where = begin + (np.cumsum(counts) - counts)[doc]
-    end = np.cumsum(counts)[doc]
-    for window, group, member in groups:
-        own = member[blocks[:, 0]]
-        for c in range(1, BLOCK):
-            own += member[blocks[:, c]]
-        total = own.copy()
-        for j in range(1, min(window, len(own))):
-            total[:-j] += own[j:]
-        block, which = np.nonzero(total >= np.array([_least(len(items[k].words)) for k in group], own.dtype))
-        order = np.argsort(which, kind="stable")
-        block, which = block[order], which[order]
-        cuts = np.searchsorted(which, np.arange(len(group) + 1))
-        for k, item in enumerate(group):
-            words = items[item].words
-            for at in range(cuts[k], cuts[k + 1], 4096):
-                some = block[at : min(at + 4096, cuts[k + 1])]
-                place = where[some, None] + np.arange(window * BLOCK)
-                inside = place < end[some, None]
-                spans = np.where(inside, ids[np.minimum(place, len(ids) - 1)].astype(np.int64), -1)
-                for b in some[_common(words, spans) >= _least(len(words))].tolist():
-                    yield b, item
+    m = len(item.words)
+    margin = m // 2 + UNIT
+    begin, width = np.cumsum(counts) - counts, (_shape(m)[0] * UNIT) + 2 * margin
+    keep = np.zeros(len(doc), bool)
+    for k in range(0, len(doc), 4096):
+        d = doc[k : k + 4096]
+        place = unit[k : k + 4096, None] * UNIT - margin + np.arange(width)
+        inside = (place >= 0) & (place < counts[d][:, None])
+        spans = np.where(inside, ids[np.where(inside, place + begin[d][:, None], 0)], 0)
+        keep[k : k + 4096] = _common(item.words, spans) >= _least(m)
+    return keep
 
 
 def _check(item: Item, words: np.ndarray, low: int, high: int) -> tuple[float, float]:
@@ -330,18 +430,19 @@ def _check(item: Item, words: np.ndarray, low: int, high: int) -> tuple[float, f
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Documents that hold benchmark items: doc_id, th (hash of the text), item_id, cosine, lcs_share, answer_share, word.
 
-    Every document is cut into overlapping passages. Term statistics and a randomised SVD of their TF-IDF matrix cover
-    the whole corpus. Wherever a stretch of text has as many of an item's words as a leak must have, the two are
-    compared by the longest common subsequence of words and by the item's answer; the latent space ranks the passages
-    of what is found but keeps nothing out. One row per text and item, with the best passage's figures (``word`` is
-    where it begins).
+    Term statistics and a randomised SVD of the TF-IDF matrix of overlapping passages cover the whole corpus. Every
+    document is then cut into overlapping passages as long as the items (steps of a quarter), and those whose latent
+    vector has at least the given ``cosine`` with the item's are its candidates. A candidate is compared with the item by
+    the longest common subsequence of words, and by the item's answer. One row per text and item, with the best
+    passage's figures (``word`` is where it begins).
 
-    Null and empty texts hold nothing; null ids are reported as null. Repeated rows are reported once (equal id and
-    text). Items that are null or empty are left out; those shorter than LEAST_WORDS must stand there word
-    for word. Items of equal text are all reported.
+    The cosine search finds what it finds with some odds: recall is measured in the tests on copies and on paraphrases
+    (words replaced, dropped, moved) and stated in the README. Null and empty texts hold nothing; null ids are reported
+    as null. Repeated rows are reported once (equal id and text). Items that are null or empty are left out; those
+    shorter than LEAST_WORDS must stand there word for word. Items of equal text are all reported.
     Empty tables give no rows; other columns take no part. Documents shorter than a passage are one short passage.
     """
     text = F.concat(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit("\n"))
@@ -359,59 +460,51 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     stored = written(base.mapInArrow(split, "doc_id long, th long, ids binary"), "words")
     schema = "doc_id long, th long, item_id long, cosine double, lcs_share double, answer_share double, word long"
-    df, blocks = document_frequencies(stored)
+    tasks = len(stored.inputFiles())
+    df, blocks = document_frequencies(stored, tasks)
     if not blocks:
         return docs.sparkSession.createDataFrame([], schema)
-    idf = np.sqrt(blocks / np.maximum(df, 1))  # gives every term the same variance, so that rare words tell
-    table = latent_space(stored, idf, df / df.sum())
+    idf = np.sqrt(np.where(df > 0, blocks / np.maximum(df, 1), 0))  # gives every term the same variance, so that rare words tell
+    table = latent_space(stored, idf, df / df.sum(), tasks)
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    parts = max(1, -(-usable.count() // MOST_ITEMS))
+    size = usable.agg(F.count("*") * F.lit(4 * KEPT + 100) + F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // ITEM_BYTES))
     out = None
-    for p in range(parts):
-        some = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
+    for p in range(parts):  # what goes to the driver and to each task at once is bounded by ITEM_BYTES
+        some = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
         items = [i for i in (item_of(r["item_id"], r["text"]) for r in some) if len(i.words)]
-        found = _searched(stored, items, table, schema) if items else docs.sparkSession.createDataFrame([], schema)
+        found = _searched(stored, _queries(items, table), table, schema, cosine) if items else docs.sparkSession.createDataFrame([], schema)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine", (-F.col("word")).alias("back"))).alias("b")
     return out.groupBy("doc_id", "th", "item_id").agg(best).select("doc_id", "th", "item_id", "b.cosine", "b.lcs_share", "b.answer_share", (-F.col("b.back")).alias("word"))
 
 
-def _searched(stored: DataFrame, items: list[Item], table: np.ndarray, schema: str) -> DataFrame:
-    spans = [sorted({*range(0, max(1, len(i.words) - 2 * BLOCK + 1), BLOCK), max(0, len(i.words) - 2 * BLOCK)}) for i in items]
-    queries = [_unit(np.stack([table[i.words[a : a + 2 * BLOCK] & (TERMS - 1)].sum(axis=0) for a in s])).T for i, s in zip(items, spans, strict=True)]
-    groups = []
-    for window in sorted({_window(len(i.words)) for i in items}):
-        same = [k for k, i in enumerate(items) if _window(len(i.words)) == window]
-        for some in (same[a : a + ITEM_GROUP] for a in range(0, len(same), ITEM_GROUP)):
-            member = np.zeros((TERMS + 1, len(some)), np.uint8 if window * BLOCK < 256 else np.uint32)
-            for column, k in enumerate(some):
-                member[items[k].words & (TERMS - 1), column] = 1
-            groups.append((window, some, member))
-
+def search(ids: np.ndarray, counts: np.ndarray, queries: list[Queries], table: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[int, Item, float, float, float, int]]:
+    """(document, item, cosine, share, answer's share, first word) of the leaks among some documents."""
+    ends = np.cumsum(counts)
+    for item, doc, unit, score in candidates(ids, counts, queries, table, cosine):
+        keep = _enough(item, doc, unit, ids, counts)
+        near: dict[tuple[int, int], list] = {}
+        m = len(item.words)
+        far = 4 * _shape(m)[0]  # candidates near each other are checked together
+        for d, u, c in zip(doc[keep].tolist(), unit[keep].tolist(), score[keep].tolist(), strict=True):
+            had = near.setdefault((d, u // far), [u, u, c, u])
+            had[0], had[1] = min(had[0], u), max(had[1], u)
+            if c > had[2]:
+                had[2], had[3] = c, u
+        for (d, _), (low, high, c, at) in near.items():
+            share, answer = _check(item, ids[ends[d] - counts[d] : ends[d]], low * UNIT, (high + _shape(m)[0]) * UNIT)
+            if share >= CLEAR or share >= PARAPHRASE and answer >= ANSWER:
+                yield d, item, c, share, answer, at * UNIT
+
+
+def _searched(stored: DataFrame, queries: list[Queries], table: np.ndarray, schema: str, cosine: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for first, ids, counts in _stored(batch, 2):
-                blocks, doc, begin = _terms(ids, counts)
-                if not len(blocks):
-                    continue
-                ends = np.cumsum(counts)
-                near: dict[tuple[int, int, int], tuple[int, int]] = {}
-                for block, item in _candidates(items, groups, ids, counts, blocks, doc, begin):
-                    low = int(begin[block])
-                    key = (int(doc[block]), item, low // (4 * BLOCK))
-                    had = near.get(key, (block, block))
-                    near[key] = (min(block, had[0]), max(block, had[1]))
-                for (d, item, _), (low, high) in near.items():
-                    words = ids[ends[d] - counts[d] : ends[d]]
-                    m = len(items[item].words)
-                    share, answer = _check(items[item], words, int(begin[low]), int(begin[high]) + _window(m) * BLOCK)
-                    if share >= CLEAR or share >= PARAPHRASE and answer >= ANSWER:
-                        some = slice(low, min(high + _window(m), int(np.searchsorted(doc, d, side="right"))))
-                        z, at = _passages(blocks[some], doc[some], table)
-                        cosine = (_unit(z) @ queries[item]).max(axis=1)
-                        best, row = int(cosine.argmax()), first + d
-                        rows.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), items[item].item_id, float(cosine[best]), share, answer, int(begin[low + at[best]])))
+                for d, item, c, share, answer, word in search(ids, counts, queries, table, cosine):
+                    rows.append((batch.column(0)[first + d].as_py(), batch.column(1)[first + d].as_py(), item.item_id, c, share, answer, word))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -89,28 +90,95 @@ def test_leaks_at_the_limit(spark):
     assert {(f["doc_id"], f["item_id"]) for f in found} == want
 
 
-def test_candidates_miss_nothing():
-    """Every pair that the check accepts anywhere in a document is a candidate there."""
-    import numpy as np
-
-    r = random.Random(2)
-    items = [D.item_of(k, " ".join(r.choice(VOCABULARY[:90]) for _ in range(m))) for k, m in enumerate((3, 9, 17, 24, 31, 55))]
-    groups = []
-    for k, i in enumerate(items):
-        member = np.zeros((D.TERMS + 1, 1), np.uint8)
-        member[i.words & (D.TERMS - 1), 0] = 1
-        groups.append((D._window(len(i.words)), [k], member))
-    for seed in range(60):
-        texts = []
-        for k, i in enumerate(items):
-            own = [w if r.random() < 0.75 else np.uint32(7) for w in i.words]
-            fill = [D.ids_of(w)[0] for w in prose(r.randint(0, 70), 100 * seed + k).split()]
-            texts.append(np.array([*fill, *own, *fill[::-1]], np.uint32))
-        ids, counts = np.concatenate(texts), np.array([len(t) for t in texts])
-        blocks, doc, begin = D._terms(ids, counts)
-        got = {(int(doc[b]), k) for b, k in D._candidates(items, groups, ids, counts, blocks, doc, begin)}
-        for d, words in enumerate(texts):
-            for k, i in enumerate(items):
-                share, answer = D._check(i, words, 0, len(words))
-                if share >= D.CLEAR or share >= D.PARAPHRASE and answer >= D.ANSWER:
-                    assert (d, k) in got
+def corpus(spark):
+    """Documents of a real table, with copies of passages and with common words, and its benchmark."""
+    folder = "/root/testdata/sf0.01"
+    return spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+
+
+def changed(words, kind, r, filler):
+    words, m = list(words), len(words)
+    if kind == "replaced":
+        for k in r.sample(range(m), m * 3 // 10):
+            words[k] = r.choice(filler)
+    elif kind == "dropped":
+        for k in sorted(r.sample(range(m), m // 4), reverse=True):
+            del words[k]
+    elif kind == "inserted":
+        for _ in range(m // 4):
+            words.insert(r.randrange(len(words)), r.choice(filler))
+    elif kind == "moved":
+        n = max(1, m // 6)
+        k = r.randrange(m - n)
+        part = words[k : k + n]
+        del words[k : k + n]
+        k = r.randrange(len(words))
+        words[k:k] = part
+    return words
+
+
+def test_recall(spark):
+    """Copies and paraphrases that the acceptance rule takes anywhere in a document, planted among real documents."""
+    docs, bench = corpus(spark)
+    r = random.Random(3)
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect() if x["text"]]
+    filler = [w for _, t in rows[:50] for w in t.split()]
+    items = [D.item_of(x["item_id"], x["text"]) for x in bench.collect()]
+    plain = {x["item_id"]: x["text"].split() for x in bench.collect()}
+    planted, want = [], {}
+    for kind in ("copied", "replaced", "dropped", "inserted", "moved"):
+        for item in items:
+            around = r.choice(rows)[1].split()[: r.randrange(40, 300)]
+            at = r.randrange(len(around))
+            text = " ".join([*around[:at], *changed(plain[item.item_id], kind, r, filler), *around[at:]])
+            words = D.ids_of(text)
+            share, answer = D._check(item, words, 0, len(words))
+            if share >= D.CLEAR or share >= D.PARAPHRASE and answer >= D.ANSWER:
+                want.setdefault(kind, set()).add((10_000_000 + len(planted), item.item_id))
+            planted.append((10_000_000 + len(planted), text))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]) for x in D.leaks(df, bench).collect()}
+    recall = {kind: len(pairs & got) / len(pairs) for kind, pairs in want.items()}
+    print("recall", {k: (round(v, 3), len(want[k])) for k, v in recall.items()})
+    assert recall["copied"] >= 0.98 and min(recall.values()) >= 0.9
+
+
+def test_the_cosine_search_selects(spark):
+    """Few pairs of passages and items are candidates, and all that is reported comes from them."""
+    docs, bench = corpus(spark)
+    seen = {}
+    searched, D._searched = D._searched, lambda stored, queries, table, *rest: seen.update(q=queries, t=table) or searched(stored, queries, table, *rest)
+    try:
+        found = D.leaks(docs, bench).collect()
+    finally:
+        D._searched = searched
+    texts = [x["text"] or "" for x in docs.collect()]
+    words = [D.ids_of(t) for t in texts]
+    ids, counts = np.concatenate(words), np.array([len(w) for w in words])
+    units = -(-counts // D.UNIT)
+    pairs = sum(len(D._places(units, q.size, q.step)[0]) * len(q.items) for q in seen["q"])
+    taken = sum(len(doc) for _, doc, _, _ in D.candidates(ids, counts, seen["q"], seen["t"]))
+    assert taken < 0.02 * pairs and found and all(f["cosine"] >= D.COSINE for f in found)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 70), min_size=1, max_size=8), st.integers(3, 60))
+def test_passages_cover_every_word(counts, m):
+    size, step = D._shape(m)
+    units = -(-np.array(counts) // D.UNIT)
+    doc, low, high = D._places(units, size, step)
+    first = np.cumsum(units) - units
+    for d, n in enumerate(units.tolist()):
+        mine = doc == d
+        covered = {u for a, b in zip(low[mine] - first[d], high[mine] - first[d], strict=True) for u in range(a, b)}
+        assert covered == set(range(n))
+        for begin in range(max(0, counts[d] - m + 1)):  # an item fits into a passage wherever it begins
+            assert any(a * D.UNIT <= begin and begin + m <= max(b * D.UNIT, counts[d] if b == n else 0) for a, b in zip(low[mine] - first[d], high[mine] - first[d], strict=True))
+    assert (np.diff(doc) >= 0).all() and (high - low <= size).all()
+
+
+def test_a_very_long_text(spark):
+    item = prose(40, 77)
+    docs = [(i, prose(120, 7000 + i)) for i in range(100)] + [(500, prose(150_000, 8) + " " + item + " " + prose(150_000, 9)), (501, "x" * 2_000_000)]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(500, 1)]
