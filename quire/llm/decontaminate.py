@@ -9,12 +9,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import free_name, written
 from quire.llm.quality import _bytes_of, _slices
+from quire.llm.sums import SCHEMA, sliced, summed
 
 #: The latent space is fitted on passages of two neighbouring blocks of so many words.
 BLOCK = 16
@@ -170,34 +170,6 @@ def _stored(batch: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator
             yield a, np.frombuffer(data.tobytes(), np.uint32), sizes[a:b]
 
 
-def _summed(rows: DataFrame, size: int, slices: int, tasks: int) -> np.ndarray:
-    """Sums arrays that tasks return in slices (k, g, part): first inside groups g of about the root of all tasks, then
-    slice by slice, so that no task reads more than that root of parts; the driver gets one array."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                values = np.frombuffer(part.as_buffer(), np.float32)
-                total[k] = total[k] + values if k in total else values.astype(float)
-        for k, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["k", "g", "part"])
-
-    schema = "k int, g int, part binary"
-    if tasks > 16:
-        rows = rows.repartition("k", "g").mapInArrow(add, schema)
-    out = np.zeros((slices, size // slices))
-    for r in rows.repartition(slices, "k").mapInArrow(add, schema).collect():
-        out[r["k"]] += np.frombuffer(r["part"], np.float32)
-    return out.ravel()
-
-
-def _sliced(values: np.ndarray, slices: int, tasks: int) -> Iterator[pa.RecordBatch]:
-    group = TaskContext.get().partitionId() % max(1, int(tasks**0.5))
-    for k, part in enumerate(values.astype(np.float32).reshape(slices, -1)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "g", "part"])
-
-
 def document_frequencies(stored: DataFrame, tasks: int) -> tuple[np.ndarray, float]:
     """In how many blocks of the corpus each term stands, and the number of blocks."""
 
@@ -211,9 +183,9 @@ def document_frequencies(stored: DataFrame, tasks: int) -> tuple[np.ndarray, flo
                 new = np.ones(blocks.shape, bool)
                 new[:, 1:] = blocks[:, 1:] != blocks[:, :-1]
                 total[:TERMS] += np.bincount(blocks[new], minlength=TERMS + 1)[:TERMS]
-        yield from _sliced(total, 2, tasks)
+        yield from sliced(total, 2, tasks)
 
-    got = _summed(stored.select("ids").mapInArrow(run, "k int, g int, part binary"), 2 * TERMS, 2, tasks)
+    got = summed(stored.select("ids").mapInArrow(run, SCHEMA), 2 * TERMS, 2, tasks)
     return got[:TERMS], got[TERMS]
 
 
@@ -250,9 +222,9 @@ def latent_space(stored: DataFrame, idf: np.ndarray, share: np.ndarray, tasks: i
                     some = terms[k : k + (1 << 14)]
                     cuts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
                     total[some[cuts]] += np.add.reduceat(gives[order[k : k + (1 << 14)] // BLOCK], cuts, axis=0)
-        yield from _sliced(total[:TERMS] * idf[:, None], SLICES, tasks)
+        yield from sliced(total[:TERMS] * idf[:, None], SLICES, tasks)
 
-    y = _summed(stored.select("ids").mapInArrow(run, "k int, g int, part binary"), TERMS * SKETCH, SLICES, tasks).reshape(TERMS, SKETCH)
+    y = summed(stored.select("ids").mapInArrow(run, SCHEMA), TERMS * SKETCH, SLICES, tasks).reshape(TERMS, SKETCH)
     nudge = 1e-9 * np.linalg.norm(y)
     y = y + nudge * start
     core = start.T @ y
@@ -282,9 +254,9 @@ def second_moment(stored: DataFrame, table: np.ndarray, tasks: int) -> np.ndarra
                     _, low, high = _places(units, 2 * BLOCK // UNIT, 2 * BLOCK // UNIT)
                     z = sums[high] - sums[low]
                     total += z.T @ z
-        yield from _sliced(total, 1, tasks)
+        yield from sliced(total, 1, tasks)
 
-    return _summed(stored.select("ids").mapInArrow(run, "k int, g int, part binary"), dims * dims, 1, tasks).reshape(dims, dims)
+    return summed(stored.select("ids").mapInArrow(run, SCHEMA), dims * dims, 1, tasks).reshape(dims, dims)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -14,6 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.decontaminate import ids_of, word_ids
+from quire.llm.quality import _bytes_of, _slices
+from quire.llm.sums import SCHEMA as SUMS
+from quire.llm.sums import sliced, summed
+
 #: Published forms of keys and tokens.
 KNOWN = {
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
@@ -26,26 +31,32 @@ KNOWN = {
 }
 _KNOWN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in KNOWN.items()))
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+#: A value assigned to a name that tells a secret, of any length and signs: looked for at each sign of assignment.
+_ASSIGNED = re.compile(r"""[:=]\s?(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))""")
 #: Cheap signs that a text may hold a published form.
 _SIGNS = ("AKIA", "ASIA", "gh", "xox", "AIza", "k_live_", "k_test_", "eyJ", "-----BEGIN")
 #: Words near a secret, near a harmless digest or name, and in placeholders.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "credential", "private", "access", "bearer", "key")
 HARMLESS_WORDS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "guid", "etag", "revision", "hash", "build", "version", "card", "order", "invoice", "isbn", "phone")
 PLACEHOLDERS = ("example", "sample", "dummy", "changeme", "placeholder", "your", "xxxx", "0000", "1234", "abcd", "test", "redacted", "todo")
-#: The dictionary whose words cover ordinary names.
+#: Words that names in code are made of; the words of the corpus are added to them.
 DICTIONARY = (
-    "able about access account action active address admin after agent alert all alpha amount and api app application area array asset async auth auto base batch before beta bill block body book "
-    "bool box branch buffer build button byte cache call card case cell center change channel char check child class clean client clock close cloud code color column command commit common compile "
-    "config connect const content context control copy core count create current custom daily data database date debug default delete demo detail device digest direct disk display document domain "
-    "done down draft draw drive each east edge edit email empty enable end engine enter entry error event every example export extra factory false fast field file filter final find first flag "
-    "flow font force form format forward frame from full function future game gate general get global graph grid group guest handle hash head health height hidden high home host hour html icon "
-    "image import index info init inner input insert inside internal into item java job join key kind label last layer layout left length level line link list load local lock log login long loop"
+    "access account action address admin alert app area array auth back base batch block body book box branch buffer build button byte cache call card cell change channel char check class client "
+    "clock code color column command commit config content control copy core count create custom data date debug default delete device digest display document domain draft edit email enable end engine "
+    "entry error event example export factory field file filter final find flag folder form format frame full function game global graph grid group handle hash header height host html icon image "
+    "import index info input item java job key kind label layer layout length level line link list load local lock log login loop main map mark master media member memory menu message method mode "
+    "model module month name network node note number object offset open option order output owner page param parent part password path payment phone place plan point policy port post price print "
+    "process product profile project public query queue random range read record region remote report request reset response result retry role root route row sample scale schema scope score script "
+    "search section secret select send sequence server service session set shop size slot sort source stage start state status step stock store stream string style system table tag target task test "
+    "text theme thread time title token tool topic total track tree type unit update upload user value version video view week width window word work worker write year zone"
 ).split()
-_COVER = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A word of the corpus is known when its hash is so frequent; hashes of words, and the shortest word that counts.
+BUCKETS, KNOWN_SHARE, LEAST_LETTERS = 1 << 18, 2e-5, 3
 _CONTEXT = 48
 FEATURE_NAMES = (
-    "length", "entropy", "distinct", "digits", "upper", "lower", "signs", "hex", "transitions", "pairs", "covered", "longest_run", "steps",
-    "path", "slashes", "secret_word", "harmless_word", "placeholder", "assigned", "quoted", "known", "dashes", "only_digits", "vowels",
+    "length", "entropy", "distinct", "digits", "upper", "lower", "signs", "hex", "kinds", "fluency", "least_fluent", "covered", "longest_run", "steps",
+    "path", "slashes", "secret_word", "harmless_word", "placeholder", "assigned", "quoted", "known", "dashes", "only_digits", "vowels", "blanks",
 )
 TREES, DEPTH, LEAST_LEAF, THRESHOLD = 40, 10, 3, 0.5
 #: Labelled findings that a forest is fitted on, at most.
@@ -53,10 +64,17 @@ MOST_LABELLED = 20_000
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of published forms, and of long tokens that hold a digit or are assigned a value."""
+    """(start, end, rule) of published forms, of values assigned to telling names, and of long tokens with a digit or assigned."""
     out = []
     if any(s in text for s in _SIGNS):
         out = [(m.start(), m.end(), m.lastgroup) for m in _KNOWN.finditer(text)]
+    if ":" in text or "=" in text:
+        for m in _ASSIGNED.finditer(text):
+            name = re.search(r"[\w-]+[\"']?\s?$", text[max(0, m.start() - 40) : m.start()])
+            if name and any(w in name[0].lower() for w in SECRET_WORDS):
+                a, b = m.span(m.lastindex)
+                if not any(x < b and a < y for x, y, _ in out):
+                    out.append((a, b, "assigned"))
     taken = [(a, b) for a, b, _ in out]
     for m in _TOKEN.finditer(text):
         a, b = m.span()
@@ -71,7 +89,60 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def features(text: str, start: int, end: int, rule: str) -> list[float]:
+@dataclass
+class Words:
+    """What a corpus tells about words: odds of letters that follow each other, and frequent words (by hash)."""
+
+    turns: np.ndarray  # logarithms; 0 stands for all that is no letter, 1 to 26 for the letters
+    known: np.ndarray
+
+    def covered(self, token: str) -> float:
+        """The part of the token's characters that lie in words of the dictionary or of the corpus."""
+        parts = [p.lower() for p in _PARTS.findall(token)]
+        return sum(len(p) for p in parts if len(p) >= LEAST_LETTERS and (p in _DICTIONARY or bool(self.known[int(ids_of(p)[0]) % BUCKETS]))) / len(token)
+
+    def fluency(self, token: str) -> tuple[float, float]:
+        """The mean and the least logarithm of the odds of the token's letter pairs."""
+        at = _LETTER[np.frombuffer(token.encode("ascii", "replace"), np.uint8)]
+        odds = self.turns[at[:-1], at[1:]]
+        return (float(odds.mean()), float(odds.min())) if len(odds) else (0.0, 0.0)
+
+
+_DICTIONARY = frozenset(DICTIONARY)
+_LETTER = np.zeros(256, np.intp)
+_LETTER[97:123] = _LETTER[65:91] = np.arange(1, 27)
+
+
+def words_of(pairs: np.ndarray, hashes: np.ndarray) -> Words:
+    """From counts of letter pairs (27 x 27) and of hashed words; the dictionary's own words count once each."""
+    pairs = pairs.reshape(27, 27) + 0.5
+    for w in DICTIONARY:
+        at = _LETTER[np.frombuffer(f" {w} ".encode(), np.uint8)]
+        np.add.at(pairs, (at[:-1], at[1:]), 1)
+    return Words(np.log(pairs / pairs.sum(axis=1, keepdims=True)), hashes >= np.maximum(2, KNOWN_SHARE * hashes.sum()))
+
+
+def fit_words(docs: DataFrame) -> Words:
+    """The word model of all texts: letter pairs and hashed words are counted where the texts lie and summed up."""
+    text = F.concat(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit("\n"))
+    rows = docs.select(text.alias("text"))
+    tasks = max(1, len(docs.inputFiles()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 1024)
+        for batch in batches:
+            for a, b in _slices(batch.column(0), 1 << 20):
+                data, offsets = _bytes_of(batch.column(0).slice(a, b - a))
+                at = _LETTER[data]
+                total[BUCKETS : BUCKETS + 729] += np.bincount(27 * at[:-1] + at[1:], minlength=729)
+                total[:BUCKETS] += np.bincount(word_ids(data, offsets)[0] % BUCKETS, minlength=BUCKETS)
+        yield from sliced(total, 32, tasks)
+
+    got = summed(rows.mapInArrow(run, SUMS), BUCKETS + 1024, 32, tasks)
+    return words_of(got[BUCKETS : BUCKETS + 729], got[:BUCKETS])
+
+
+def features(text: str, start: int, end: int, rule: str, words: Words) -> list[float]:
     """A candidate's length, characters and their transitions, dictionary coverage, path and neighbouring words."""
     token = text[start:end]
     n = len(token)
@@ -84,8 +155,6 @@ def features(text: str, start: int, end: int, rule: str) -> list[float]:
     turns = sum(x != y for x, y in zip(kind, kind[1:], strict=False))
     low = token.lower()
     vowels = sum(c in "aeiou" for c in low)
-    speech = sum((x in "aeiou") != (y in "aeiou") for x, y in zip(low, low[1:], strict=False) if x.isalpha() and y.isalpha())
-    covered = sum(len(m) for m in _COVER.findall(low))
     run = best = 1
     steps = 0
     for x, y in zip(token, token[1:], strict=False):
@@ -95,11 +164,12 @@ def features(text: str, start: int, end: int, rule: str) -> list[float]:
     before, after = text[max(0, start - _CONTEXT) : start].lower(), text[end : end + 16].lower()
     near = before[-24:]
     ahead = before.rstrip(" \"'")
+    mean, least = words.fluency(token)
     return [
-        n, entropy, len(counts) / n, digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, all(c in "0123456789abcdef" for c in low), turns / n, speech / n, covered / n, best / n, steps / n,
+        n, entropy, len(counts) / n, digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, all(c in "0123456789abcdef" for c in low), turns / n, mean, least, words.covered(token), best / n, steps / n,
         before.endswith(("/", "\\", ".", "@", "#")) or after.startswith(("/", ".com", ".js", ".py", ".html", "@")), token.count("/"),
         any(w in near for w in SECRET_WORDS), any(w in near for w in HARMLESS_WORDS), any(w in low for w in PLACEHOLDERS),
-        ahead.endswith(("=", ":")), before.endswith(("'", '"', "`")), rule != "token", token.count("-"), digits == n, vowels / n,
+        ahead.endswith(("=", ":")), before.endswith(("'", '"', "`")), rule not in ("token", "assigned"), token.count("-"), digits == n, vowels / n, token.count(" "),
     ]
 
 
@@ -167,9 +237,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 7) -> Fore
 def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, str, int]]:
     """Labelled findings made by rule: (text, start, end, rule, label). Half are secrets.
 
-    Secrets are random strings of usual alphabets and lengths that are assigned or quoted near a telling word, or have
-    a published form. The others are what scans take for them: words, names, paths, digests of commits and files,
-    unique ids, numbers, placeholders.
+    Secrets are random strings of usual alphabets and lengths that are assigned or quoted near a telling word, short
+    passwords of letters, digits and signs, or have a published form. The others are what scans take for them: words and
+    names (also such as no dictionary has), paths, digests of commits and files, unique ids, numbers, placeholders, and
+    words or references to variables that are assigned to telling names.
     """
     r = random.Random(seed)
     hexes, letters, base64 = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -185,6 +256,11 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int
             form = r.random()
             if form < 0.1:
                 value, rule = r.choice((("AKIA" + some(base64[:26] + "0123456789", 16), "aws_key"), ("ghp_" + some(base64[:62], 36), "github_token"), ("sk_live_" + some(base64[:62], 24), "stripe_key")))
+            elif form < 0.35:  # a short password
+                value, rule = "".join(r.choice(base64[:62] + "!#$%&*@?^~.") for _ in range(r.randint(7, 15))), "assigned"
+                value = value if any(c.isdigit() for c in value) else value + "7"
+            else:
+                rule = r.choice(("token", "assigned"))
             said = r.choice(('{} = "{}"', "{}={}", "{}: {}", "{}: '{}'", 'export {}="{}"', '"{}": "{}"')).format(r.choice(names), value)
             text = f"{prose()}{r.choice((' ', chr(10), '### ', '%%% '))}{said} {prose()}"
         else:
@@ -200,6 +276,8 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int
                     lambda: "".join(word() for _ in range(4)) + some("0123456789", 1),
                     lambda: some(letters, r.randint(4, 8)) + "-" + "-".join(r.choice(DICTIONARY) for _ in range(4)) + "-" + some("0123456789", 4),
                     lambda: f"20{some('0123456789', 2)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-00-00",
+                    lambda: "".join(word().title() for _ in range(3)) + some("0123456789", r.randint(1, 2)),
+                    lambda: "-".join(word() for _ in range(4)) + "-" + some("0123456789", 3),
                 )
             )()
             value = value if len(value) >= 16 else value + "_" + some(letters, 16 - len(value))
@@ -207,22 +285,34 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int
             if all(c in hexes for c in value) and len(value) == 40:
                 place = r.choice(("commit {}", "sha1: {}", "/objects/{}", "checksum = {}", "etag: {}", "revision {}"))
             text = f"{prose()} {place.format(value)} {prose()}"
+            if r.random() < 0.2:  # harmless values of telling names
+                value, rule = r.choice((lambda: word() + word(), lambda: r.choice(DICTIONARY), lambda: "${" + r.choice(DICTIONARY).upper() + "_TOKEN}", lambda: f"get_{r.choice(DICTIONARY)}()", lambda: f"{word()} {word()} {word()}", lambda: r.choice(("none", "null", "true", "required", "********", "<your-key>", "changeme", "xxxxxxxx")), lambda: f"os.environ.{r.choice(DICTIONARY)}"))(), "assigned"
+                text = f"{prose()} " + r.choice(('{} = "{}"', "{}: {}", "{}={}")).format(r.choice(names), value) + f" {prose()}"
+                out.append((text, start := text.rindex(value), start + len(value), rule, 0))
+                continue
         start = text.index(value)
         out.append((text, start, start + len(value), rule, k % 2))
     return out
 
 
-def train(labelled: list[tuple[str, int, int, str, int]] | None = None, seed: int = 7) -> Forest:
-    """A forest fitted on labelled findings (by rule-made ones where none are given), at most MOST_LABELLED of them."""
+@dataclass
+class Model:
+    forest: Forest
+    words: Words
+
+
+def train(words: Words | None = None, labelled: list[tuple[str, int, int, str, int]] | None = None, seed: int = 7) -> Model:
+    """A word model and a forest fitted on at most MOST_LABELLED labelled findings (rule-made where none are given)."""
+    words = words_of(np.zeros(729), np.zeros(BUCKETS)) if words is None else words
     rows = (labelled_findings() if labelled is None else labelled)[:MOST_LABELLED]
-    x = np.array([features(t, a, b, rule) for t, a, b, rule, _ in rows], float).reshape(len(rows), len(FEATURE_NAMES))
-    return fit(x, np.array([r[4] for r in rows], float), seed=seed)
+    x = np.array([features(t, a, b, rule, words) for t, a, b, rule, _ in rows], float).reshape(len(rows), len(FEATURE_NAMES))
+    return Model(fit(x, np.array([r[4] for r in rows], float), seed=seed), words)
 
 
 SCHEMA = "doc_id long, start long, length long, rule string, fingerprint string, score double, is_secret boolean"
 
 
-def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Every candidate of every text, judged: doc_id, start and length in characters, rule, fingerprint, score, is_secret.
 
     ``fingerprint`` is the first half of the value's SHA-256, so that equal secrets are seen to be equal and none is
@@ -238,10 +328,10 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataF
                 rows, x = [], []
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns), strict=True):
                     for a, b, rule in candidates(text or ""):
-                        x.append(features(text, a, b, rule))
+                        x.append(features(text, a, b, rule, model.words))
                         rows.append((doc_id, a, b - a, rule, hashlib.sha256(text[a:b].encode()).hexdigest()[:32]))
                 if rows:
-                    score = forest.score(np.array(x, float))
+                    score = model.forest.score(np.array(x, float))
                     columns = [*zip(*rows, strict=True), score.tolist(), (score >= threshold).tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
