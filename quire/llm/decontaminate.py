@@ -21,9 +21,9 @@ BLOCK = 16
 #: Hashed terms, columns of the sketch, and singular directions kept of it.
 TERMS, SKETCH, KEPT = 8192, 112, 96
 #: Passages are searched in steps of a quarter of the item, made of units of so many words.
-UNIT = 4
+UNIT = 5
 #: A passage is looked at when its cosine with the item in the latent space is at least this, whatever the item.
-COSINE = 0.3
+COSINE = 0.33
 #: A document leaks an item when their longest common subsequence of words covers CLEAR of the item, or PARAPHRASE of
 #: it and ANSWER of the item's answer.
 CLEAR, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
@@ -250,9 +250,7 @@ def second_moment(stored: DataFrame, table: np.ndarray, tasks: int) -> np.ndarra
         for batch in batches:
             for _, ids, counts in _stored(batch, 0):
                 if len(ids):
-                    sums, units = _units(ids, counts, table)
-                    _, low, high = _places(units, 2 * BLOCK // UNIT, 2 * BLOCK // UNIT)
-                    z = sums[high] - sums[low]
+                    z = _sums(_filled(ids, counts, 2 * BLOCK)[0], table)
                     total += z.T @ z
         yield from sliced(total, 1, tasks)
 
@@ -282,21 +280,42 @@ def _shape(m: int) -> tuple[int, int]:
     return -(-m // UNIT) + step, step
 
 
-def _units(ids: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of the latent vectors of units (those of a document begin at its first word), and units a document."""
-    units = -(-counts // UNIT)
-    first, begin = np.cumsum(units) - units, np.cumsum(counts) - counts
-    padded = np.full(int(units.sum()) * UNIT, len(table) - 1, np.int64)
-    padded[np.arange(len(ids)) - np.repeat(begin - first * UNIT, counts)] = ids & np.uint32(TERMS - 1)
-    padded = padded.reshape(-1, UNIT)
-    sums = np.zeros((len(padded) + 1, table.shape[1]), np.float32)
-    for k in range(0, len(padded), 4096):
-        some = padded[k : k + 4096]
+def _filled(ids: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in rows of ``size`` words, each document from a row of its own (filled up with TERMS), and rows a document."""
+    rows = -(-counts // size)
+    first, begin = np.cumsum(rows) - rows, np.cumsum(counts) - counts
+    out = np.full(int(rows.sum()) * size, TERMS, np.int32)
+    out[np.arange(len(ids)) - np.repeat(begin - first * size, counts)] = ids & np.uint32(TERMS - 1)
+    return out.reshape(-1, size), rows
+
+
+def _sums(terms: np.ndarray, table: np.ndarray) -> np.ndarray:
+    out = np.empty((len(terms), table.shape[1]), np.float32)
+    for k in range(0, len(terms), 512):
+        some = terms[k : k + 512]
         part = table[some[:, 0]]
-        for c in range(1, UNIT):
+        for c in range(1, terms.shape[1]):
             part += table[some[:, c]]
-        np.cumsum(part, axis=0, out=sums[k + 1 : k + 1 + len(part)])
-        sums[k + 1 : k + 1 + len(part)] += sums[k]
+        out[k : k + 512] = part
+    return out
+
+
+def _units(ids: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the latent vectors of units (those of a document begin at its first word), and units a document.
+
+    A word counts once a unit, so that a stutter next to an item does not drown it.
+    """
+    terms, units = _filled(ids, counts, UNIT)
+    for c in range(UNIT - 1, 0, -1):
+        again = terms[:, c] == terms[:, 0]
+        for b in range(1, c):
+            again |= terms[:, c] == terms[:, b]
+        terms[again, c] = TERMS
+    part = _sums(terms, table)
+    sums = np.zeros((len(part) + 1, table.shape[1]), np.float32)
+    for k in range(0, len(part), 4096):
+        np.cumsum(part[k : k + 4096], axis=0, out=sums[k + 1 : k + 1 + len(part[k : k + 4096])])
+        sums[k + 1 : k + 1 + len(part[k : k + 4096])] += sums[k]
     return sums, units
 
 
@@ -324,7 +343,8 @@ def _queries(items: list[Item], table: np.ndarray) -> list[Queries]:
     shapes: dict[tuple[int, int], list[Item]] = {}
     for i in items:
         shapes.setdefault(_shape(len(i.words)), []).append(i)
-    return [Queries(*shape, same, _unit(np.stack([table[i.words & np.uint32(TERMS - 1)].sum(axis=0) for i in same])).T.astype(np.float32)) for shape, same in sorted(shapes.items())]
+    whole = lambda i: _units(i.words, np.array([len(i.words)]), table)[0][-1]
+    return [Queries(*shape, same, _unit(np.stack([whole(i) for i in same])).T.astype(np.float32)) for shape, same in sorted(shapes.items())]
 
 
 def candidates(ids: np.ndarray, counts: np.ndarray, queries: list[Queries], table: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[Item, np.ndarray, np.ndarray, np.ndarray]]:
