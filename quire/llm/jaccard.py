@@ -250,12 +250,13 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, threshold: float,
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per document: doc_id, th, class_id, copy_id, n_copies, n_links.
+    """One row per document: doc_id, th, class_id, copy_id, n_copies, n_links, component.
 
     Documents with equal sets of shingles are copies of one class of texts, ``copy_id`` its smallest doc_id and
     ``n_copies`` its size. Classes are linked when the Jaccard similarity of their sets reaches ``threshold``:
     ``n_links`` counts the other classes so linked, and ``class_id`` is the smallest doc_id of the component that the
-    links form. ``th`` tells rows of equal doc_id apart.
+    links form. ``component`` is a number of its own for each component, also where ids are null or stand on several
+    texts (null for texts without a word). ``th`` tells rows of equal doc_id apart.
 
     Classes that share a MinHash band are compared value by value, dropped as soon as the posterior odds of reaching
     the threshold fall below ``tolerance``, and gathered into candidate components; inside a component all pairs are
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     degree = links.groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "c")
     groups = components(links.select("a", "b")).withColumnRenamed("a", "c")
     named = groups.join(classes.select("c", "copy_id"), "c")
-    named = named.join(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("c", "class_id").join(degree, "c")
+    named = named.join(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("c", "class_id", "root").join(degree, "c")
     found = classes.select("c", "copy_id", "n_copies").join(named, "c", "left")
     return signed.select("doc_id", "th", "c").join(found, "c", "left").select(
         "doc_id",
@@ -286,6 +287,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         F.coalesce("copy_id", "doc_id").alias("copy_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("root", "c").alias("component"),
     )
 
 
@@ -294,10 +296,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD)
 
     Of rows with equal id and text one stays. Texts without a word all stay, but for such repeats. Columns are kept.
     """
-    found = written(near_duplicates(docs, words, threshold).select("doc_id", "th", "class_id"), "groups")
+    found = written(near_duplicates(docs, words, threshold).select("doc_id", "th", "component"), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
-    best = found.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.min(order).alias("k")).select("k.doc_id", "k.th")
-    best = best.unionByName(found.where(F.col("class_id").isNull()).select("doc_id", "th")).toDF("best_id", "best_th")
+    best = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.th")
+    best = best.unionByName(found.where(F.col("component").isNull()).select("doc_id", "th")).toDF("best_id", "best_th")
     spare = found.select("doc_id", "th").distinct().join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("th") == F.col("best_th")), "left_anti")
     again = found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "th")
     i, t, own, touched = (free_name(docs.columns, n) for n in ("spare_id", "spare_th", "own_th", "touched"))

@@ -94,3 +94,19 @@ def test_overlaps_agree():
     i, j = np.tril_indices(12, -1)
     many, few = J.overlaps(sets, i, j), [J.overlaps(sets, i[k : k + 1], j[k : k + 1])[0] for k in range(len(i))]
     assert many.tolist() == few
+
+
+def test_keep_one_names_groups_by_their_texts(spark):
+    """Equal ids on unlinked texts don't merge groups; near copies without ids are one group."""
+    words = [f"w{k}" for k in range(400)]
+    long = lambda a: " ".join(words[a : a + 60])
+    rows = [(1, long(0)), (1, long(100)), (2, long(100) + " more"), (None, long(200)), (None, long(200) + " x"), (None, long(200) + " y"), (None, long(300)), (3, None), (4, "")]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])[:5]) for r in kept) == sorted([("1", "w0 w1"), ("1", "w100 "), ("None", "w200 "), ("None", "w300 "), ("3", "None"), ("4", "")])
+
+
+def test_very_long_texts(spark):
+    words = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, words), (2, words + " end"), (3, "x" * 2_000_000), (4, "one two three four five six")]
+    got = {r["doc_id"]: r for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["class_id"] for k in (1, 2, 3, 4)] == [1, 1, 3, 4] and got[1]["n_links"] == 1
