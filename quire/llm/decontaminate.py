@@ -237,7 +237,7 @@ def latent_space(stored: DataFrame, idf: np.ndarray, share: np.ndarray, tasks: i
     table = np.vstack([table - share @ table, np.zeros(keep)])
     moment = second_moment(stored, table.astype(np.float32), tasks)
     spread, axes = np.linalg.eigh(moment)
-    spread = np.maximum(spread, 0) + 1e-3 * max(spread.mean(), 1e-300)
+    spread = np.maximum(spread, 0) + 1e-3 * max(spread.mean() if len(spread) else 0, 1e-300)
     return (table @ (axes / np.sqrt(spread)) @ axes.T).astype(np.float32)
 
 
