@@ -198,92 +198,6 @@ def decision_ids(decisions: DataFrame, placed: bool = False) -> DataFrame:
     return decisions.withColumn("decision_id", F.concat("action", F.lit("_"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
 
 
-class NecessityMissing(TypeError):
-    """A merge, keep or remove came without a judgement of whether it is needed."""
-
-    code = "NEED_NECESSITY_JUDGEMENT"
-
-
-def necessity(raw: dict, action: str) -> dict:
-    """The judgement in a reply: whether the step is needed, why and what was meant. Without it nothing is done."""
-    given = next((raw[k] for k in ("necessity", "necessity_judgement", "need_to_integrate", "need_to_merge") if raw.get(k) is not None), None)
-    if given is None:
-        raise NecessityMissing("necessity.necessary and necessity.reason are required before merge/keep/remove.")
-    needed = given if isinstance(given, bool) else next((given[k] for k in ("necessary", "required", "need") if isinstance(given.get(k), bool)), None)
-    if needed is None:
-        raise NecessityMissing("necessity.necessary must be a boolean.")
-    inner = {} if isinstance(given, bool) else given
-    reason = " ".join(str(next((inner[k] for k in ("reason", "explanation", "rationale") if inner.get(k) is not None), "")).split())
-    if not reason:
-        raise NecessityMissing("necessity.reason is required.")
-    meant = str(inner.get("intended_action") or inner.get("action") or action).strip().lower()
-    if action == "keep":
-        needed, meant = False, "keep"
-    return {"necessary": needed, "intended_action": meant if meant in ACTIONS else action, "reason": reason, "explicitly_provided": True}
-
-
-def normalise_decision(raw: dict, prompt_action: str, target: dict, candidates: list[dict], log_length: int, mentioned: list[str] | None = None) -> dict:
-    """A reply as a decision of the log.
-
-    Unneeded merges and removes become keeps; named nodes are resolved by id, then by name; a merge of one node takes
-    the best candidate from AUTO_ADD on, else becomes a keep.
-    """
-    asked = str(raw.get("action") or "").strip().lower()
-    action = asked if asked in ACTIONS else prompt_action if prompt_action in ACTIONS else "keep"
-    need = necessity(raw, action)
-    if action != "keep" and not need["necessary"]:
-        action = "keep"
-    need["final_action"] = action
-    valid = [target, *candidates]
-    need["checked_nodes"] = [n["id"] for n in valid][:8]
-    by_id = {n["id"]: n for n in valid}
-    by_name: dict[str, str] = {}
-    for n in valid:
-        by_name.setdefault(n["name"].strip().lower(), n["id"])
-    named = raw.get("affected_nodes") or raw.get("nodes") or raw.get("affected_node_ids") or []
-    affected = {i for v in named if (i := v if v in by_id else by_name.get(str(v).strip().lower()))}
-    if action == "keep":
-        affected |= set(mentioned or [])
-    affected = affected or {target["id"]}
-    if action == "merge" and len(affected) < 2 and candidates and candidates[0].get("score", 0) >= AUTO_ADD:
-        affected.add(candidates[0]["id"])
-    if action == "merge" and len(affected) < 2:
-        action = "keep"
-    ids = sorted(affected)
-    members = [by_id[i] for i in ids if i in by_id]
-    detail = raw.get("result_node_detail") if isinstance(raw.get("result_node_detail"), dict) else raw.get("result_node") if isinstance(raw.get("result_node"), dict) else {}
-    given = raw["result_node"].strip() if isinstance(raw.get("result_node"), str) else ""
-    name = detail.get("name") or min((m["name"] for m in members), key=len, default=target["name"])
-    definition = detail.get("definition") or max((m.get("definition") or "" for m in members), key=len, default="") or f"{name} 是跨教材整合后的知识点。"
-    result = (given or f"merged_{name}_{_sha('|'.join(ids), 8)}") if action == "merge" else ids[0]
-    number = raw.get("confidence", 0.82 if action == "merge" else 0.76)
-    try:
-        confidence = min(1.0, max(0.0, float(number or 0)))
-    except (TypeError, ValueError):
-        confidence = 0.82 if action == "merge" else 0.76
-    removed = action == "remove"
-    return {
-        "decision_id": f"{action}_{log_length + 1:03d}",
-        "action": action,
-        "necessity": need,
-        "affected_nodes": ids,
-        "result_node": None if removed else result,
-        "result_node_detail": None if removed else {"id": result, "name": name, "definition": definition, "category": detail.get("category") or (members[0].get("category") if members else None) or "核心概念"},
-        "reason": raw.get("reason") or raw.get("explanation") or default_reason(action, [m["name"] for m in members]),
-        "confidence": confidence,
-        "target_node": target["id"],
-    }
-
-
-def default_reason(action: str, names: list[str], prompt: str = "") -> str:
-    said = "、".join(f"“{n}”" for n in names)
-    if action == "merge":
-        return f"{said} 的名称或定义高度相似，按教师提示“{prompt}”合并为一个知识点。"
-    if action == "remove":
-        return f"{said} 被判定为冗余节点，按教师提示“{prompt}”从当前整合图中移除。"
-    return f"{said} 按教师提示“{prompt}”保留为独立知识点。"
-
-
 def should_stop(integrated: Column, should_continue: Column, action: Column, necessary: Column) -> Column:
     """Whether rounds of integration end after this result."""
     return ~F.coalesce(necessary, F.lit(True)) | ~F.coalesce(integrated, F.lit(False)) | F.coalesce(action.isin("keep", "explain"), F.lit(False)) | ~F.coalesce(should_continue, F.lit(True))
@@ -303,11 +217,5 @@ def run_rounds(step, most: int = STOP_AFTER) -> list[dict]:
     return out
 
 
-def questioned_decision(decisions: DataFrame, question: str) -> DataFrame:
-    """The last decision whose node is named in the question, else the last one."""
-    named = F.exists("names", lambda n: (n != "") & F.contains(F.lit(question.lower()), F.lower(n)))
-    return decisions.orderBy(F.desc(named.cast("int")), F.desc("seq")).limit(1)
-
-
 def factual(edges: DataFrame) -> DataFrame:
     return edges.where(is_fact())

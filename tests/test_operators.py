@@ -124,20 +124,6 @@ def test_fold_and_edges(spark):
     assert rows(integrate.rewrite_edges(edges, current), "source", "target", "ord") == [("m", "x", 0)]
 
 
-def test_decisions():
-    target, other = {"id": "a", "name": "A", "definition": "dd", "category": "c"}, {"id": "b", "name": "Bb", "definition": "d", "category": "c", "score": 0.8}
-    why = {"necessary": True, "reason": "same"}
-    d = integrate.normalise_decision({"action": "merge", "necessity": why}, "merge", target, [other], 0)
-    assert (d["action"], d["affected_nodes"], d["decision_id"], d["confidence"]) == ("merge", ["a", "b"], "merge_001", 0.82)
-    weak = integrate.normalise_decision({"action": "merge", "necessity": why}, "merge", target, [other | {"score": 0.5}], 1)
-    assert (weak["action"], weak["necessity"]["final_action"]) == ("keep", "merge")
-    unneeded = integrate.normalise_decision({"action": "remove", "necessity": {"necessary": False, "reason": "r"}, "confidence": None}, "remove", target, [other], 1)
-    assert (unneeded["action"], unneeded["confidence"]) == ("keep", 0.0)
-    for bad in ({}, {"necessity": True}, {"necessity": {"necessary": True}}, {"necessity": {"reason": "r"}}):
-        with pytest.raises(integrate.NecessityMissing):
-            integrate.normalise_decision(bad, "merge", target, [other], 0)
-
-
 def test_rounds():
     go = {"integrated": True, "action": "merge", "should_continue": True, "necessity": {"necessary": True}}
     assert len(integrate.run_rounds(lambda k: go)) == 40
