@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, written
+from quire.llm.common import free_name, tidied, written
 from quire.llm.quality import _bytes_of, _slices
 from quire.llm.sums import SCHEMA, sliced, summed
 
@@ -185,7 +185,7 @@ def document_frequencies(stored: DataFrame, tasks: int) -> tuple[np.ndarray, flo
                 total[:TERMS] += np.bincount(blocks[new], minlength=TERMS + 1)[:TERMS]
         yield from sliced(total, 2, tasks)
 
-    got = summed(stored.select("ids").mapInArrow(run, SCHEMA), 2 * TERMS, 2, tasks)
+    got = summed(stored.select("ids").mapInArrow(tidied(run), SCHEMA), 2 * TERMS, 2, tasks)
     return got[:TERMS], got[TERMS]
 
 
@@ -224,7 +224,7 @@ def latent_space(stored: DataFrame, idf: np.ndarray, share: np.ndarray, tasks: i
                     total[some[cuts]] += np.add.reduceat(gives[order[k : k + (1 << 14)] // BLOCK], cuts, axis=0)
         yield from sliced(total[:TERMS] * idf[:, None], SLICES, tasks)
 
-    y = summed(stored.select("ids").mapInArrow(run, SCHEMA), TERMS * SKETCH, SLICES, tasks).reshape(TERMS, SKETCH)
+    y = summed(stored.select("ids").mapInArrow(tidied(run), SCHEMA), TERMS * SKETCH, SLICES, tasks).reshape(TERMS, SKETCH)
     nudge = 1e-9 * np.linalg.norm(y)
     y = y + nudge * start
     core = start.T @ y
@@ -254,7 +254,7 @@ def second_moment(stored: DataFrame, table: np.ndarray, tasks: int) -> np.ndarra
                     total += z.T @ z
         yield from sliced(total, 1, tasks)
 
-    return summed(stored.select("ids").mapInArrow(run, SCHEMA), dims * dims, 1, tasks).reshape(dims, dims)
+    return summed(stored.select("ids").mapInArrow(tidied(run), SCHEMA), dims * dims, 1, tasks).reshape(dims, dims)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -450,7 +450,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
                 column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), column], names=["doc_id", "th", "ids"])
 
-    stored = written(base.mapInArrow(split, "doc_id long, th long, ids binary"), "words")
+    stored = written(base.mapInArrow(tidied(split), "doc_id long, th long, ids binary"), "words")
     schema = "doc_id long, th long, item_id long, cosine double, lcs_share double, answer_share double, word long"
     tasks = len(stored.inputFiles())
     df, blocks = document_frequencies(stored, tasks)
@@ -501,7 +501,7 @@ def _searched(stored: DataFrame, queries: list[Queries], table: np.ndarray, sche
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
-    return stored.mapInArrow(run, schema)
+    return stored.mapInArrow(tidied(run), schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, marked_members, membership, written
+from quire.llm.common import free_name, marked_members, membership, tidied, written
 from quire.llm.components import components
 
 #: Words of a shingle and the similarity from which texts are linked.
@@ -170,7 +170,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 signatures.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "th", "c", "sig"])
 
-    return base.mapInArrow(run, "doc_id long, th long, c long, sig binary")
+    return base.mapInArrow(tidied(run), "doc_id long, th long, c long, sig binary")
 
 
 def _candidates(classes: DataFrame, needed: list[int]) -> DataFrame:
@@ -200,7 +200,7 @@ def _candidates(classes: DataFrame, needed: list[int]) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, members: DataFrame, words: int, threshold: float, needed: list[int]) -> DataFrame:
@@ -218,7 +218,7 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, threshold: float,
                 found = [shingles(t.as_py(), words) for t in part.column(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([f.tobytes() for f in found], pa.binary()), pa.array([signature(f).tobytes() for f in found], pa.binary())], names=["root", "size", "c", "found", "sig"])
 
-    made = joined.mapInArrow(sets, "root long, size long, c long, found binary, sig binary")
+    made = joined.mapInArrow(tidied(sets), "root long, size long, c long, found binary, sig binary")
     dealt = _blocks(made, "root", F.col("size"), GROUP_BLOCK).select("root", "i", "j", "own", "c", "sig", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, threshold: float,
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "n"])
 
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    return dealt.mapInArrow(tidied(run), "a long, b long, n long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import tidied
 from quire.llm.tokens import MEMORY, PART, UnitIds, parts_of, slices, texts_of, unit_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padding long"
@@ -196,4 +197,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
         .repartitionByRange("d", "h", "m")
         .sortWithinPartitions("d", "h")
     )
-    return dealt.select("d", "t").mapInArrow(run, SCHEMA)
+    return dealt.select("d", "t").mapInArrow(tidied(run), SCHEMA)

@@ -12,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import free_name, tidied
+
 #: At most so many labelled documents of each label are learned from, and so many lines in a row of each.
 SAMPLE, SAMPLE_LINES = 1500, 300
 #: Documents whose score is at least this are predicted to be good.
@@ -395,7 +397,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int =
                     names=["doc_id", "y", "x", "w"],
                 )
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, y int, x binary, w binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    got = sorted(rows.mapInArrow(tidied(run), "doc_id long, y int, x binary, w binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     chains = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got]
     return fit(chains, [np.frombuffer(r["w"], float) for r in got], np.array([r["y"] for r in got], int))
 
@@ -413,8 +415,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     worked on in parts; a line and its neighbours must fit in memory.
     """
     kept = docs.columns if keep is None else keep
-    from quire.llm.common import free_name
-
     extra = free_name(docs.columns, "lines")
     source = docs.select(*(F.col(f"`{c}`") for c in kept), F.concat(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\n")).alias(extra))
     out = source.drop(extra).withColumn(name, F.lit(None).cast("double")).schema
@@ -426,4 +426,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
             arrays = [*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(tidied(run), out)

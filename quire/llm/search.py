@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import new_path, written
+from quire.llm.common import new_path, tidied, written
 
 #: Numbers of segments, coarse to fine; on the finest level the last quarter of the dimensions stands in segments of two
 #: and each of the others, which tell more, by itself.
@@ -176,7 +176,7 @@ def _searched(vectors: DataFrame, blocks: dict[int, Block], k: int) -> DataFrame
             j, score, ids = s.settle()
             yield pa.RecordBatch.from_arrays([pa.array(s.block.ids[j]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+    return vectors.mapInArrow(tidied(run), "query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

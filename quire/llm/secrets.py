@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import tidied
 from quire.llm.decontaminate import ids_of, word_ids
 from quire.llm.quality import _bytes_of, _slices
 from quire.llm.sums import SCHEMA as SUMS
@@ -138,7 +139,7 @@ def fit_words(docs: DataFrame) -> Words:
                 total[:BUCKETS] += np.bincount(word_ids(data, offsets)[0] % BUCKETS, minlength=BUCKETS)
         yield from sliced(total, 32, tasks)
 
-    got = summed(rows.mapInArrow(run, SUMS), BUCKETS + 1024, 32, tasks)
+    got = summed(rows.mapInArrow(tidied(run), SUMS), BUCKETS + 1024, 32, tasks)
     return words_of(got[BUCKETS : BUCKETS + 729], got[:BUCKETS])
 
 
@@ -335,4 +336,4 @@ def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
                     columns = [*zip(*rows, strict=True), score.tolist(), (score >= threshold).tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import written
+from quire.llm.common import tidied, written
 from quire.llm.tokens import PART, slices, texts_of, unit_ids
 
 #: Small groups are gathered by hash into so many bundles per shard; what goes to the driver is bounded by it.
@@ -100,7 +100,7 @@ def _measured(docs: DataFrame, vocabulary: str | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.concatenate(counts))], names=["doc_id", "size", "text_crc32", "g", "m", "tokens"])
 
     closed = base.withColumn("t", F.concat("t", F.lit("\n")))
-    return closed.mapInArrow(run, "doc_id long, size long, text_crc32 long, g long, m long, tokens long")
+    return closed.mapInArrow(tidied(run), "doc_id long, size long, text_crc32 long, g long, m long, tokens long")
 
 
 def shard(docs: DataFrame, shards: int = 24, vocabulary: str | None = None) -> DataFrame:

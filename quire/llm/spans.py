@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, written
+from quire.llm.common import free_name, tidied, written
 
 #: A run has at least so many sentences and so many words; sentences with LONG words make a run even alone.
 LEAST_SENTENCES, LEAST_WORDS, LONG = 2, 20, 30
@@ -91,7 +91,7 @@ def repeated(docs: DataFrame, least: int = LEAST_SENTENCES, least_words: int = L
                     marks += [th] * len(spans)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hashes, ids, marks, places)], names=["h", "doc_id", "th", "place"])
 
-    spans = written(base.mapInArrow(run, "h long, doc_id long, th long, place long"), "spans")
+    spans = written(base.mapInArrow(tidied(run), "h long, doc_id long, th long, place long"), "spans")
     here = F.struct("doc_id", "th", "place")
     firsts = written(spans.groupBy("h").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1"), "firsts")
     most = spans.count() // HEAVY
@@ -148,4 +148,4 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_SENTENCES, least_words: i
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quire.llm.common import tidied
+
 #: Slice, group of tasks, and 32-bit floats.
 SCHEMA = "k int, g int, part binary"
 
@@ -27,9 +29,9 @@ def summed(rows: DataFrame, size: int, slices: int, tasks: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["k", "g", "part"])
 
     if tasks > 16:
-        rows = rows.repartition("k", "g").mapInArrow(add, SCHEMA)
+        rows = rows.repartition("k", "g").mapInArrow(tidied(add), SCHEMA)
     out = np.zeros((slices, size // slices))
-    for r in rows.repartition(slices, "k").mapInArrow(add, SCHEMA).collect():
+    for r in rows.repartition(slices, "k").mapInArrow(tidied(add), SCHEMA).collect():
         out[r["k"]] += np.frombuffer(r["part"], np.float32)
     return out.ravel()
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Units whose ids a Python worker keeps (about 60 bytes each); a full table is emptied.
-MEMORY = 1_000_000
+MEMORY = 500_000
 #: Longer units get their hash from the whole run of bytes.
 LONG_UNIT = 64
 #: Text of about so many bytes is worked on at once; a longer text in parts that end at blanks.

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import tidied, written
 
 MANIFEST = "_manifest"
 #: A file is closed once it holds so many compressed bytes.
@@ -148,7 +148,7 @@ def _bounds(units: DataFrame, shard_bytes: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())] + [pa.array([at], pa.int64()), pa.array([total], pa.int64())], names=[c.split()[0] for c in schema.split(", ")])
 
     order = ("page_id", "key", "url", "place")
-    sorted_ = written(units.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "weight").mapInArrow(run, schema), "order")
+    sorted_ = written(units.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "weight").mapInArrow(tidied(run), schema), "order")
     sums = sorted_.where("place is null").orderBy("range").collect()
     ahead = np.cumsum([0] + [r["before"] for r in sums])
     spark = units.sparkSession
@@ -262,7 +262,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str
         if n:
             yield close()
 
-    dealt.mapInArrow(run, MANIFEST_SCHEMA).write.parquet(f"{folder}/{MANIFEST}")
+    dealt.mapInArrow(tidied(run), MANIFEST_SCHEMA).write.parquet(f"{folder}/{MANIFEST}")
 
 
 def _members(stream, size: int = 1 << 20) -> Iterator[bytes]:
@@ -337,4 +337,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    return manifest.repartition(max(1, min(2 * files, 8192)), "file").select("file", "records").mapInArrow(run, RECORD_SCHEMA)
+    return manifest.repartition(max(1, min(2 * files, 8192)), "file").select("file", "records").mapInArrow(tidied(run), RECORD_SCHEMA)
