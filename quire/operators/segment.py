@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,21 +22,25 @@ def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(T.normalize_whitespace(F.col(text)), "\n")).alias("pos", "line"))
 
 
-def _rolled(marked: DataFrame, key: str) -> DataFrame:
-    """Rows (key, pos, line, heading or null) rolled up into segments; those without any text go."""
-    order = W.partitionBy(key).orderBy("pos")
-    segment = F.sum(F.col("heading").isNotNull().cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    body = F.when(F.col("heading").isNull(), F.struct("pos", "line"))
-    rolled = marked.withColumn("segment", segment).groupBy(key, "segment").agg(F.max("heading").alias("title"), F.array_sort(F.collect_list(body)).alias("rows"))
-    content = T.normalize_whitespace(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
-    return rolled.select(key, "segment", "title", content.alias("content")).where("content != ''")
+def _rolled(docs: DataFrame, key: str, text: str, opens: Callable[[Column], Column], title: Callable[[Column], Column]) -> DataFrame:
+    """Segments (key, segment, title or null, content) of texts, cut before each line that ``opens``; empty ones go.
+
+    All is done inside the row: lines stay an array, and no text is shuffled.
+    """
+    lined = docs.select(key, F.split(T.normalize_whitespace(F.col(text)), "\n").alias("lines"))
+    at = F.filter(F.transform("lines", lambda line, i: F.when(opens(line), i + 1)), lambda i: i.isNotNull())
+    marked = lined.withColumn("at", at)
+    ends = F.concat("at", F.array(F.size("lines") + 1))
+    cut = marked.withColumn("spans", F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("at")).alias("low"), ends.alias("high")))
+    cut = cut.select(key, "lines", F.posexplode("spans").alias("segment", "span"))
+    content = T.normalize_whitespace(F.array_join(F.slice("lines", F.col("span.low") + 1, F.col("span.high") - F.col("span.low") - 1), "\n"))
+    head = F.when(F.col("span.low") > 0, title(F.element_at("lines", F.greatest(F.col("span.low"), F.lit(1)))))
+    return cut.select(key, "segment", head.alias("title"), content.alias("content")).where("content != ''")
 
 
 def split_text(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Chapters of plain texts: a chapter heading opens one; what stands before the first is titled 全文."""
-    line = T.compact_title(F.col("line"))
-    marked = lines_of(docs, key, text).withColumn("heading", F.when(T.is_chapter_title(F.col("line")), line))
-    return _rolled(marked, key).withColumn("title", F.coalesce("title", F.lit("全文")))
+    return _rolled(docs, key, text, T.is_chapter_title, T.compact_title).withColumn("title", F.coalesce("title", F.lit("全文")))
 
 
 def split_markdown(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -44,11 +48,20 @@ def split_markdown(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     What stands before the first heading takes the document's title, if its first-level heading came before, else 全文.
     """
-    level = F.length(F.regexp_extract("line", r"^(#{1,3})\s+\S", 1))
-    title = T.compact_title(F.regexp_extract("line", r"^#{1,3}\s+(.+?)\s*\z", 1))
-    opens = (level > 0) & ((level <= 2) | T.is_chapter_title(title))
-    marked = lines_of(docs, key, text).withColumn("heading", F.when(opens, title))
-    return _rolled(marked, key).withColumn("title", F.coalesce("title", F.lit("全文")))
+    title = lambda line: T.compact_title(F.regexp_extract(line, r"^#{1,3}\s+(.+?)\s*\z", 1))
+
+    def opens(line: Column) -> Column:
+        level = F.length(F.regexp_extract(line, r"^(#{1,3})\s+\S", 1))
+        return (level > 0) & ((level <= 2) | T.is_chapter_title(title(line)))
+
+    return _rolled(docs, key, text, opens, title).withColumn("title", F.coalesce("title", F.lit("全文")))
+
+
+def first_chapters(chapters: DataFrame, key: str, most: int | None, order: str = "chapter_idx") -> DataFrame:
+    """The first ``most`` chapters of each book, or all of them where no number is given."""
+    if most is None:
+        return chapters
+    return chapters.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("_k") <= most).drop("_k")
 
 
 def finalise(chapters: DataFrame, key: str) -> DataFrame:
@@ -83,10 +96,14 @@ def boundary_lines(lines: DataFrame, doc: str = "doc", page: str = "page", pos:
 
 
 def upper_median(df: DataFrame, value: str, *keys: str, default: float = 10.0) -> DataFrame:
-    """The element in the upper middle of each group's positive values; ``default`` where there is none."""
-    v = F.array_sort(F.collect_list(F.when(F.col(value) > 0, F.col(value))))
-    out = df.groupBy(*keys).agg(v.alias("v"))
-    return out.select(*keys, F.when(F.size("v") > 0, F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int"))).otherwise(F.lit(default)).alias("median"))
+    """The element in the upper middle of each group's positive values; ``default`` where there is none.
+
+    Values are ranked by a window that spills, so that no group is gathered in memory.
+    """
+    good = df.where(F.col(value) > 0)
+    k, n = F.row_number().over(W.partitionBy(*keys).orderBy(value)), F.count("*").over(W.partitionBy(*keys))
+    middle = good.select(*keys, F.col(value).alias("median"), k.alias("k"), n.alias("n")).where(F.col("k") == F.floor(F.col("n") / 2) + 1).drop("k", "n")
+    return df.select(*keys).distinct().join(middle, list(keys), "left").select(*keys, F.coalesce("median", F.lit(default)).alias("median"))
 
 
 def outline_ranges(outline: DataFrame, doc: str, total_pages: Column) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quire.functions import text as T
-from quire.operators import graph, integrate, retrieval, segment
+from quire.operators import decide, graph, integrate, retrieval, segment
 from quire.plans import derived as D
-from quire.plans.derived import CHAPTERS, DECISIONS, EDGES, FACT, LINES, NODES, table, with_
+from quire.plans.derived import ADDRESSES_SQL, CHAPTERS, DECISIONS, EDGES, FACT, HEADED_SQL, LINES, NODES, PROMPTS_SQL, table
 from quire.streaming import chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,22 +83,24 @@ def sha1_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.short_hash(F.col("text")).alias("h10"), T.textbook_id(F.lit(""), F.col("source"), F.col("lang")).alias("book"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(p_name || ' / ' || p_brand, '[^\\p{L}\\p{N}_-]+', '_', 'g'), '_') AS part FROM part")
+@query("SELECT p_partkey, trim(regexp_replace('Ａ１' || p_name || ' / ' || p_brand || '（ｘ）', '[^\\p{L}\\p{N}_-]+', '_', 'g'), '_') AS plain, trim(regexp_replace('A1' || p_name || ' / ' || p_brand || '(x)', '[^\\p{L}\\p{N}_-]+', '_', 'g'), '_') AS part FROM part")
 def safe_ids(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.safe_id(F.concat("p_name", F.lit(" / "), "p_brand"), ascii_only=True).alias("part"))
+    said = F.concat(F.lit("Ａ１"), "p_name", F.lit(" / "), "p_brand", F.lit("（ｘ）"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.safe_id(said, ascii_only=True).alias("plain"), T.safe_id(said).alias("part"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS k2, regexp_replace(lower(p_name || p_brand), '[^\\p{L}\\p{N}]+', '', 'g') AS k3 FROM part")
+@query("SELECT p_partkey, lower(p_name) AS k2, regexp_replace(lower('Ａ１' || p_name || p_brand), '[^\\p{L}\\p{N}]+', '', 'g') AS plain, regexp_replace(lower('A1' || p_name || p_brand || 'fi'), '[^\\p{L}\\p{N}]+', '', 'g') AS k3 FROM part")
 def name_keys(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.name_key(F.col("p_name")).alias("k2"), T.match_key(F.concat("p_name", "p_brand")).alias("k3"))
+    said = F.concat(F.lit("Ａ１"), "p_name", "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", T.name_key(F.col("p_name")).alias("k2"), T.match_key(said, True).alias("plain"), T.match_key(F.concat(said, F.lit("ﬁ"))).alias("k3"))
 
 
 @query(
-    "SELECT page_id, CASE WHEN b = '' THEN 'textbook' ELSE b END AS base, CASE WHEN regexp_extract(b, '\\.[^.]*$') IN ('.html', '') THEN NULL ELSE NULL END::VARCHAR AS ext FROM (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/?#]*', ''), '[?#].*$', ''), '/+$', ''), '[^/]*$') AS b FROM pages)"
+    f"WITH {ADDRESSES_SQL}, u AS (SELECT page_id, url_decode(regexp_replace(regexp_replace(address, '^https?://[^/?#]*', '', 'i'), '[?#].*$', '')) AS path FROM addresses), b AS (SELECT page_id, string_split(rtrim(path, '/'), '/')[-1] AS b FROM u), n AS (SELECT page_id, CASE WHEN b = '' THEN 'textbook' ELSE b END AS base FROM b), e AS (SELECT *, lower(regexp_extract(base, '.(\\.[^./]*)$', 1)) AS x FROM n) SELECT page_id, base, CASE WHEN x = '.markdown' THEN '.md' WHEN x IN ('.pdf', '.md', '.txt', '.docx', '.xlsx', '.xls', '.csv', '.tsv') THEN x END AS ext FROM e"
 )
 def url_basename(spark, sf_dir):
-    base = T.basename(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", base.alias("base"), T.extension(base).alias("ext"))
+    base = T.basename(F.col("address"))
+    return D.addresses(spark, sf_dir).select("page_id", base.alias("base"), T.extension(base).alias("ext"))
 
 
 @query("SELECT page_id, regexp_matches(url, '^https?://', 'i') AS web, rtrim(url, '/') AS endpoint FROM pages")
@@ -107,41 +109,55 @@ def url_kinds(spark, sf_dir):
 
 
 TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+HAN = "regexp_extract_all({0}, '\\p{{Han}}')"
+TOKENS_HAN = "list_distinct(list_concat(list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+'), " + HAN + "), list_transform(range(1, len(" + HAN + ")), lambda i: (" + HAN + ")[i] || (" + HAN + ")[i + 1])))"
 
 
-@query(f"SELECT conv_id, turn, array_to_string(list_sort({TOKENS.format('text')}), ' ') AS tokens FROM conversations")
+@query(f"WITH {PROMPTS_SQL} SELECT conv_id, turn, array_to_string(list_sort({TOKENS_HAN.format('prompt')}), ' ') AS tokens FROM prompts")
 def token_set(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.token_set(F.col("text"))), " ").alias("tokens"))
+    return D.prompts(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(T.token_set(F.col("prompt"))), " ").alias("tokens"))
 
 
 GRAMS = "CASE WHEN length({0}) > 1 THEN list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) WHEN length({0}) = 1 THEN [{0}] ELSE []::VARCHAR[] END"
 KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
 
-@query(
-    f"SELECT a, b, round(2.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)), 6) AS dice FROM (SELECT x.p_name AS a, y.p_name AS b, {GRAMS.format('x.k')} AS ga, {GRAMS.format('y.k')} AS gb FROM (SELECT DISTINCT p_name, {KEY.format('p_name')} AS k FROM part) x, (SELECT DISTINCT p_name, {KEY.format('p_name')} AS k FROM part) y WHERE x.p_name < y.p_name)"
-)
+NAMES_SQL = "k AS (SELECT p_name, min(p_partkey) % 50 = 0 AS asked, " + KEY.format("p_name") + " AS k, " + GRAMS.format(KEY.format("p_name")) + " AS g FROM part GROUP BY p_name)"
+
+
+def _names(spark, sf_dir):
+    """Names of parts with their keys and grams; those are asked for whose least part key is divisible by 50."""
+    n = table(spark, sf_dir, "part").groupBy("p_name").agg((F.min("p_partkey") % 50 == 0).alias("asked")).withColumn("k", T.match_key(F.col("p_name"), True))
+    return n.withColumn("g", T.bigrams(F.col("k")))
+
+
+@query(f"WITH {NAMES_SQL} SELECT x.p_name AS a, y.p_name AS b, floor(2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) * 1e6 + 0.5) / 1e6 AS dice FROM k x, k y WHERE x.asked AND x.p_name <> y.p_name")
 def bigram_dice(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("g", T.bigrams(T.match_key(F.col("p_name"), True)))
-    pairs = n.toDF("a", "ga").join(F.broadcast(n.toDF("b", "gb")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(T.dice(F.col("ga"), F.col("gb")), 6).alias("dice"))
+    n = _names(spark, sf_dir)
+    asked = n.where("asked").select(F.col("p_name").alias("a"), F.col("g").alias("ga"))
+    dice = lambda r: retrieval.millionths(T.dice(F.col("ga"), F.col("g")))
+    return retrieval.against_all(asked, n.select(F.col("p_name").alias("b"), "g"), "a", F.col("a") != F.col("b")).select("a", "b", dice(None).alias("dice"))
 
 
 NAME_SIM = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 0.82 WHEN len({ga}) = 0 OR len({gb}) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({ga}, {gb})) / (len({ga}) + len({gb})) END"
 
 
-@query(
-    "WITH k AS (SELECT DISTINCT p_name, " + KEY.format("p_name") + " AS k, " + GRAMS.format(KEY.format("p_name")) + " AS g FROM part) SELECT x.p_name AS a, y.p_name AS b, round(" + NAME_SIM.format(a="x.k", b="y.k", ga="x.g", gb="y.g") + ", 6) AS sim FROM k x, k y"
-)
+@query(f"WITH {NAMES_SQL} SELECT x.p_name AS a, y.p_name AS b, floor((" + NAME_SIM.format(a="x.k", b="y.k", ga="x.g", gb="y.g") + ") * 1e6 + 0.5) / 1e6 AS sim FROM k x, k y WHERE x.asked")
 def name_similarity(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("k", T.match_key(F.col("p_name"), True)).withColumn("g", T.bigrams(F.col("k")))
-    pairs = n.toDF("a", "ka", "ga").join(F.broadcast(n.toDF("b", "kb", "gb")), F.lit(True))
-    return pairs.select("a", "b", F.round(retrieval.name_similarity(F.col("ka"), F.col("kb"), F.col("ga"), F.col("gb")), 6).alias("sim"))
+    n = _names(spark, sf_dir)
+    asked = n.where("asked").select(F.col("p_name").alias("a"), F.col("k").alias("ka"), F.col("g").alias("ga"))
+    met = retrieval.against_all(asked, n.select(F.col("p_name").alias("b"), F.col("k").alias("kb"), F.col("g").alias("gb")), "a")
+    return met.select("a", "b", retrieval.millionths(retrieval.name_similarity(F.col("ka"), F.col("kb"), F.col("ga"), F.col("gb"))).alias("sim"))
 
 
-@query("SELECT conv_id, turn, 'merge' AS action FROM conversations")
+_RE2 = {k: v.replace("\\z", "$") for k, v in T.PROMPT.items()}
+
+
+@query(
+    f"WITH {PROMPTS_SQL}, c AS (SELECT conv_id, turn, {COMPACT.format('prompt')} AS t FROM prompts) SELECT conv_id, turn, CASE WHEN (regexp_matches(t, '{_RE2['why_first']}') OR regexp_matches(t, '{_RE2['why_action']}')) AND NOT regexp_matches(t, '{_RE2['imperative']}') THEN 'explain' WHEN regexp_matches(t, '{_RE2['why_word']}') AND NOT regexp_matches(t, '{_RE2['action_word']}') THEN 'explain' WHEN regexp_matches(t, '{_RE2['keep']}') THEN 'keep' WHEN regexp_matches(t, '{_RE2['remove']}') THEN 'remove' ELSE 'merge' END AS action FROM c"
+)
 def prompt_action(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.prompt_action(F.col("text")).alias("action"))
+    return D.prompts(spark, sf_dir).select("conv_id", "turn", T.prompt_action(F.col("prompt")).alias("action"))
 
 
 @query("SELECT event_id, CASE WHEN v % 5 = 0 THEN 'once' WHEN v % 5 = 1 THEN 'reject' WHEN v % 5 = 2 THEN 'always' END AS reply, CASE WHEN v % 5 = 1 THEN v - 1 END AS idx FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS v FROM events)")
@@ -186,10 +202,16 @@ def segment_running_id(spark, sf_dir):
     return D.lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.sum((F.length("line") < 40).cast("long")).over(order).alias("segment"))
 
 
-@query("SELECT doc_id, 1::BIGINT AS chapters, '全文' AS title, length(" + WHITE.format("text") + ") AS n FROM documents")
+_HEADING = T.CHAPTER.replace("\\z", "$").replace("\\s\\S", "\\s\\S")
+
+
+@query(
+    f"WITH {HEADED_SQL}, w AS (SELECT doc_id, string_split({WHITE.format('text')}, chr(10)) AS ls FROM headed), l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM w), t AS (SELECT *, {TITLE.format('line')} AS title FROM l), h AS (SELECT *, CASE WHEN length(title) BETWEEN 2 AND 90 AND NOT (regexp_matches(title, '(?i)目录|contents|全文') AND length(title) <= 12) AND NOT regexp_matches(title, '[.·•]{{5,}}') AND regexp_matches(title, '{_HEADING}') THEN title END AS heading FROM t), g AS (SELECT *, count(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM h), s AS (SELECT doc_id, seg, max(heading) AS title, string_agg(line, chr(10) ORDER BY pos) FILTER (heading IS NULL) AS body FROM g GROUP BY 1, 2), c AS (SELECT doc_id, seg, coalesce(title, '全文') AS title, {WHITE.format("coalesce(body, '')")} AS content FROM s) SELECT doc_id, count(*) AS chapters, string_agg(title, '|' ORDER BY seg) AS titles, sum(length(content))::BIGINT AS n FROM c WHERE content <> '' GROUP BY 1"
+)
 def chapter_rollup(spark, sf_dir):
-    chapters = segment.split_text(table(spark, sf_dir, "documents"), "doc_id")
-    return chapters.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.max("title").alias("title"), F.sum(F.length("content")).cast("long").alias("n"))
+    chapters = segment.split_text(D.headed(spark, sf_dir), "doc_id")
+    rows = F.array_sort(F.collect_list(F.struct("segment", "title")))
+    return chapters.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.array_join(F.transform(rows, lambda r: r["title"]), "|").alias("titles"), F.sum(F.length("content")).cast("long").alias("n"))
 
 
 @query(f"WITH {CHAPTERS} SELECT textbook_id, count(*) AS chapters, sum(char_count)::BIGINT AS total_chars, max(char_count)::BIGINT AS longest FROM chapters GROUP BY 1")
@@ -388,17 +410,11 @@ PREP = "p AS (SELECT *, " + KEY.format("name") + " AS k, " + KEY.format("categor
 SCORE = "least(1.0, greatest(0.0, 0.58 * (" + NAME_SIM.format(a="t.k", b="c.k", ga="t.kg", gb="c.kg") + ") + 0.29 * (2.0 * len(list_intersect(t.tg, c.tg)) / (len(t.tg) + len(c.tg))) + CASE WHEN t.ck = c.ck THEN 0.08 ELSE 0 END + CASE WHEN t.textbook_id <> c.textbook_id THEN 0.05 ELSE 0 END))"
 
 
-@query(f"WITH {NODES}, {PREP}, t AS (SELECT * FROM g ORDER BY ord LIMIT 5) SELECT target, id, name, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, name, id) AS rank FROM (SELECT t.id AS target, c.id, c.name, round({SCORE}, 6) AS score FROM t, g c WHERE t.id <> c.id)) WHERE rank <= 10")
+@query(f"WITH {NODES}, {PREP}, t AS (SELECT * FROM g WHERE ord % 50 = 0) SELECT target, id, name, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, name, id) AS rank FROM (SELECT t.id AS target, c.id, c.name, floor(({SCORE}) * 1e6 + 0.5) / 1e6 AS score FROM t, g c WHERE t.id <> c.id AND c.node_kind <> 'chapter')) WHERE rank <= 10")
 def candidate_score_topk(spark, sf_dir):
-    n = retrieval.prepared(D.nodes(spark, sf_dir), ascii_only=True)
-    return retrieval.rank_candidates(n.orderBy("ord").limit(5), n)
-
-
-@query()
-def candidate_score_topk_all(spark, sf_dir):
     n = retrieval.prepared(D.nodes(spark, sf_dir), ascii_only=True)
     hashed = n.withColumns({c: F.transform(c, lambda x: F.xxhash64(x)) for c in ("grams", "text_grams")})
-    return retrieval.rank_candidates_blocks(hashed.where("ord % 50 = 0"), hashed)
+    return retrieval.rank_candidates_blocks(hashed.where("ord % 50 = 0"), graph.knowledge(hashed))
 
 
 @query(f"WITH {NODES}, n1 AS (SELECT *, {KEY.format('name')} AS k FROM nodes) SELECT id, name FROM n1 ORDER BY CASE WHEN contains('please merge the red widget with others', id) THEN 0 WHEN contains('pleasemergetheredwidgetwithothers', k) OR contains(k, 'pleasemergetheredwidgetwithothers') THEN 1 ELSE 2 END, CASE WHEN contains('pleasemergetheredwidgetwithothers', k) THEN -length(k) ELSE 0 END, ord LIMIT 1")
@@ -408,23 +424,22 @@ def target_selection(spark, sf_dir):
 
 
 @query(
-    "WITH u AS (SELECT p_name AS id, " + KEY.format("p_name") + " AS k FROM part GROUP BY ALL), g AS (SELECT id, k, " + GRAMS.format("k") + " AS kg FROM u) SELECT a.id AS a, b.id AS b, round(0.58 * (" + NAME_SIM.format(a="a.k", b="b.k", ga="a.kg", gb="b.kg") + ") + 0.29 * 2.0 * len(list_intersect(a.kg, b.kg)) / (len(a.kg) + len(b.kg)) + 0.08, 6) AS score FROM g a, g b WHERE a.id < b.id AND len(list_intersect(a.kg, b.kg)) > 0"
+    "WITH u AS (SELECT p_name AS id, min(p_partkey) % 50 = 0 AS asked, " + KEY.format("p_name") + " AS k FROM part GROUP BY p_name), g AS (SELECT id, asked, k, " + GRAMS.format("k") + " AS kg FROM u) SELECT a.id AS a, b.id AS b, floor((0.58 * (" + NAME_SIM.format(a="a.k", b="b.k", ga="a.kg", gb="b.kg") + ") + 0.29 * (2.0 * len(list_intersect(a.kg, b.kg)) / (len(a.kg) + len(b.kg))) + 0.08 + 0.0) * 1e6 + 0.5) / 1e6 AS score FROM g a, g b WHERE a.asked AND a.id <> b.id AND len(list_intersect(a.kg, b.kg)) > 0"
 )
-def blocked_all_pairs(spark, sf_dir):
+def blocked_pairs(spark, sf_dir):
     none = F.lit("")
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("id")).distinct()
-    n = retrieval.prepared(names.select("id", F.col("id").alias("name"), *(none.alias(c) for c in ("definition", "category", "chapter", "textbook_id"))), ascii_only=True)
-    return retrieval.blocked_pairs(n)
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("id")).agg((F.min("p_partkey") % 50 == 0).alias("asked"))
+    n = retrieval.prepared(names.select("id", "asked", F.col("id").alias("name"), *(none.alias(c) for c in ("definition", "category", "chapter", "textbook_id"))), ascii_only=True)
+    return retrieval.blocked_pairs(n.where("asked"), n)
 
 
 COS = "round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6)"
 
 
-@query(f"WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v ORDER BY id LIMIT 10) SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, v.id, {COS} AS score FROM q, v)) WHERE rank <= 20")
+@query(f"WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 50 = 0) SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, v.id, {COS} AS score FROM q, v)) WHERE rank <= 20")
 def cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = v.orderBy("id").limit(10).select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    return retrieval.cosine_top_k(q, v)
+    return retrieval.cosine_top_k_blocks(_vector_queries(v), v)
 
 
 def _vector_queries(v):
@@ -432,21 +447,8 @@ def _vector_queries(v):
     return v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
 
 
-@query()
-def cosine_topk_all(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.cosine_top_k_blocks(_vector_queries(v), v)
-
-
-@query(f"WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v ORDER BY id LIMIT 10) SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, v.id, {COS} AS score FROM q, v WHERE v.label = 3)) WHERE rank <= 5")
+@query(f"WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 50 = 0) SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, v.id, {COS} AS score FROM q, v WHERE v.label = 3)) WHERE rank <= 5")
 def cosine_filtered(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    q = v.orderBy("id").limit(10).select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    return retrieval.cosine_top_k(q, v, 5, F.col("label") == 3)
-
-
-@query()
-def cosine_filtered_all(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     return retrieval.cosine_top_k_blocks(_vector_queries(v), v, 5, F.col("label") == 3)
 
@@ -454,21 +456,10 @@ def cosine_filtered_all(spark, sf_dir):
 LEX = f"qt AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS q FROM benchmark), tt AS (SELECT doc_id AS id, {TOKENS.format('text')} AS t FROM documents), lex AS (SELECT query_id, id, CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(q, t)) / len(q) END AS keyword FROM qt, tt)"
 
 
-def _latin(c):
-    return F.array_distinct(F.regexp_extract_all(F.lower(T.compact_text(c)), F.lit("[a-z0-9]+"), F.lit(0)))
-
-
-def _lexical(spark, sf_dir):
-    """Recall of each benchmark item's tokens in each document; tokens meet as 64-bit hashes, for which Spark has fast sets."""
-    hashed = lambda c: F.transform(_latin(c), lambda x: F.xxhash64(x))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), hashed(F.col("text")).alias("q"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hashed(F.col("text")).alias("t"))
-    return d.join(F.broadcast(q), F.lit(True)).select("query_id", "id", T.lexical_recall(F.col("q"), F.col("t")).alias("keyword"))
-
-
-@query(f"WITH {LEX} SELECT query_id, id, round(keyword, 6) AS score FROM lex")
+@query(f"WITH {LEX} SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, floor(keyword * 1e6 + 0.5) / 1e6 AS score FROM lex)) WHERE rank <= 20")
 def lexical_score(spark, sf_dir):
-    return _lexical(spark, sf_dir).select("query_id", "id", F.round("keyword", 6).alias("score"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.lexical_top_k(q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 BM = "w AS (SELECT id, unnest(toks) AS token FROM (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents)), tf AS (SELECT id, token, count(*) AS tf FROM w GROUP BY 1, 2), ln AS (SELECT id, sum(tf) AS len FROM tf GROUP BY 1), st AS (SELECT count(*) AS docs, avg(len) AS al FROM ln), qq AS (SELECT DISTINCT query_id, unnest(q) AS token FROM (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS q FROM benchmark)), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), bm AS (SELECT query_id, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 4) AS score FROM qq JOIN tf USING (token) JOIN df USING (token) JOIN ln USING (id), st GROUP BY 1, 2), bmk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm)"
@@ -484,14 +475,20 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
-HITS = f"{BM}, {LEX}, lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(keyword, 6) DESC, id) AS rank FROM lex), hits AS (SELECT b.query_id, b.id, 'bm25' AS method, b.score, l.keyword FROM bmk b JOIN lex l USING (query_id, id) WHERE b.rank <= 20 UNION ALL SELECT query_id, id, 'vector', round(keyword, 6), keyword FROM lr WHERE rank <= 20)"
+#: Words whose counts make the vectors of the vector leg.
+LEG = ("the", "and", "of", "in", "les", "de", "que", "der", "und", "ing", "tion", "en", "er", "on")
+_VECTOR = "[CAST((length({0}) - length(replace({0}, k, ''))) / length(k) AS DOUBLE) FOR k IN [" + ", ".join(f"'{k}'" for k in LEG) + "]]"
+_FILLED = "CASE WHEN list_sum({0}) > 0 THEN {0} ELSE list_transform(range(1, " + str(len(LEG) + 1) + "), lambda i: (strpos('0123456789abcdef', substr(sha1({1}), i, 1)) - 1) / 15.0) END"
+LEGS = "dv AS (SELECT doc_id AS id, t, " + _VECTOR.format("t") + " AS w FROM (SELECT doc_id, lower(" + COMPACT.format("text") + ") AS t FROM documents)), qv AS (SELECT item_id AS query_id, t, " + _VECTOR.format("t") + " AS w FROM (SELECT item_id, lower(" + COMPACT.format("text") + ") AS t FROM benchmark)), dd AS (SELECT id, " + _FILLED.format("w", "t") + " AS e FROM dv), qd AS (SELECT query_id, " + _FILLED.format("w", "t") + " AS e FROM qv), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.query_id, v.id, " + COS + " AS score FROM qd q, dd v))"
+HITS = f"{BM}, {LEX}, {LEGS}, hits AS (SELECT b.query_id, b.id, 'bm25' AS method, b.score, l.keyword FROM bmk b JOIN lex l USING (query_id, id) WHERE b.rank <= 20 UNION ALL SELECT v.query_id, v.id, 'vector', v.score, l.keyword FROM vr v JOIN lex l USING (query_id, id) WHERE v.rank <= 20)"
 
 
 def _hits(spark, sf_dir):
-    lex = _lexical(spark, sf_dir)
-    best = lex.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("keyword", 6)), "id"))).where("rank <= 20")
-    first = _bm25(spark, sf_dir).select("query_id", "id", "score").join(lex, ["query_id", "id"]).select("query_id", "id", F.lit("bm25").alias("method"), "score", "keyword")
-    return first.unionByName(best.select("query_id", "id", F.lit("vector").alias("method"), F.round("keyword", 6).alias("score"), "keyword"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = chunks.select("id", retrieval.keyword_vector(F.col("text"), list(LEG)).alias("vector"))
+    asked = q.select("query_id", retrieval.keyword_vector(F.col("query"), list(LEG)).alias("q"))
+    return retrieval.hybrid_hits(q, chunks, asked, vectors)
 
 
 @query(f"WITH {HITS} SELECT query_id, id, method, CASE WHEN m > 0 THEN round(score / m, 4) ELSE 0 END AS scaled FROM (SELECT *, max(score) OVER (PARTITION BY query_id, method) AS m FROM hits)")
@@ -554,11 +551,18 @@ def citation_unmatched_anti(spark, sf_dir):
     return _answers(spark, sf_dir).withColumn("k", T.citation_key(F.col("ref"))).join(_allowed(spark, sf_dir), "k", "left_anti").select("doc_id")
 
 
-@query(f"SELECT doc_id, CASE WHEN lang = 'en' THEN 'see ' || {REF} || ' and ' || lang ELSE 'see and ' || lang || ' 来源：[other, 第1章, 第 1 页]' END AS answer, true AS verified, lang <> 'en' AS injected FROM documents")
+_OTHER = "'[other, 第1章, 第 1 页]'"
+
+
+@query(
+    f"WITH a AS (SELECT doc_id, doc_id % 6 AS k, {REF} AS ref, lang, '[other, 第1章, 第 1 页]' AS other FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'see ' || ref || ' and ' || lang WHEN 1 THEN 'see and ' || lang || ' 来源：' || other WHEN 2 THEN 'see ' || ref || ' and ' || lang WHEN 3 THEN '当前知识库中未找到相关信息' WHEN 4 THEN 'see and ' || lang || ' 来源：' || ref ELSE 'plain ' || lang || '. 来源：' || ref || ' ' || other END AS answer, k <> 2 AS verified, k IN (1, 4, 5) AS injected, CASE WHEN k IN (0, 4) THEN 1 ELSE 0 END AS matched, CASE WHEN k IN (1, 2, 4) THEN 1 ELSE 0 END AS removed FROM a"
+)
 def citation_repair(spark, sf_dir):
-    a = _answers(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    refs = F.when(F.col("lang") == "en", F.array("ref")).otherwise(F.array(F.lit("[other, 第1章, 第 1 页]")))
-    return a.withColumn("v", retrieval.verify_citations(F.col("answer"), refs)).select("doc_id", "v.answer", "v.verified", "v.injected")
+    a = _answers(spark, sf_dir).withColumn("k", F.col("doc_id") % 6).withColumn("other", F.lit("[other, 第1章, 第 1 页]"))
+    said = F.when(F.col("k") < 3, F.col("answer")).when(F.col("k") == 3, F.lit(" 当前知识库中未找到相关信息。")).when(F.col("k") == 4, F.concat("answer", F.lit(" "), "other")).otherwise(F.concat(F.lit("plain "), F.substring_index("answer", " ", -1), F.lit(" .")))
+    refs = F.when(F.col("k").isin(0, 3, 4), F.array("ref", F.upper("ref"))).when(F.col("k") == 1, F.array("other")).when(F.col("k") == 2, F.array().cast("array<string>")).otherwise(F.array("ref", F.lit(" "), "other"))
+    v = a.withColumn("v", retrieval.verify_citations(said, refs))
+    return v.select("doc_id", "v.answer", "v.verified", "v.injected", F.size("v.matched").alias("matched"), F.size("v.removed").alias("removed"))
 
 
 @query(f"WITH {CHAPTERS} SELECT count(DISTINCT textbook_id) AS books, count(DISTINCT (textbook_id, chapter_id)) AS chapters, sum(char_count)::BIGINT AS chars FROM chapters")
@@ -596,11 +600,6 @@ def merged_by_name(spark, sf_dir):
 
 @query(f"WITH {DECISIONS} SELECT count(*) FILTER (action = 'merge') AS merge, count(*) FILTER (action = 'keep') AS keep, count(*) FILTER (action = 'remove') AS remove FROM decisions")
 def action_counts(spark, sf_dir):
-    return integrate.action_counts(D.first_decisions(spark, sf_dir))
-
-
-@query()
-def action_counts_all(spark, sf_dir):
     return integrate.action_counts(D.decisions(spark, sf_dir))
 
 
@@ -614,11 +613,6 @@ def compression_stats(spark, sf_dir):
 
 @query(f"WITH {NODES}, {DECISIONS}, p AS (SELECT count(DISTINCT x) AS processed FROM (SELECT unnest(affected_nodes) AS x FROM decisions) WHERE x IN (SELECT id FROM nodes)) SELECT (SELECT count(*) FROM nodes) AS raw, processed, greatest(0, (SELECT count(*) FROM nodes) - processed) AS remaining, greatest(0, (SELECT count(*) FROM nodes) - processed) > 0 AS should_continue FROM p")
 def remaining_nodes(spark, sf_dir):
-    return integrate.remaining(D.nodes(spark, sf_dir), D.first_decisions(spark, sf_dir))
-
-
-@query()
-def remaining_nodes_all(spark, sf_dir):
     return integrate.remaining(D.nodes(spark, sf_dir), D.decisions(spark, sf_dir))
 
 
@@ -629,19 +623,10 @@ def before_after(spark, sf_dir):
     return integrate.comparison(n, e, current, integrate.rewrite_edges(e, current))
 
 
-def _last5(decisions):
-    d = integrate.decision_ids(decisions, placed=True)
-    return d.orderBy(F.desc("seq")).limit(5).select("decision_id", F.size("affected_nodes").alias("n"))
-
-
-@query(f"WITH {DECISIONS} SELECT action || '_' || lpad(CAST(seq AS VARCHAR), 3, '0') AS decision_id, len(affected_nodes)::INT AS n FROM decisions ORDER BY seq DESC LIMIT 5")
+@query(f"WITH {DECISIONS} SELECT action || '_' || CASE WHEN seq < 1000 THEN lpad(CAST(seq AS VARCHAR), 3, '0') ELSE CAST(seq AS VARCHAR) END AS decision_id, len(affected_nodes)::INT AS n FROM decisions ORDER BY seq DESC LIMIT 5")
 def recent_decisions_last5(spark, sf_dir):
-    return _last5(D.first_decisions(spark, sf_dir))
-
-
-@query()
-def recent_decisions_last5_all(spark, sf_dir):
-    return _last5(D.decisions(spark, sf_dir))
+    d = integrate.decision_ids(D.decisions(spark, sf_dir), placed=True)
+    return d.orderBy(F.desc("seq")).limit(5).select("decision_id", F.size("affected_nodes").alias("n"))
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 12")
@@ -658,11 +643,6 @@ def stop_policy(spark, sf_dir):
 
 @query(f"WITH {NODES}, {EDGES}, {DECISIONS} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges WHERE {FACT}) AS facts, (SELECT count(DISTINCT textbook_id) FROM nodes) AS books, (SELECT count(*) FROM decisions) AS decisions, (SELECT sum(n_chars)::BIGINT FROM documents) AS chars")
 def report_overview(spark, sf_dir):
-    return _overview(spark, sf_dir, D.first_decisions(spark, sf_dir))
-
-
-@query()
-def report_overview_all(spark, sf_dir):
     return _overview(spark, sf_dir, D.decisions(spark, sf_dir))
 
 
@@ -687,9 +667,9 @@ def set_intersect(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")).intersect(table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def set_except(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, sf_dir, "orders").select("o_custkey").distinct())
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query()
@@ -720,9 +700,12 @@ def denied_anti(spark, sf_dir):
     return table(spark, sf_dir, "events").join(F.broadcast(allowed), "event_type", "left_anti").select("event_id")
 
 
-@query(f"SELECT event_id, CASE WHEN event_type NOT IN {ALLOW} THEN 'denied' ELSE 'command' END AS route FROM events")
+@query(f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'empty' WHEN event_id % 7 = 1 THEN 'no_chat' WHEN event_type NOT IN {ALLOW} THEN 'denied' WHEN event_id % 7 IN (2, 3) THEN 'approval' ELSE 'command' END AS route FROM events")
 def message_routing(spark, sf_dir):
-    return chat.routed(_messages(spark, sf_dir), ["signup", "purchase"]).select("event_id", "route")
+    k = F.col("event_id") % 7
+    said = F.when(k == 0, F.lit("")).when(k == 2, F.lit(" Allow ")).when(k == 3, F.lit("拒绝 #2")).otherwise(F.col("text"))
+    m = _messages(spark, sf_dir).withColumn("text", said).withColumn("chat_id", F.when(k != 1, F.col("chat_id")))
+    return chat.routed(m, ["signup", "purchase"]).select("event_id", "route")
 
 
 @query(
@@ -758,6 +741,11 @@ def job_prune(spark, sf_dir):
     return chat.live_jobs(o.join(F.broadcast(now), F.lit(True)), F.col("now"), hours=24 * 360).select("id", F.col("o_orderstatus").alias("status"))
 
 
-@query(f"SELECT page_id, {COMPACT.format(chr(39) + 'p' + chr(39))} AS t, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS safe FROM pages")
+_MARKED = "'<a href=''x''>&' || chr(34) || left(html, 60) || url"
+_SAFE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#039;')"
+
+
+@query(f"SELECT page_id, {COMPACT.format('left(html, 120)')} AS t, {_SAFE.format(_MARKED)} AS safe FROM pages")
 def escape_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.compact_text(F.lit(" p ")).alias("t"), T.escape_html(F.col("url")).alias("safe"))
+    said = F.concat(F.lit("<a href='x'>&" + chr(34)), F.left("html", F.lit(60)), "url")
+    return table(spark, sf_dir, "pages").select("page_id", T.compact_text(F.left("html", F.lit(120))).alias("t"), T.escape_html(said).alias("safe"))

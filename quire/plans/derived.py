@@ -120,17 +120,52 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(F.broadcast(days), F.col("o_orderdate").eqNullSafe(F.col("day"))).select(seq.cast("int").alias("seq"), "action", "affected_nodes")
 
 
-def first_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of the first 400 urgent orders only, which is what the SQL DECISIONS holds."""
-    d = _decisions(spark, sf_dir, _urgent(spark, sf_dir).orderBy("o_orderdate", "o_orderkey").limit(400))
-    return d.select(F.row_number().over(W.orderBy("o_orderdate", "o_orderkey")).alias("seq"), "action", "affected_nodes")
-
-
 DECISIONS = """decisions AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq,
   CASE WHEN o_orderstatus = 'F' THEN 'merge' WHEN o_orderstatus = 'O' THEN 'keep' ELSE 'remove' END AS action, list_sort(list(DISTINCT 'n' || l_partkey)) AS affected_nodes
-  FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate, o_orderkey LIMIT 400) JOIN lineitem ON l_orderkey = o_orderkey
-  GROUP BY o_orderkey, o_orderstatus, o_orderdate)"""
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderkey, o_orderstatus, o_orderdate)"""
 
 
 def with_(*views: str) -> str:
     return "WITH " + ", ".join(views) + " "
+
+
+#: Prompts as teachers write them; a turn of a conversation carries one, by its number.
+PROMPTS = ("请合并重复的知识点", "为什么要合并这两个节点？", "删除冗余节点", "不要合并，保留它们", "解释一下依据", "please REMOVE it", "看看这个", "请重新整合并说明原因", "为什么删除了", "恢复被删除的节点")
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    said = F.element_at(F.array(*(F.lit(p) for p in PROMPTS)), (F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(len(PROMPTS))) + 1).cast("int"))
+    return c.select("conv_id", "turn", F.concat(said, F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.left("text", F.lit(20))))).alias("prompt"))
+
+
+PROMPTS_SQL = "prompts AS (SELECT conv_id, turn, [" + ", ".join(f"'{p}'" for p in PROMPTS) + f"][CAST((conv_id * 3 + turn) % {len(PROMPTS)} AS INT) + 1] || CASE WHEN turn % 2 = 0 THEN '' ELSE ' ' || left(text, 20) END AS prompt FROM conversations)"
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages with names of files of all kinds."""
+    tails = ("/book%20one.pdf", "/%E7%AC%AC1.MARKDOWN?x=1#y", "/c.txt/", "/d.docx#top", "/plain", "/e.exe", "/.csv", "")
+    tail = F.element_at(F.array(*(F.lit(t) for t in tails)), (F.col("page_id") % len(tails) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("url", tail).alias("address"))
+
+
+ADDRESSES_SQL = "addresses AS (SELECT page_id, url || ['/book%20one.pdf', '/%E7%AC%AC1.MARKDOWN?x=1#y', '/c.txt/', '/d.docx#top', '/plain', '/e.exe', '/.csv', ''][CAST(page_id % 8 AS INT) + 1] AS address FROM pages)"
+
+
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with chapter headings, contents lines and page furniture put among their lines."""
+    d = table(spark, sf_dir, "documents")
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = (
+        F.when(F.col("doc_id") % 4 == 0, F.col("text"))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("序\n第一章 "), "source", F.lit("\n"), F.left("text", half), F.lit("\nChapter 2 "), "lang", F.lit(" .\n"), F.expr("substring(text, floor(length(text) / 2) + 1)")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("第 三 节 "), "lang", F.lit("\n\n第四章目录\n"), "text"))
+        .otherwise(F.concat("text", F.lit("\n第十章 终......12\nend\n第十一章")))
+    )
+    return d.select("doc_id", text.alias("text"))
+
+
+HEADED_SQL = """headed AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text
+  WHEN 1 THEN '序' || chr(10) || '第一章 ' || source || chr(10) || left(text, CAST(floor(length(text) / 2) AS INT)) || chr(10) || 'Chapter 2 ' || lang || ' .' || chr(10) || substr(text, CAST(floor(length(text) / 2) AS INT) + 1)
+  WHEN 2 THEN '第 三 节 ' || lang || chr(10) || chr(10) || '第四章目录' || chr(10) || text
+  ELSE text || chr(10) || '第十章 终......12' || chr(10) || 'end' || chr(10) || '第十一章' END AS text FROM documents)"""
