@@ -713,7 +713,7 @@ def message_routing(spark, sf_dir):
 )
 def ttl_dedup(spark, sf_dir):
     e = chat.accepted(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", minutes=600)
-    return e.select("user_id", "event_type", F.size("kept").cast("long").alias("passed"))
+    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("passed"))
 
 
 @query("SELECT user_id AS chat_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS nth, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE event_type = 'error'")
