@@ -7,11 +7,21 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
 
 ROLES = ("system", "user", "assistant", "tool", "developer")
 MOST_ATTEMPTS = 8
 
 
+def in_order(given: list) -> list[list[float]]:
+    """Vectors as an embedder returns them: plain, or as objects whose ``index`` tells their place."""
+    if given and all(isinstance(g, dict) for g in given):
+        given = [g["embedding"] for g in sorted(given, key=lambda g: g.get("index", 0))]
+    return given
+
+
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
     """Vectors of (id, text) in batches of ``batch`` texts; a batch with a wrong number of vectors fails."""
 
@@ -20,7 +30,7 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], b
             vectors: list[list[float]] = []
             for k in range(0, len(pdf), batch):
                 some = pdf["text"].iloc[k : k + batch].tolist()
-                got = embedder(some)
+                got = in_order(embedder(some))
                 if len(got) != len(some):
                     raise ValueError("the embedder returned a wrong number of vectors")
                 vectors += got
@@ -29,16 +39,43 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], b
     return rows.select("id", "text").mapInPandas(run, "id string, vector array<double>")
 
 
-def extract(chapters: DataFrame, extractor: Callable[[dict], dict]) -> DataFrame:
-    """One JSON payload of nodes and relationships per chapter."""
+def extract(chapters: DataFrame, extractor: Callable[[dict], dict], on_start: Callable[[dict], None] | None = None, on_complete: Callable[[dict, dict], None] | None = None) -> DataFrame:
+    """One JSON payload of nodes and relationships per chapter; the callbacks hear of each chapter before and after."""
+
+    def one(row: dict) -> str:
+        if on_start:
+            on_start(row)
+        payload = extractor(row)
+        if on_complete:
+            on_complete(row, payload)
+        return json.dumps(payload, ensure_ascii=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"chapter_id": pdf["chapter_id"], "payload": [json.dumps(extractor(r), ensure_ascii=False) for r in pdf.to_dict("records")]})
+            yield pd.DataFrame({"chapter_id": pdf["chapter_id"], "payload": [one(r) for r in pdf.to_dict("records")]})
 
     return chapters.mapInPandas(run, "chapter_id string, payload string")
 
 
+EXTRACTION_RULE = "List the knowledge points of this chapter and how they relate. Answer with one JSON object that has nodes (name, definition, category, page, source_quote) and relationships (source, target, relation_type, description, evidence)."
+ANSWER_RULE = "Answer from the passages alone and cite them as they are written in brackets. Where they do not hold the answer, say that nothing was found."
+
+
+def extraction_prompts(chapters: DataFrame, limit: int = 9000) -> DataFrame:
+    """What an extractor is asked for each chapter (book, chapter_id, title, page_start, content): system text and user text."""
+    head = F.format_string("Book: %s\nChapter: %s\nFirst page: %s\n\n", F.col("book"), F.col("title"), F.col("page_start").cast("string"))
+    return chapters.select("chapter_id", F.lit(EXTRACTION_RULE).alias("system"), F.concat(head, T.trim_to_length(F.col("content"), limit)).alias("user"))
+
+
+def answer_prompts(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """What a model is asked for each question (query_id, query): the passages found (query_id, rank, source_ref, text), in order."""
+    passage = F.concat("source_ref", F.lit("\n"), "text")
+    listed = F.array_sort(F.collect_list(F.struct("rank", passage.alias("said"))))
+    context = found.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda p: p["said"]), "\n\n").alias("context"))
+    user = F.concat(F.lit("Question: "), "query", F.lit("\n\n"), F.coalesce("context", F.lit("")))
+    return questions.join(context, "query_id", "left").select("query_id", F.lit(ANSWER_RULE).alias("system"), user.alias("user"))
+
+
 def answer(questions: DataFrame, generator: Callable[[str, list[str]], str]) -> DataFrame:
     """Answers to (query_id, query, chunks)."""
 

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as scripts for the web understand it.
-_SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
-WS = "[\\t\\n\\x0B\\f\\r " + "".join(map(chr, _SPACES)) + "]"
+#: Fixed value: white space as scripts for the web understand it.
+WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: Fixed value: a letter of a title, Han or Latin.
+TITLE_LETTER = r"[\u4E00-\u9FA5A-Za-z]"
 #: Chapter headings, table-of-contents words, front matter, page furniture, citations.
 CHAPTER = r"(?i)^(?:第\s*[一二三四五六七八九十百千万零〇两\d]+\s*[章节篇编部卷]\s*[\s\S]{0,80}|Chapter\s+\d+[\s\S]{0,80})\z"
 CONTENTS_WORDS = r"(?i)目录|contents|全文"
@@ -74,7 +75,7 @@ def strip(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     c = F.regexp_replace(_text(c), r"\r\n?", "\n")
-    c = F.regexp_replace(c, "[\t" + chr(0xA0) + "]+", " ")
+    c = F.regexp_replace(c, r"[\t\u00A0]+", " ")
     c = F.regexp_replace(c, r"[ \f\x0B]+", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
@@ -117,7 +118,7 @@ def is_chapter_title(c: Column) -> Column:
 
 def is_document_title(c: Column) -> Column:
     t = compact_title(c)
-    return F.length(t).between(2, 60) & ~is_chapter_title(t) & ~t.rlike(FRONT_WORDS) & ~t.rlike(r"^\d+\z") & ~t.contains("|") & ~t.rlike("[.·•]{5,}") & t.rlike("[" + chr(0x4E00) + "-" + chr(0x9FA5) + "A-Za-z]")
+    return F.length(t).between(2, 60) & ~is_chapter_title(t) & ~t.rlike(FRONT_WORDS) & ~t.rlike(r"^\d+\z") & ~t.contains("|") & ~t.rlike("[.·•]{5,}") & t.rlike(TITLE_LETTER)
 
 
 def is_noise_line(c: Column, page: Column) -> Column:
@@ -193,6 +194,23 @@ def positive_int(c: Column, fallback: Column) -> Column:
     return F.when((n > 0) & (n == F.floor(n)), n.cast("int")).otherwise(fallback)
 
 
+def number(c: Column, fallback: Column) -> Column:
+    """A finite number, else ``fallback``; an empty text counts as nought."""
+    text = strip(_text(c))
+    n = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
+    return F.when(c.isNull() | n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), fallback).otherwise(n)
+
+
+def optional_int(c: Column) -> Column:
+    """A number from 1 on, its fraction cut off; null where there is none."""
+    n = number(c, F.lit(None).cast("double"))
+    return F.when(n >= 1, F.floor(n)).cast("long")
+
+
+def rounded_score(c: Column) -> Column:
+    return F.round(number(c, F.lit(0.0)), 4)
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
@@ -314,6 +332,24 @@ def format_bytes(c: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", c.cast("long"))).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
 
 
+def format_number(c: Column) -> Column:
+    """A whole number with commas between thousands; nought where it is none."""
+    return F.format_number(F.round(number(c, F.lit(0.0))).cast("long"), 0)
+
+
+def safe_basename(c: Column, fallback: str = "textbook") -> Column:
+    """The last part of a path as a file name: all but word signs, dots, hyphens and Han characters becomes lines."""
+    given = strip(_text(c))
+    last = F.element_at(F.split(F.regexp_replace(F.when(given == "", fallback).otherwise(given), r"/+\z", ""), "/"), -1)
+    kept = F.regexp_replace(F.regexp_replace(last, r"[^A-Za-z0-9_.\-\u4E00-\u9FA5]+", "_"), r"^_+|_+\z", "")
+    return F.when(kept == "", fallback).otherwise(kept)
+
+
+def output_stem(filename: Column) -> Column:
+    """What a book's files are named after: its name without ending."""
+    return F.regexp_replace(safe_basename(filename), r"\.[^.]+\z", "")
+
+
 def escape_html(c: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))

@@ -119,10 +119,16 @@ def current_ids(raw: DataFrame, decisions: DataFrame) -> DataFrame:
 def merged_nodes(raw: DataFrame, current: DataFrame) -> DataFrame:
     """Attributes of current nodes from their raw ones: shortest name, longest definition, sets in order, smallest page.
 
-    A raw node without page counts as page 0.
+    Categories, and chapters and sources where raw nodes have them, are gathered in the order of raw ids, which are listed
+    too. A raw node without page counts as page 0.
     """
     r = raw.withColumnRenamed("id", "raw_id").join(current.select("raw_id", "id", "status"), "raw_id")
+    lists = [ordered_set("chapter", "raw_id").alias("chapters")] if "chapter" in raw.columns else []
+    lists += [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("raw_id", "sources"))), lambda x: x["sources"])).alias("sources")] if "sources" in raw.columns else []
     return r.groupBy("id").agg(
+        F.array_sort(F.collect_set("raw_id")).alias("merged_from"),
+        ordered_set("category", "raw_id").alias("categories"),
+        *lists,
         F.min_by("name", F.struct(F.length("name").alias("n"), F.col("raw_id"))).alias("name"),
         F.max_by("definition", F.struct(F.length(T.compact_text(F.col("definition"))).alias("n"), (-F.col("ord")).alias("o"))).alias("definition"),
         F.min_by("category", "raw_id").alias("category"),
@@ -194,7 +200,7 @@ def comparison(raw: DataFrame, edges: DataFrame, current: DataFrame, new_edges:
 
 def decision_ids(decisions: DataFrame, placed: bool = False) -> DataFrame:
     """Ids by action and place in the log; ``placed`` says that ``seq`` is that place already."""
-    n = F.col("seq") if placed else F.row_number().over(W.orderBy("seq"))
+    n = F.col("seq") if placed else F.row_number().over(W.orderBy("seq"))  # places need an order over the whole log
     return decisions.withColumn("decision_id", F.concat("action", F.lit("_"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -18,6 +19,8 @@ from quire.functions import text as T
 from quire.operators import graph, segment
 
 MOST_BYTES = 200 << 20
+#: Why a file is not read.
+EMPTY, TOO_LARGE, UNSUPPORTED = "Uploaded textbook is empty", "Textbook is too large", "Unsupported textbook format"
 SHEET_SCHEMA = "path string, sheet string, sheet_idx int, row_idx int, cells array<string>"
 BODY_SCHEMA = "path string, markdown boolean, text string"
 ALIASES = ("textbookAddress", "address", "path", "filePath", "url", "textbookPath")
@@ -37,21 +40,69 @@ def resolve(context: str | dict) -> dict:
     return {"address": address.strip(), "textbook_id": given.get("textbook_id", given.get("textbookId")), **{k: given.get(k) for k in ("filename", "title", "format")}}
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of a folder, or of a pattern, that hold no byte."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for top in store.globStatus(place) or []:
+        listed = store.listStatus(top.getPath()) if top.isDirectory() else [top]
+        found += [f.getPath().toString() for f in listed if f.isFile() and f.getLen() == 0 and not f.getPath().getName().startswith(("_", "."))]
+    return found
+
+
 def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Files as path, filename, ext, content; empty and too large ones are left out, unsupported ones have a null ext."""
-    f = spark.read.format("binaryFile").load(path).where((F.col("length") > 0) & (F.col("length") <= most_bytes))
+    """Files as path, filename, ext, content, problem.
+
+    Empty files, those above ``most_bytes`` and those of an unsupported format are listed with their problem and without
+    format or content, so that no reader takes them; ``require_supported`` refuses them.
+    """
+    f = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    nothing = _empty_files(spark, path)  # Spark's reader passes over them
+    if nothing:
+        f = f.unionByName(spark.createDataFrame([(p, 0, None) for p in nothing], "path string, length long, content binary"))
     name = T.basename(F.url_decode("path"))
-    return f.select("path", name.alias("filename"), T.extension(name).alias("ext"), "content")
+    problem = F.when(F.col("length") == 0, EMPTY).when(F.col("length") > most_bytes, TOO_LARGE).when(T.extension(name).isNull(), UNSUPPORTED)
+    sound = lambda c: F.when(F.col("problem").isNull(), c)
+    return f.select("path", name.alias("filename"), problem.alias("problem"), "content").select("path", "filename", sound(T.extension(F.col("filename"))).alias("ext"), sound(F.col("content")).alias("content"), "problem")
 
 
 def require_supported(files: DataFrame) -> DataFrame:
-    """The same files; one of an unsupported format fails the query."""
-    return files.withColumn("ext", F.when(F.col("ext").isNull(), F.raise_error(F.concat(F.lit("Unsupported textbook format: "), "filename"))).otherwise(F.col("ext")))
+    """The same files; one that is empty, too large or of an unsupported format fails the query."""
+    said = F.concat("problem", F.lit(": "), "filename")
+    return files.withColumn("ext", F.when(F.col("problem").isNotNull(), F.raise_error(said)).otherwise(F.col("ext")))
+
+
+def fetched(addresses: DataFrame, get: Callable[[str], bytes], head: Callable[[str], str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Books at web addresses (path) read on the executors: path, filename, ext, content, problem.
+
+    ``get`` returns a book's bytes; ``head`` its content type, which is asked for only where the address tells no format.
+    """
+    known = addresses.select("path", T.basename(F.col("path")).alias("filename")).withColumn("ext", T.extension(F.col("filename")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, ext in zip(pdf["path"], pdf["ext"], strict=True):
+                try:
+                    kind = head(path) if ext is None and head is not None else None
+                    rows.append((path, kind, bytes(get(path)), None))
+                except OSError as e:
+                    rows.append((path, None, None, f"unreadable: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "kind", "content", "failure"])
+
+    got = known.select("path", "ext").mapInPandas(run, "path string, kind string, content binary, failure string")
+    name = T.basename(F.col("path"))
+    ext = T.extension(name, None, F.lower(F.coalesce("kind", F.lit(""))))
+    size = F.octet_length("content")
+    problem = F.coalesce("failure", F.when(size == 0, EMPTY).when(size > most_bytes, TOO_LARGE).when(ext.isNull(), UNSUPPORTED))
+    sound = lambda c: F.when(F.col("problem").isNull(), c)
+    return got.select("path", name.alias("filename"), ext.alias("found"), "content", problem.alias("problem")).select("path", "filename", sound(F.col("found")).alias("ext"), sound(F.col("content")).alias("content"), "problem")
 
 
 def texts(files: DataFrame) -> DataFrame:
     """Text and Markdown files as path, markdown, text."""
-    return files.where(F.col("ext").isin(".txt", ".md")).select("path", (F.col("ext") == ".md").alias("markdown"), F.decode("content", "UTF-8").alias("text"))
+    return files.where(F.col("ext").isin(".txt", ".md")).select("path", (F.col("ext") == ".md").alias("markdown"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def docx_text(data: bytes) -> tuple[bool, str]:
@@ -178,6 +229,100 @@ def read_env(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~line.startswith("#")).select(name.alias("name"), F.regexp_replace(value, "^([\"'])(.*)\\1\\z", "$2").alias("value")).where("name != ''")
 
 
+def chosen_books(spark: SparkSession, given: DataFrame | None = None, file: str | None = None, folder: str | None = None) -> DataFrame:
+    """The books to work on: those given, else those of one file, else those of a folder; without any there is an error."""
+    if given is not None:
+        return given
+    if file is not None:
+        return spark.read.option("multiLine", True).json(file)
+    if folder is not None:
+        return parsed_books(spark, folder)
+    raise TypeError("books, a file or a folder are required")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def graph_scan(spark: SparkSession, folder: str, scope: str = "latest", own: str = "integrated") -> tuple[DataFrame, DataFrame]:
+    """Rows (file, pos, row) of the node and side files of a folder.
+
+    ``source`` takes what books gave, ``integrated`` what integration wrote, ``latest`` the latter where it is there.
+    """
+    integrated = scope == "integrated" or scope != "source" and _exists(spark, f"{folder}/node/{own}.nodes.json")
+    rows = [graph_payloads(spark, f"{folder}/{part}", *keys) for part, keys in (("node", ("nodes",)), ("side", ("relationships", "sides", "edges")))]
+    mine = F.col("file").startswith(own)
+    return tuple(r.where(mine if integrated else ~mine) for r in rows)
+
+
+def knowledge_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of an index; an index that is missing or has none is an error."""
+    if not _exists(spark, f"{folder}/chunks"):
+        raise FileNotFoundError(f"there is no index in {folder}; build it first")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    if chunks.isEmpty():
+        raise ValueError(f"the index in {folder} has no chunks; build it again")
+    return chunks
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of an index, a row of counts; no rows where there is none."""
+    schema = "textbook_count long, chapter_count long, indexed_chapter_count long, chunk_count long"
+    return spark.read.schema(schema).json(f"{folder}/manifest") if _exists(spark, f"{folder}/manifest") else spark.createDataFrame([], schema)
+
+
+def write_index(chunks: DataFrame, vectors: DataFrame, chapters: DataFrame, folder: str) -> None:
+    """Chunks and vectors of an index, replacing what was there, and last the manifest that says so."""
+    write_chunks(chunks, folder)
+    write_vectors(vectors, folder)
+    books = chapters.agg(F.count_distinct("book").alias("textbook_count"), F.count("*").alias("chapter_count"))
+    done = chunks.agg(F.count_distinct("book", "chapter_id").alias("indexed_chapter_count"), F.count("*").alias("chunk_count"))
+    books.join(done, F.lit(True)).coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def add_vectors(vectors: DataFrame, folder: str) -> None:
+    """More vectors for an index that is there; a vector of an id that is there already is left out."""
+    known = vectors.sparkSession.read.parquet(f"{folder}/vectors").select("id")
+    _normed(vectors.join(known, "id", "left_anti")).write.mode("append").parquet(f"{folder}/vectors")
+
+
+def write_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, stem: str) -> None:
+    """A graph under its own name, and again as the latest one."""
+    for name in (stem, "latest"):
+        write_graph(nodes, edges, f"{folder}/{name}")
+
+
+def write_integration(nodes: DataFrame, edges: DataFrame, decisions: DataFrame, turns: DataFrame, folder: str) -> None:
+    """All that integration leaves: the graph, its latest copy, and additions to the log and to the conversation."""
+    write_snapshot(nodes, edges, folder, "integrated")
+    append_log(decisions, f"{folder}/decisions")
+    append_log(turns, f"{folder}/conversation")
+
+
+def persist_uploads(files: DataFrame, folder: str) -> DataFrame:
+    """Uploaded books (read_files) stored under names with a digest of their content: filename, ext, digest, content.
+
+    Refused files fail the query. Returns what was stored.
+    """
+    digest = F.left(F.sha1(F.concat(F.col("filename").cast("binary"), F.col("content"))), F.lit(10))
+    stored = require_supported(files).select(T.output_stem(F.col("filename")).alias("stem"), "filename", "ext", digest.alias("digest"), "content")
+    stored.write.mode("append").parquet(f"{folder}/uploads")
+    return files.sparkSession.read.parquet(f"{folder}/uploads").drop("content")
+
+
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """A session map that appears whole: written beside its place, then renamed into it."""
+    spark = sessions.sparkSession
+    part = f"{path}.{uuid.uuid4().hex}"
+    sessions.write.json(part)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(hadoop(path), True)
+    if not store.rename(hadoop(part), hadoop(path)):
+        raise OSError(f"{path} could not be replaced")
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """A graph's nodes and edges as JSON, replacing what was there."""
     nodes.write.mode("overwrite").json(f"{folder}/node")
@@ -193,13 +338,27 @@ def write_chunks(chunks: DataFrame, folder: str) -> None:
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
 
 
+def _normed(vectors: DataFrame) -> DataFrame:
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return vectors.withColumn("norm", F.sqrt(square))
+
+
 def write_vectors(vectors: DataFrame, folder: str) -> None:
     """A vector table with norms worked out once, for exact search."""
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    vectors.withColumn("norm", F.sqrt(square)).write.mode("overwrite").parquet(f"{folder}/vectors")
+    _normed(vectors).write.mode("overwrite").parquet(f"{folder}/vectors")
+
+
+def report(overview: DataFrame, recent: DataFrame) -> DataFrame:
+    """A Markdown report, a line a row: figures of a one-row overview, then the last decisions (seq, decision_id, action, affected_nodes, reason)."""
+    figures = F.array(F.lit("# 整合报告"), F.lit(""), *(F.concat(F.lit(f"- {c}："), F.coalesce(F.col(c).cast("string"), F.lit("待整合后生成"))) for c in overview.columns), F.lit(""), F.lit("## 重点整合案例"), F.lit(""))
+    said = F.concat(F.lit("- "), "decision_id", F.lit("："), "action", F.lit("，涉及 "), F.array_join("affected_nodes", ", "), F.lit("。理由："), F.coalesce("reason", F.lit("未记录")))
+    last = recent.orderBy(F.desc("seq")).limit(5).agg(F.array_sort(F.collect_list(F.struct("seq", said.alias("line")))).alias("rows"))
+    cases = F.when(F.size("rows") > 0, F.transform("rows", lambda r: r["line"])).otherwise(F.array(F.lit("- 当前尚未产生整合决策。")))
+    return overview.join(last, F.lit(True)).select(F.posexplode(F.concat(figures, cases)).alias("pos", "value"))
 
 
-def write_report(overview: DataFrame, path: str) -> None:
-    """A one-row overview as a Markdown list."""
-    lines = [F.concat(F.lit(f"- {c}: "), F.col(c).cast("string")) for c in overview.columns]
-    overview.select(F.concat_ws("\n", F.lit("# Report"), F.lit(""), *lines).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_report(overview: DataFrame, path: str, recent: DataFrame | None = None) -> None:
+    """The report as one text file."""
+    spark = overview.sparkSession
+    none = spark.createDataFrame([], "seq long, decision_id string, action string, affected_nodes array<string>, reason string")
+    report(overview, none if recent is None else recent).coalesce(1).sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)
