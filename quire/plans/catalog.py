@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quire.functions import text as T
-from quire.operators import decide, graph, integrate, retrieval, segment
+from quire.operators import graph, integrate, retrieval, segment
 from quire.plans import derived as D
 from quire.plans.derived import ADDRESSES_SQL, CHAPTERS, DECISIONS, EDGES, FACT, HEADED_SQL, LINES, NODES, PROMPTS_SQL, table
 from quire.streaming import chat
@@ -672,7 +672,7 @@ def set_except(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
-@query()
+@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_name)::INT AS k FROM nation")
 def zh_sort(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return n.withColumn("k", F.row_number().over(W.orderBy(F.collate("n_name", "zh"))))
@@ -749,3 +749,6 @@ _SAFE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;')
 def escape_html(spark, sf_dir):
     said = F.concat(F.lit("<a href='x'>&" + chr(34)), F.left("html", F.lit(60)), "url")
     return table(spark, sf_dir, "pages").select("page_id", T.compact_text(F.left("html", F.lit(120))).alias("t"), T.escape_html(said).alias("safe"))
+
+
+from quire.plans import more  # noqa: E402, F401  registers its queries
