@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quire.llm import decontaminate as D
+from quire.llm import queries as Q
 
 R = random.Random(5)
 VOCABULARY = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 7))) for _ in range(600)]
@@ -182,3 +183,18 @@ def test_a_very_long_text(spark):
     docs = [(i, prose(120, 7000 + i)) for i in range(100)] + [(500, prose(150_000, 8) + " " + item + " " + prose(150_000, 9)), (501, "x" * 2_000_000)]
     got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(500, 1)]
+
+
+def test_the_query_by_brute_force(spark):
+    """Every document of a table against every item by the acceptance rule alone, with no candidate search."""
+    folder = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], D.ids_of(r["text"] or "")) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    items = [D.item_of(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    want = set()
+    for d, words in docs:
+        for item in items:
+            share, answer = D._check(item, words, 0, len(words))
+            if share >= D.CLEAR or share >= D.PARAPHRASE and answer >= D.ANSWER:
+                want.add((d, item.item_id, round(share, 9)))
+    got = {(r["doc_id"], r["item_id"], round(r["lcs_share"], 9)) for r in Q.op2_decontaminate(spark, folder).collect()}
+    assert {g[:2] for g in got} == {w[:2] for w in want} and want

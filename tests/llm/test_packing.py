@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quire.llm import packing
+from quire.llm import queries as Q
 from quire.llm.tokens import UnitIds, parts_of, units
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -166,3 +167,30 @@ def test_a_very_long_text(spark):
         assert p["start"] == at and p["ids_crc32"] == zlib.crc32(np.array(ids[at : at + p["length"]], "<u4").tobytes())
         at += p["length"]
     assert at == len(ids)
+
+
+def test_the_query_by_the_library(spark):
+    """Every id of every document of a whole table, by the tokenizer itself."""
+    folder = "/root/testdata/sf0.01"
+    pieces = {}
+    for p in Q.op1_packing(spark, folder).collect():
+        pieces.setdefault(p["doc_id"], []).append(p)
+    sequences = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        ids = np.array([*LIBRARY.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in sorted(pieces.pop(r["doc_id"]), key=lambda p: p["start"]):
+            assert (p["start"], p["doc_tokens"]) == (at, len(ids)) and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+            sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        assert at == len(ids)
+    assert not pieces
+    padded = total = 0
+    for rows in sequences.values():
+        at = 0
+        for offset, n in sorted(rows):
+            assert offset == at
+            at += n
+        assert at <= 2048
+        total, padded = total + at, padded + packing.padding_of(at, 2048)
+    assert padded < 0.02 * total

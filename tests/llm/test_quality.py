@@ -1,11 +1,13 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.llm import quality as Q
+from quire.llm import queries
 
 R = random.Random(4)
 
@@ -110,3 +112,29 @@ def test_edges(spark):
     one = Q.train(docs, spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, quality int"))
     assert all(r["score"] < 0.5 for r in Q.score(docs, one, keep=["doc_id"]).collect())
     assert Q.score(docs.where("false"), one).count() == 0
+
+
+def test_the_query_by_brute_force(spark):
+    """Scores of a whole table from each document's chain alone, walked line by line; and the rule for held-out ids."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    model = Q.train(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet"))
+    got = {r["doc_id"]: r for r in queries.op4_quality(spark, folder).collect()}
+    assert got.keys() == docs.keys()
+    for d, text in docs.items():
+        x, weight, _ = Q.line_features(*Q._bytes_of(pa.array([text + "\n"])))
+        unary = x.astype(float) @ model.weights
+        good, bad = [unary[0]], [0.0]  # logarithms of forward sums
+        for u in unary[1:]:
+            a, b = bad[-1], good[-1]
+            bad.append(np.logaddexp(a + model.turn[0, 0], b + model.turn[1, 0]))
+            good.append(u + np.logaddexp(a + model.turn[0, 1], b + model.turn[1, 1]))
+        after = [(0.0, 0.0)]
+        for u in unary[:0:-1]:
+            a, b = after[-1]
+            after.append((np.logaddexp(model.turn[0, 0] + a, model.turn[0, 1] + u + b), np.logaddexp(model.turn[1, 0] + a, model.turn[1, 1] + u + b)))
+        p = [1 / (1 + np.exp(f0 + b0 - f1 - b1)) for f0, f1, (b0, b1) in zip(bad, good, after[::-1], strict=True)]
+        score = 1 / (1 + np.exp(-(model.slope * (p @ weight / weight.sum()) + model.shift)))
+        r = got[d]
+        assert abs(r["score"] - score) < 1e-5 and (abs(score - Q.THRESHOLD) < 1e-5 or r["predicted"] == (score >= Q.THRESHOLD))
+        assert r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
