@@ -167,10 +167,14 @@ def sankey_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return first.unionByName(second).unionByName(third).groupBy("source", "target").agg(F.sum("value").alias("value"))
 
 
-def timeline(nodes: DataFrame) -> DataFrame:
-    """Chapters by their first page, with the number of nodes and a running index."""
+def _sorted(column: str, zh: bool) -> Column:
+    return F.collate(column, "zh") if zh else F.col(column)
+
+
+def timeline(nodes: DataFrame, zh: bool = False) -> DataFrame:
+    """Chapters by their first page, with the number of nodes and a running index; ``zh`` sorts titles as Chinese readers do."""
     c = nodes.groupBy(_or_else(F.col("chapter"), "未分章节").alias("chapter")).agg(F.min(F.when(F.col("page") != 0, F.col("page"))).alias("page"), F.count("*").alias("nodes"))
-    return c.withColumn("progress", F.row_number().over(W.orderBy(F.col("page").asc_nulls_last(), "chapter")))
+    return c.withColumn("progress", F.row_number().over(W.orderBy(F.col("page").asc_nulls_last(), _sorted("chapter", zh))))
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, of: Column) -> DataFrame:
@@ -194,16 +198,19 @@ def knowledge(nodes: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(some), F.lit(True)).where(own | ~F.coalesce(F.col("_some"), F.lit(False))).drop("_some")
 
 
-def layout(nodes: DataFrame) -> DataFrame:
-    """Places on the plane: chapters on a grid, their nodes on rings around by page and name."""
+def layout(nodes: DataFrame, zh: bool = False) -> DataFrame:
+    """Places on the plane: chapters on a grid, their nodes on rings around by page and name.
+
+    ``zh`` sorts titles and names as Chinese readers do.
+    """
     group = F.coalesce("chapter_id", "chapter", "category", F.lit("未分组"))
     label = F.coalesce("chapter", "category", F.lit("未分组"))
     groups = nodes.groupBy(group.alias("g")).agg(F.min(label).alias("label"))
     total = groups.agg(F.count("*").alias("groups"))
-    grid = groups.withColumn("index", F.row_number().over(W.orderBy("label", "g")) - 1).join(F.broadcast(total), F.lit(True)).withColumn("columns", F.greatest(F.lit(1), F.ceil(F.sqrt("groups"))).cast("int"))
+    grid = groups.withColumn("index", F.row_number().over(W.orderBy(_sorted("label", zh), "g")) - 1).join(F.broadcast(total), F.lit(True)).withColumn("columns", F.greatest(F.lit(1), F.ceil(F.sqrt("groups"))).cast("int"))
     chapter = F.coalesce((F.col("node_kind") == "chapter") | F.concat_ws(" ", "category", "name").rlike("(?i)章节|chapter"), F.lit(False))
     n = nodes.withColumn("g", group).withColumn("is_chapter", chapter)
-    n = n.withColumn("k", F.row_number().over(W.partitionBy("g", "is_chapter").orderBy(F.coalesce("page", F.lit(0)), "name", "ord")) - 1).withColumn("size", F.count("*").over(W.partitionBy("g", "is_chapter")))
+    n = n.withColumn("k", F.row_number().over(W.partitionBy("g", "is_chapter").orderBy(F.coalesce("page", F.lit(0)), _sorted("name", zh), "ord")) - 1).withColumn("size", F.count("*").over(W.partitionBy("g", "is_chapter")))
     n = n.join(F.broadcast(grid.select("g", "index", "columns")), "g")
     cx, cy = F.lit(260.0) + (F.col("index") % F.col("columns")) * 430, F.lit(230.0) + F.floor(F.col("index") / F.col("columns")) * 360
     first = F.least(F.lit(8), F.greatest(F.lit(1), F.col("size")))
@@ -229,5 +236,18 @@ def visual_edges(edges: DataFrame) -> DataFrame:
     return edges.select("id", "source", "target", T.relation_label(F.col("relation_type")).alias("label"), T.relation_colour(F.col("relation_type")).alias("colour"), (~is_fact()).alias("derived"))
 
 
+def node_details(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """What a node's panel shows: its texts with plain words where they are missing, and its first sources."""
+    shown = lambda c, other: _or_else(F.col(c), other).alias(c)
+    return nodes.select("id", shown("name", "未命名"), shown("definition", "暂无定义"), shown("category", "未分类"), shown("chapter", "未分章节"), F.slice("sources", 1, most).alias("sources"), F.size("sources").alias("source_count"))
+
+
+def inherited(rows: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Nodes or edges (book, chapter_id) with what their book (book, title, filename, total_pages, total_chars) and chapter say."""
+    b = books.select("book", F.col("title").alias("textbook_title"), "filename", "total_pages", "total_chars")
+    c = chapters.select("book", "chapter_id", F.col("title").alias("chapter_title"), "chapter_idx", "page_start", "page_end", "char_count")
+    return rows.join(b, "book", "left").join(c, ["book", "chapter_id"], "left")
+
+
 def legend(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count_distinct("textbook_id").alias("sources"), F.count_distinct("category").alias("categories"), F.bool_or(F.col("frequency") > 1).alias("has_frequency"))

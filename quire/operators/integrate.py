@@ -198,6 +198,16 @@ def comparison(raw: DataFrame, edges: DataFrame, current: DataFrame, new_edges:
     return count(raw, "nodes_before").join(count(edges, "edges_before"), F.lit(True)).join(nodes, F.lit(True)).join(count(new_edges, "edges_after"), F.lit(True))
 
 
+def graph_summary(raw: DataFrame, edges: DataFrame, current: DataFrame, new_edges: DataFrame, decisions: DataFrame, book_chars: DataFrame | None = None) -> DataFrame:
+    """One row with all that is told of an integrated graph: before and after, compression, and the log's actions.
+
+    ``current`` are the merged nodes (id, name, definition, frequency); raw nodes that none of them stands for are removed.
+    """
+    whole = comparison(raw, edges, current, new_edges).join(compression(raw, current, book_chars), F.lit(True)).join(action_counts(decisions), F.lit(True))
+    kept = current.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("_kept"))
+    return whole.join(kept, F.lit(True)).withColumn("removed", F.greatest(F.lit(0), F.col("nodes_before") - F.col("_kept")).cast("long")).drop("_kept")
+
+
 def decision_ids(decisions: DataFrame, placed: bool = False) -> DataFrame:
     """Ids by action and place in the log; ``placed`` says that ``seq`` is that place already."""
     n = F.col("seq") if placed else F.row_number().over(W.orderBy("seq"))  # places need an order over the whole log

@@ -180,7 +180,7 @@ def integration_status(snapshot: DataFrame, decisions: DataFrame, turns: DataFra
 def by_id(rows: DataFrame, column: str, wanted: str) -> DataFrame:
     """The rows of one id; the query fails where there is none."""
     found = rows.where(F.col(column) == wanted)
-    some = found.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") == 0, F.raise_error(F.lit(f"{column} {wanted} is not there"))).otherwise(F.lit(True)).alias("_there"))
+    some = found.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") == 0, F.raise_error(F.lit(f"{column} {wanted} is not there"))).otherwise(F.lit(True)).alias("_there")).where("_there")
     return some.join(found, F.lit(True), "left").drop("_there")
 
 

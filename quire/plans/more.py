@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quire.functions import text as T
 from quire.operators import decide, graph, integrate, library, segment
@@ -246,6 +247,32 @@ def questioned_decisions(spark, sf_dir):
     return decide.questioned(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("round"), said.alias("prompt")), d, D.nodes(spark, sf_dir), ascii_only=True).select("round", "seq")
 
 
+@query(
+    f"WITH {NODES}, {EDGES}, {DECISIONS}, cur AS (SELECT id AS raw_id, min(id) OVER (PARTITION BY name) AS id FROM nodes), a AS (SELECT sum(greatest(1, length(definition))) AS ic FROM (SELECT arg_max(definition, (length(definition), -ord)) AS definition FROM nodes GROUP BY name)), b AS (SELECT sum(greatest(1, length(definition) + length(name))) AS oc FROM nodes) SELECT (SELECT count(*) FROM nodes) AS nodes_before, (SELECT count(*) FROM edges) AS edges_before, (SELECT count(DISTINCT id) FROM cur) AS nodes_after, (SELECT count(DISTINCT (x.id, y.id, relation_type, description)) FROM edges e JOIN cur x ON x.raw_id = e.source JOIN cur y ON y.raw_id = e.target WHERE x.id <> y.id) AS edges_after, oc::BIGINT AS original_chars, ic::BIGINT AS integrated_chars, round(ic / oc, 4) AS ratio, ic / oc <= 0.3 AS target_met, 'node_content_fallback' AS source, (SELECT count(*) FROM decisions WHERE action = 'merge') AS merge, (SELECT count(*) FROM decisions WHERE action = 'keep') AS keep, (SELECT count(*) FROM decisions WHERE action = 'remove') AS remove, 0::BIGINT AS removed FROM a, b"
+)
+def graph_summary(spark, sf_dir):
+    n, e = D.nodes(spark, sf_dir), D.edges(spark, sf_dir)
+    current = n.select(F.col("id").alias("raw_id"), F.min("id").over(W.partitionBy("name")).alias("id"), F.lit("merged").alias("status"))
+    return integrate.graph_summary(n, e, integrate.merged_nodes(n, current), integrate.rewrite_edges(e, current), D.decisions(spark, sf_dir))
+
+
+@query(f"WITH {NODES} SELECT min(id) AS id, count(*) AS frequency, string_agg(DISTINCT category, '|' ORDER BY category) AS categories, len(list_distinct(list(chapter))) AS chapters, md5(string_agg(id, ',' ORDER BY id)) AS merged_from FROM nodes GROUP BY name")
+def merged_lists(spark, sf_dir):
+    n = D.nodes(spark, sf_dir)
+    current = n.select(F.col("id").alias("raw_id"), F.min("id").over(W.partitionBy("name")).alias("id"), F.lit("merged").alias("status"))
+    m = integrate.merged_nodes(n, current)
+    return m.select("id", "frequency", F.array_join(F.array_sort("categories"), "|").alias("categories"), F.size("chapters").cast("long").alias("chapters"), F.md5(F.array_join("merged_from", ",").cast("binary")).alias("merged_from"))
+
+
+@query(f"WITH {NODES}, {CHAPTERS} SELECT n.id, c.title AS textbook_title, c.chapter_title, c.page_start FROM (SELECT id, 'src' || (ord % 25) AS book, 'ch_' || (ord % 12) AS chapter_id FROM nodes) n LEFT JOIN chapters c ON c.textbook_id = book AND c.chapter_id = n.chapter_id")
+def inherited_metadata(spark, sf_dir):
+    n = D.nodes(spark, sf_dir).select("id", F.concat(F.lit("src"), (F.col("ord") % 25).cast("string")).alias("book"), F.concat(F.lit("ch_"), (F.col("ord") % 12).cast("string")).alias("chapter_id"))
+    c = D.chapters(spark, sf_dir).withColumnRenamed("textbook_id", "book")
+    books = c.groupBy("book").agg(F.max("title").alias("title"), F.lit("f").alias("filename"), F.max("page_end").alias("total_pages"), F.sum("char_count").alias("total_chars"))
+    rows = graph.inherited(n, books, c.select("book", "chapter_id", F.col("chapter_title").alias("title"), "chapter_idx", "page_start", "page_end", "char_count"))
+    return rows.select("id", F.when(F.col("chapter_title").isNotNull(), F.col("textbook_title")).alias("textbook_title"), "chapter_title", "page_start")
+
+
 # Names, numbers, labels
 
 

@@ -199,7 +199,10 @@ def pdf_chapters(items: DataFrame) -> DataFrame:
 
 
 def parsed_books(spark: SparkSession, folder: str, prefix: str = "textbook-") -> DataFrame:
-    """Parsed textbooks of a folder, the first file of each identity winning; total characters are filled in where missing."""
+    """Parsed textbooks of a folder, the first file of each identity winning; total characters are filled in where missing.
+
+    Files are in the order in which Chinese readers sort names.
+    """
     books = spark.read.option("multiLine", True).option("pathGlobFilter", f"{prefix}*.json").json(folder).withColumn("file", T.basename(F.col("_metadata.file_path")))
     books = books.where(~F.col("file").endswith(".summary.json"))
     for name, kind in (("textbook_id", "string"), ("filename", "string"), ("total_chars", "bigint")):
@@ -208,7 +211,7 @@ def parsed_books(spark: SparkSession, folder: str, prefix: str = "textbook-") ->
     identity = T.first_filled(F.col("textbook_id"), F.col("filename"), F.col("file"))
     counted = F.aggregate("chapters", F.lit(0).cast("bigint"), lambda s, c: s + F.coalesce(c["char_count"].cast("bigint"), F.length(c["content"]).cast("bigint"), F.lit(0).cast("bigint")))
     out = books.withColumn("identity", identity).withColumn("total_chars", F.coalesce("total_chars", counted))
-    return graph.first_wins(out, ["identity"], "file")
+    return graph.first_wins(out.withColumn("_order", F.collate("file", "zh")), ["identity"], "_order").drop("_order")
 
 
 def graph_payloads(spark: SparkSession, folder: str, *keys: str) -> DataFrame:

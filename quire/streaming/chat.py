@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -144,6 +144,21 @@ def limited(parts: DataFrame, limit: int) -> DataFrame:
     return running.groupBy("upload_id").agg(F.sum("size").alias("bytes"), (F.max("total") > limit).alias("rejected"), F.count_if(F.col("total") <= limit).alias("kept"))
 
 
+#: Events as a front end writes them, a JSON object a line.
+EVENT_SCHEMA = "message struct<message_id string, chat_id string, chat_type string, content string>, sender struct<sender_id struct<open_id string, user_id string, union_id string>>, ts timestamp"
+
+
+def event_stream(spark: SparkSession, folder: str, most_files: int = 100) -> DataFrame:
+    """Events that a connection drops into a folder, as a stream; lines that are no events come with null messages."""
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", most_files).option("mode", "PERMISSIVE").json(folder)
+
+
+def public_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs as they may be shown: without keys and options, with the part of the chapters that is done."""
+    part = F.when(F.col("chapters") > 0, F.round(F.col("chapters_done") / F.col("chapters"), 4)).otherwise(F.lit(0.0))
+    return jobs.select("job_id", "status", "chapters", "chapters_done", part.alias("progress"))
+
+
 def parsed_messages(events: DataFrame) -> DataFrame:
     """Events with text and sender ids drawn from their structs."""
     m, s = F.col("message"), F.col("sender.sender_id")
