@@ -311,12 +311,15 @@ def _units(ids: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.n
         for b in range(1, c):
             again |= terms[:, c] == terms[:, b]
         terms[again, c] = TERMS
-    part = _sums(terms, table)
-    sums = np.zeros((len(part) + 1, table.shape[1]), np.float32)
-    for k in range(0, len(part), 4096):
-        np.cumsum(part[k : k + 4096], axis=0, out=sums[k + 1 : k + 1 + len(part[k : k + 4096])])
-        sums[k + 1 : k + 1 + len(part[k : k + 4096])] += sums[k]
-    return sums, units
+    part, n = _sums(terms, table), 16
+    rows = -(-len(part) // n)
+    sums = np.zeros((rows * n + 1, table.shape[1]), np.float32)
+    sums[1 : len(part) + 1] = part
+    inner = sums[1:].reshape(rows, n, table.shape[1])  # running sums inside runs of n units, all runs at once, then of the runs
+    for k in range(1, n):
+        inner[:, k] += inner[:, k - 1]
+    inner[1:] += np.cumsum(inner[:-1, -1], axis=0)[:, None]
+    return sums[: len(part) + 1], units
 
 
 def _places(units: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,9 +361,12 @@ def candidates(ids: np.ndarray, counts: np.ndarray, queries: list[Queries], tabl
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k in range(0, len(doc), PASSAGES):
             some = slice(k, k + PASSAGES)
-            score = _unit(sums[high[some]] - sums[low[some]]) @ q.vectors
-            at, which = np.nonzero(score >= cosine)
-            found.append((at + k, which, score[at, which]))
+            z = sums[high[some]]
+            z -= sums[low[some]]
+            length = np.sqrt(np.einsum("ij,ij->i", z, z)) + 1e-12
+            score = z @ q.vectors
+            at, which = np.nonzero(score >= cosine * length[:, None])
+            found.append((at + k, which, score[at, which] / length[at]))
         at, which, score = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.argsort(which, kind="stable")
         at, which, score = at[order], which[order], score[order]
@@ -373,10 +379,12 @@ def candidates(ids: np.ndarray, counts: np.ndarray, queries: list[Queries], tabl
 
 def _common(item: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Words that each row of ``spans`` has in common with the item, each as often as both have it."""
-    out = np.zeros(len(spans), np.int16)
-    for word, n in zip(*np.unique(item, return_counts=True), strict=True):
-        same = spans == word
-        out += same.any(axis=1) if n == 1 else np.minimum(same.sum(axis=1), n).astype(np.int16)
+    words, times = np.unique(item, return_counts=True)
+    out = np.zeros(len(spans), np.int64)
+    step = max(1, (1 << 21) // max(1, spans.shape[1] * len(words)))
+    for k in range(0, len(spans), step):
+        met = (spans[k : k + step, :, None] == words).sum(axis=1)
+        out[k : k + step] = np.minimum(met, times).sum(axis=1)
     return out
 
 
@@ -390,12 +398,16 @@ def _enough(item: Item, doc: np.ndarray, unit: np.ndarray, ids: np.ndarray, coun
     margin = m // 2 + UNIT
     begin, width = np.cumsum(counts) - counts, (_shape(m)[0] * UNIT) + 2 * margin
     keep = np.zeros(len(doc), bool)
+    member = np.zeros(1 << 16, np.uint8)
+    member[item.words & np.uint32(65535)] = 1
     for k in range(0, len(doc), 4096):
         d = doc[k : k + 4096]
         place = unit[k : k + 4096, None] * UNIT - margin + np.arange(width)
         inside = (place >= 0) & (place < counts[d][:, None])
         spans = np.where(inside, ids[np.where(inside, place + begin[d][:, None], 0)], 0)
-        keep[k : k + 4096] = _common(item.words, spans) >= _least(m)
+        # words that look like the item's are at least as many as those that are
+        rough = np.flatnonzero(member[spans & np.uint32(65535)].sum(axis=1, dtype=np.int32) >= _least(m))
+        keep[k + rough] = _common(item.words, spans[rough]) >= _least(m)
     return keep
 
 
