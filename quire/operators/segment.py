@@ -17,11 +17,6 @@ BOLD = "(?i)bold|heavy|black|semibold|medium|hei|黑体"
 SEPARATORS = ("\n\n", "\n", "。", "；", "，", " ", "")
 
 
-def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """One row per line: key, pos (from 0), line."""
-    return docs.select(key, F.posexplode(F.split(T.normalize_whitespace(F.col(text)), "\n")).alias("pos", "line"))
-
-
 def _rolled(docs: DataFrame, key: str, text: str, opens: Callable[[Column], Column], title: Callable[[Column], Column]) -> DataFrame:
     """Segments (key, segment, title or null, content) of texts, cut before each line that ``opens``; empty ones go.
 

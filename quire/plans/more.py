@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quire.functions import adapters
 from quire.functions import text as T
 from quire.operators import decide, graph, integrate, library, segment
 from quire.plans import derived as D
-from quire.plans.catalog import COMPACT, KEY, _answers, query
-from quire.plans.derived import ADDRESSES_SQL, CHAPTERS, DECISIONS, EDGES, FACT, NODES, PROMPTS_SQL, table
+from quire.plans.catalog import COMPACT, KEY, TITLE, WHITE, _HEADING, _answers, query
+from quire.plans.derived import ADDRESSES_SQL, CHAPTERS, DECISIONS, EDGES, FACT, HEADED_SQL, LINES, NODES, PROMPTS_SQL, table
 from quire.streaming import chat
 
 # Extractions and loaded graphs
@@ -390,3 +391,131 @@ def invalid_chapters(spark, sf_dir):
     return library.invalid_chapters(c).select("doc_id", "problem")
 
 
+
+
+# Segmentation
+
+#: Lines as pages have them, put in place of some lines of documents.
+FURNITURE = ("12", "— 7 —", "图1 细胞", "目录......3", "本章小结", "第一章 绪论", "前言", "生理学", "a|b", "2024", "Table 2. x", "扫码看")
+_FURNITURE = "CASE WHEN pos % 3 = 0 THEN [" + ", ".join(f"'{x}'" for x in FURNITURE) + f"][CAST((doc_id + pos) % {len(FURNITURE)} AS INT) + 1] ELSE line END"
+_IS_HEADING = f"(length(t) BETWEEN 2 AND 90 AND NOT (regexp_matches(t, '(?i)目录|contents|全文') AND length(t) <= 12) AND NOT regexp_matches(t, '[.·•]{{5,}}') AND regexp_matches(t, '{_HEADING}'))"
+
+
+@query(
+    f"WITH {LINES}, l AS (SELECT doc_id, pos, {_FURNITURE} AS line FROM lines), c AS (SELECT doc_id, pos, {TITLE.format('line')} AS t FROM l) SELECT doc_id, pos, {_IS_HEADING} AS heading, length(t) BETWEEN 2 AND 60 AND NOT {_IS_HEADING} AND NOT regexp_matches(t, '(?i)目录|contents|前言|序言|版权页|编委|封面页|书名页|主审简介|主编简介|副主编简介') AND NOT regexp_matches(t, '^[0-9]+$') AND NOT contains(t, '|') AND NOT regexp_matches(t, '[.·•]{{5,}}') AND regexp_matches(t, '[一-龥A-Za-z]') AS title, t = '' OR (regexp_matches(t, '^[0-9]{{1,4}}$') AND TRY_CAST(t AS INT) = pos) OR regexp_matches(t, '^[-–—]?\\s*[0-9]{{1,4}}\\s*[-–—]?$') OR regexp_matches(t, '[.·•]{{5,}}\\s*[0-9]{{1,4}}$') OR regexp_matches(t, '(?i)^(?:图|表|Fig\\.?|Figure|Table)\\s*[0-9一二三四五六七八九十]+[.\\-—、\\s]') OR (regexp_matches(t, '扫码|二维码|资源码|复习思考题|本章小结') AND length(t) <= 40) AS noise FROM c"
+)
+def line_kinds(spark, sf_dir):
+    put = F.element_at(F.array(*(F.lit(x) for x in FURNITURE)), ((F.col("doc_id") + F.col("pos")) % len(FURNITURE) + 1).cast("int"))
+    line = F.when(F.col("pos") % 3 == 0, put).otherwise(F.col("line"))
+    rows = D.lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), line.alias("line"))
+    return rows.select("doc_id", "pos", T.is_chapter_title(F.col("line")).alias("heading"), T.is_document_title(F.col("line")).alias("title"), T.is_noise_line(F.col("line"), F.col("pos")).alias("noise"))
+
+
+_MARKED_TEXT = "'intro ' || lang || chr(10) || '# Book ' || source || chr(10) || text || chr(10) || '## Part 12' || chr(10) || '### Deep part' || chr(10) || '### 第三章 血液' || chr(10) || 'last' || chr(10) || '#nothing'"
+
+
+@query(
+    f"WITH w AS (SELECT doc_id, string_split({WHITE.format(_MARKED_TEXT)}, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM w), m AS (SELECT *, length(regexp_extract(line, '^(#{{1,3}})\\s+\\S', 1)) AS level, {TITLE.format("regexp_extract(line, '^#{1,3}\\s+(.+?)\\s*$', 1)")} AS t FROM l), h AS (SELECT *, CASE WHEN level > 0 AND (level <= 2 OR {_IS_HEADING}) THEN t END AS heading FROM m), g AS (SELECT *, count(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM h), s AS (SELECT doc_id, seg, max(heading) AS title, string_agg(line, chr(10) ORDER BY pos) FILTER (heading IS NULL) AS body FROM g GROUP BY 1, 2), c AS (SELECT doc_id, seg, coalesce(title, '全文') AS title, {WHITE.format("coalesce(body, '')")} AS content FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seg) AS n FROM c WHERE content <> '') SELECT doc_id, 'ch_' || lpad(CAST(n AS VARCHAR), 2, '0') AS chapter_id, CASE WHEN title = '全文' THEN '前置内容' ELSE title END AS title, length(content) AS char_count FROM k"
+)
+def markdown_chapters(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("intro "), "lang", F.lit("\n# Book "), "source", F.lit("\n"), "text", F.lit("\n## Part 12\n### Deep part\n### 第三章 血液\nlast\n#nothing"))
+    return segment.finalise(segment.split_markdown(d.select("doc_id", text.alias("text")), "doc_id"), "doc_id").select("doc_id", "chapter_id", "title", F.col("char_count").cast("long").alias("char_count"))
+
+
+@query(
+    f"WITH {HEADED_SQL}, d AS (SELECT doc_id, doc_id % 4 AS k, source FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'Found ' || source WHEN 1 THEN 'given' WHEN 2 THEN source || ' cells' ELSE '未命名教材' END AS title FROM d"
+)
+def inferred_titles(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    name = F.when(k == 2, F.concat(F.lit("a/12. - "), "source", F.lit(" cells_.pdf"))).when(k == 3, "").otherwise("x.txt")
+    given, found = F.when(k == 1, " given ").when(k == 0, "given"), F.when(k == 0, F.concat(F.lit("# Found  "), "source", F.lit(".....9"))).otherwise(" ")
+    return table(spark, sf_dir, "documents").select("doc_id", T.infer_title(name, given, found).alias("title"))
+
+
+@query(f"WITH {LINES}, l AS (SELECT source, doc_id, pos, line, CASE WHEN length(line) = 0 THEN 0 ELSE 1 END AS some FROM lines) SELECT source AS doc, doc_id AS page, count(*) AS lines, md5(string_agg(replace(line, ' ', ''), '|' ORDER BY pos)) AS digest, count(*) FILTER (pos % 5 = 0) AS bold FROM l WHERE replace(line, ' ', '') <> '' GROUP BY 1, 2")
+def grouped_items(spark, sf_dir):
+    half = F.floor(F.length("line") / 2).cast("int")
+    rows = D.lines(spark, sf_dir).where(F.replace("line", F.lit(" "), F.lit("")) != "")
+    part = lambda n, said, x, gap: F.struct((F.col("pos") * 2 + n).cast("int").alias("ord"), said.alias("str"), x.cast("double").alias("x"), (F.col("pos") * -20.0 + n * gap).alias("y"), (F.length(said) * 5.0).alias("width"))
+    both = F.array(part(1, F.expr("substring(line, cast(floor(length(line) / 2) as int) + 1)"), half * 5 + 12, 1.0), part(0, F.left("line", half), F.lit(10), 0.0))
+    items = rows.select(F.col("source").alias("doc"), F.col("doc_id").cast("int").alias("page"), "pos", F.explode(both).alias("i"))
+    font = F.when(F.col("pos") % 5 == 0, "Some-Bold").otherwise("Plain")
+    lines = segment.group_items(items.select("doc", "page", "i.*", font.alias("font_name"), F.lit(10.0).alias("font_size")))
+    said = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), F.replace("text", F.lit(" "), F.lit("")).alias("said"))))
+    return lines.groupBy("doc", "page").agg(F.count("*").alias("lines"), F.md5(F.array_join(F.transform(said, lambda r: r["said"]), "|").cast("binary")).alias("digest"), F.count_if("bold").alias("bold"))
+
+
+# Graph building from extractions
+
+
+@query(
+    "WITH d AS (SELECT source, lang, doc_id FROM documents WHERE doc_id % 11 <> 0), n AS (SELECT source AS book, lower(source || ' x') AS key, min(doc_id) AS first FROM d GROUP BY source UNION ALL SELECT source, lower(lang), min(doc_id) FROM d GROUP BY source, lang), r AS (SELECT source, lang, min(doc_id) AS doc_id FROM d GROUP BY 1, 2) SELECT source AS book, source || ' x' AS source_name, lang AS target_name, 'contains' AS relation_type, source || ' x 与 ' || lang || ' 存在 contains 关系。' AS description, false AS fact FROM r"
+)
+def built_relationships(spark, sf_dir):
+    mentions, sides = library.extracted(_payloads(spark, sf_dir))
+    nodes = graph.upsert_nodes(mentions)
+    named = sides.withColumn("source", F.concat("source", F.lit("  x"))).withColumn("description", F.lit(None).cast("string"))
+    made = graph.add_relationships(named, nodes)
+    return made.select("book", "source_name", "target_name", "relation_type", "description", F.col("fact_eligible").alias("fact"))
+
+
+@query("WITH d AS (SELECT source, doc_id, CASE WHEN doc_id % 2 = 0 THEN '第一章' ELSE lang END AS title FROM documents) SELECT source AS book, title AS name, '章节主题' AS category, count(DISTINCT doc_id) AS frequency FROM d GROUP BY 1, 2")
+def topic_nodes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    chapters = d.select(F.col("source").alias("book"), F.col("doc_id").alias("chapter_idx"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chapter_id"), F.when(F.col("doc_id") % 2 == 0, "第一章").otherwise(F.col("lang")).alias("title"), F.lit(1).alias("page_start"), F.col("text").alias("content"))
+    mentions = graph.topic_mentions(chapters).withColumn("ord", F.col("chapter_idx"))
+    return graph.upsert_nodes(mentions).select("book", "name", "category", "frequency")
+
+
+# Hooks with plain functions in place of models
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, length(text)::DOUBLE AS size, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e FROM documents")
+def embedded_texts(spark, sf_dir):
+    v = adapters.embed(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"), lambda texts: [{"index": k, "embedding": [float(len(t)), float(t.count("e"))]} for k, t in reversed(list(enumerate(texts)))])
+    return v.select("id", F.col("vector")[0].alias("size"), F.col("vector")[1].alias("e"))
+
+
+@query("SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS query_id, reverse(left(text, 20)) || ' [' || role || ']' AS answer FROM conversations")
+def answered_questions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    q = c.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("query_id"), F.left("text", F.lit(20)).alias("query"), F.array("role").alias("chunks"))
+    return adapters.answer(q, lambda query, chunks: f"{query[::-1]} [{chunks[0]}]")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'merge' WHEN 1 THEN 'keep' ELSE 'remove' END AS action FROM part")
+def asked_judge(spark, sf_dir):
+    rounds = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("prompt"))
+    replied = decide.ask(rounds, lambda r: {"action": ("merge", "keep", "remove")[r["p_partkey"] % 3]})
+    return replied.select("p_partkey", F.get_json_object("reply", "$.action").alias("action"))
+
+
+# Small rules
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'third' END AS name, CASE WHEN c_custkey % 5 = 0 THEN 7 ELSE c_custkey::INT END AS n FROM customer")
+def first_filled_values(spark, sf_dir):
+    k = F.col("c_custkey")
+    first = F.when(k % 2 == 0, F.concat(F.lit(" "), "c_name")).when(k % 7 == 0, F.lit("  "))
+    given = F.when(k % 10 == 0, "x").when(k % 5 == 0, "-3").otherwise(k.cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.first_filled(first, F.when(k % 3 == 0, "second").otherwise(""), F.lit("third")).alias("name"), T.positive_int(given, F.lit(7)).alias("n"))
+
+
+@query("SELECT doc_id, ['#d85d34', '#667761', '#476b8f', '#c8923d', '#7a5a8a', '#3f7f78', '#a8504c'][CAST((list_sum(list_transform(string_split(source, ''), lambda c: ascii(c))) + doc_id) % 7 AS INT) + 1] AS colour, regexp_replace(trim(regexp_replace(source || ' / ' || lang || '__x', '[^\\p{L}\\p{N}_-]+', '_', 'g'), '_'), '_+', '_', 'g') AS stem FROM documents")
+def source_colours(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.source_colour(F.col("source"), F.col("doc_id")).alias("colour"), T.file_stem(F.concat("source", F.lit(" / "), "lang", F.lit("__x")), ascii_only=True).alias("stem"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 6 = 0")
+def changed_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    before = c.where("c_custkey % 6 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 4 == 0, F.lit("old")).otherwise(F.col("c_name")))
+    return chat.changed(c, before, "c_custkey")
+
+
+@query("SELECT user_id AS chat_id, event_id AS id, 'once' AS reply FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'error') WHERE CASE WHEN user_id % 2 = 0 THEN k = n ELSE k = 2 END")
+def resolved_replies(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("id"), F.col("ts").alias("asked_at"))
+    replies = asked.groupBy("chat_id").agg((F.max("asked_at") + F.expr("interval 1 day")).alias("at")).select("chat_id", "at", F.lit("once").alias("reply"), F.when(F.col("chat_id") % 2 == 1, 1).alias("index"))
+    return chat.resolve_replies(asked, replies).select("chat_id", "id", "reply")
