@@ -217,11 +217,8 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 def relation_type(c: Column) -> Column:
     """The relation type that a name stands for, else null."""
-    key = compact_text(c)
-    out = F.when(F.lower(key).isin(*RELATION_TYPES), F.lower(key))
-    for alias, kind in RELATION_ALIASES.items():
-        out = out.when((key == alias) | (F.lower(key) == alias), F.lit(kind))
-    return out
+    names = {kind: kind for kind in RELATION_TYPES} | RELATION_ALIASES
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.lower(compact_text(c)))
 
 
 def longer_definition(a: Column, b: Column) -> Column:

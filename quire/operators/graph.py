@@ -211,7 +211,7 @@ def layout(nodes: DataFrame, zh: bool = False) -> DataFrame:
     chapter = F.coalesce((F.col("node_kind") == "chapter") | F.concat_ws(" ", "category", "name").rlike("(?i)章节|chapter"), F.lit(False))
     n = nodes.withColumn("g", group).withColumn("is_chapter", chapter)
     n = n.withColumn("k", F.row_number().over(W.partitionBy("g", "is_chapter").orderBy(F.coalesce("page", F.lit(0)), _sorted("name", zh), "ord")) - 1).withColumn("size", F.count("*").over(W.partitionBy("g", "is_chapter")))
-    n = n.join(F.broadcast(grid.select("g", "index", "columns")), "g")
+    n = n.join(grid.select("g", "index", "columns"), "g")
     cx, cy = F.lit(260.0) + (F.col("index") % F.col("columns")) * 430, F.lit(230.0) + F.floor(F.col("index") / F.col("columns")) * 360
     first = F.least(F.lit(8), F.greatest(F.lit(1), F.col("size")))
     ring = F.floor(F.col("k") / first)

@@ -109,10 +109,10 @@ def current_ids(raw: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     log = [r.asDict(recursive=True) for r in decisions.orderBy("seq").collect()]
     named = decisions.select(F.explode("affected_nodes").alias("id")).distinct()
-    ids = [r["id"] for r in raw.select("id", "ord").join(F.broadcast(named), "id", "left_semi").orderBy("ord").collect()]
+    ids = [r["id"] for r in raw.select("id", "ord").join(named, "id", "left_semi").orderBy("ord").collect()]
     rows = [(i, g.id, g.status, g.decision_id) for g in replay(ids, log) for i in g.raw]
     folded = raw.sparkSession.createDataFrame(rows, "raw_id string, id string, status string, decision_id string")
-    others = raw.select("id").join(F.broadcast(named), "id", "left_anti")
+    others = raw.select("id").join(named, "id", "left_anti")
     return others.select(F.col("id").alias("raw_id"), "id", F.lit("raw").alias("status"), F.lit(None).cast("string").alias("decision_id")).unionByName(folded)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from quire.functions import text as T
 from quire.operators import graph, integrate, retrieval, segment
 from quire.plans import derived as D
-from quire.plans.derived import ADDRESSES_SQL, CHAPTERS, DECISIONS, EDGES, FACT, HEADED_SQL, LINES, NODES, PROMPTS_SQL, table
+from quire.plans.derived import ADDRESSES_SQL, CHAPTERS, DECISIONS, EDGES, FACT, FOLD, HEADED_SQL, LINES, NODES, PROMPTS_SQL, table
 from quire.streaming import chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,15 +573,18 @@ def manifest_stats(spark, sf_dir):
 # Integration
 
 
-@query()
+@query(f"WITH RECURSIVE {NODES}, {DECISIONS}, {FOLD} SELECT raw_id, id, status, NULL::VARCHAR AS decision_id FROM current_ids")
 def decision_fold(spark, sf_dir):
     return integrate.current_ids(D.nodes(spark, sf_dir), D.decisions(spark, sf_dir))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {NODES}, {DECISIONS}, {FOLD}, j AS (SELECT c.id, c.raw_id, c.status, n.ord, n.name, n.definition, n.category, n.textbook_id, n.page FROM current_ids c JOIN nodes n ON n.id = c.raw_id), b AS (SELECT id, string_agg(textbook_id, '；' ORDER BY o) AS textbook_id FROM (SELECT id, textbook_id, min(raw_id) AS o FROM j GROUP BY 1, 2) GROUP BY 1) SELECT j.id, arg_min(name, (length(name), raw_id)) AS name, arg_max(definition, (length(definition), -ord)) AS definition, arg_min(category, raw_id) AS category, any_value(b.textbook_id) AS textbook_id, min(coalesce(page, 0)) AS page, count(*) AS frequency, max(status) AS status, string_agg(raw_id, '|' ORDER BY raw_id) AS merged_from FROM j JOIN b USING (id) GROUP BY j.id"
+)
 def merged_node_rollup(spark, sf_dir):
     n = D.nodes(spark, sf_dir)
-    return integrate.merged_nodes(n, integrate.current_ids(n, D.decisions(spark, sf_dir)))
+    m = integrate.merged_nodes(n, integrate.current_ids(n, D.decisions(spark, sf_dir)))
+    return m.select("id", "name", "definition", "category", "textbook_id", "page", "frequency", "status", F.array_join("merged_from", "|").alias("merged_from"))
 
 
 @query(f"WITH {NODES}, {EDGES}, cur AS (SELECT id AS raw_id, first_value(id) OVER (PARTITION BY name, textbook_id ORDER BY ord) AS id FROM nodes), r AS (SELECT a.id AS source, b.id AS target, relation_type, description, ord FROM edges e JOIN cur a ON a.raw_id = e.source JOIN cur b ON b.raw_id = e.target WHERE a.id <> b.id) SELECT source, target, relation_type, description, min(ord) AS ord FROM r GROUP BY 1, 2, 3, 4")

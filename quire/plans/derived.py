@@ -125,6 +125,18 @@ DECISIONS = """decisions AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_o
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderkey, o_orderstatus, o_orderdate)"""
 
 
+#: The log folded step by step over a list of (raw id, current id, status); needs WITH RECURSIVE, NODES and DECISIONS.
+FOLD = """raws AS (SELECT list(id) AS ids FROM nodes), log AS (SELECT seq, action, list_filter(affected_nodes, lambda x: list_contains(ids, x)) AS a FROM decisions, raws), named AS (SELECT DISTINCT unnest(a) AS id FROM log),
+fold AS (SELECT 0::BIGINT AS seq, (SELECT list({'r': id, 'g': id, 's': 'raw'} ORDER BY id) FROM named) AS st UNION ALL
+  SELECT seq, CASE WHEN len(t) = 0 THEN st WHEN action = 'merge' THEN CASE WHEN len(u) < 2 THEN st ELSE list_transform(st, lambda x: CASE WHEN list_contains(t, x.g) THEN {'r': x.r, 'g': made, 's': 'merged'} ELSE x END) END
+    ELSE list_sort(list_concat(list_transform(CASE WHEN action = 'remove' THEN list_filter(st, lambda x: NOT list_contains(a, x.r)) ELSE st END, lambda x: CASE WHEN NOT list_contains(t, x.g) THEN x WHEN list_contains(a, x.r) THEN {'r': x.r, 'g': x.r, 's': 'kept'} ELSE {'r': x.r, 'g': coalesce(list_filter(rest, lambda q: q.g = x.g)[1].nm, x.r), 's': CASE WHEN list_filter(rest, lambda q: q.g = x.g)[1].nm IS NULL THEN x.s ELSE 'merged' END} END),
+      CASE WHEN action = 'keep' THEN list_transform(list_filter(a, lambda i: NOT list_contains(rs, i)), lambda i: {'r': i, 'g': i, 's': 'kept'}) ELSE [] END)) END
+  FROM (SELECT *, 'merged_' || left(sha1(array_to_string(u, '|')), 8) AS made, list_transform(t, lambda g: {'g': g, 'nm': CASE WHEN len(list_filter(tail, lambda x: x.g = g)) > 1 THEN g || '_' || left(sha1(array_to_string(list_transform(list_filter(tail, lambda x: x.g = g), lambda x: x.r), '|')), 6) END}) AS rest
+    FROM (SELECT *, list_transform(list_filter(st, lambda x: list_contains(t, x.g)), lambda x: x.r) AS u, list_filter(st, lambda x: list_contains(t, x.g) AND NOT list_contains(a, x.r)) AS tail, list_transform(st, lambda x: x.r) AS rs
+      FROM (SELECT l.seq, l.action, l.a, f.st, list_distinct(list_transform(list_filter(f.st, lambda x: list_contains(l.a, x.r)), lambda x: x.g)) AS t FROM fold f JOIN log l ON l.seq = f.seq + 1)))),
+final AS (SELECT unnest(st) AS x FROM fold WHERE seq = (SELECT max(seq) FROM decisions)),
+current_ids AS (SELECT x.r AS raw_id, x.g AS id, x.s AS status FROM final UNION ALL SELECT id, id, 'raw' FROM nodes WHERE id NOT IN (SELECT id FROM named))"""
+
 def with_(*views: str) -> str:
     return "WITH " + ", ".join(views) + " "
 

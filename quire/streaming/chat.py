@@ -196,11 +196,18 @@ def sessions(messages: DataFrame) -> DataFrame:
 
 
 def resolve_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:
-    """The request that each reply (chat_id, at, reply, index) answers: the nth open one, else the latest before it."""
-    r = requests.alias("q").join(replies.alias("a"), "chat_id").where(F.col("q.asked_at") <= F.col("a.at"))
-    w = W.partitionBy("chat_id", "a.at")
-    ranked = r.withColumn("nth", F.row_number().over(w.orderBy("q.asked_at", "q.id")) - 1).withColumn("back", F.row_number().over(w.orderBy(F.desc("q.asked_at"), F.desc("q.id"))))
-    return ranked.where(F.when(F.col("a.index").isNull(), F.col("back") == 1).otherwise(F.col("nth") == F.col("a.index"))).select("chat_id", "q.id", "a.reply", "a.at")
+    """The request that each reply (chat_id, at, reply, index) answers: the nth open one, else the latest before it.
+
+    Replies are counted into the order of their chat's requests, so that each meets one request and not all of them.
+    """
+    nth = F.row_number().over(W.partitionBy("chat_id").orderBy("asked_at", "id")) - 1
+    asked = requests.select("chat_id", "id", "asked_at").withColumn("nth", nth)
+    said = replies.select("chat_id", F.col("at").alias("t"), F.lit(1).alias("kind"), "reply", "index")
+    empty = (F.lit(None).cast(said.schema[c].dataType).alias(c) for c in ("reply", "index"))
+    marks = asked.select("chat_id", F.col("asked_at").alias("t"), F.lit(0).alias("kind"), *empty).unionByName(said)
+    order = W.partitionBy("chat_id").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    marks = marks.withColumn("before", F.sum(1 - F.col("kind")).over(order)).where("kind = 1").withColumn("nth", F.coalesce("index", F.col("before") - 1).cast("int")).where("nth < before")
+    return marks.join(asked.drop("asked_at"), ["chat_id", "nth"]).select("chat_id", "id", "reply", F.col("t").alias("at"))
 
 
 def sse_frames(raw: DataFrame, column: str = "value") -> DataFrame:

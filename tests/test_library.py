@@ -56,3 +56,11 @@ def test_own_results_count_in_compression(spark):
     d = spark.createDataFrame([(1, "merge", ["a", "b"], "n", "123"), (2, "remove", ["a"], None, None), (3, "keep", ["b", "gone"], None, None), (4, "keep", [], None, None)], "seq int, action string, affected_nodes array<string>, name string, definition string")
     got = [tuple(r) for r in library.decision_compression(d, nodes).orderBy("seq").collect()]
     assert got == [(1, 16, 3, 0.1875, True), (2, 15, 0, 0.0, True), (3, 1, 1, 1.0, False), (4, 0, 1, 1.0, False)]
+
+
+def test_keyword_search_in_blocks(spark, monkeypatch):
+    chunks = spark.createDataFrame([(k, f"w{k % 7} w{k % 3} common") for k in range(40)], "id long, text string")
+    queries = spark.createDataFrame([(k, f"w{k % 7} common other") for k in range(9)], "query_id long, query string")
+    whole = sorted(map(tuple, retrieval.bm25(queries, chunks, 4).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, retrieval.bm25(queries, chunks, 4).collect())) == whole and len(whole) == 36
