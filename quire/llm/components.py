@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import attached, checkpointed
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
+def _stars(links: DataFrame, large: bool, total: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b < a")
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = near.join(least, "a")
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    joined = attached(near, least, "a", "n", 2 * total).drop("n")
     if large:  # neighbours above a node move to the least of the node and its neighbours
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # a node and its smaller neighbours move to the least of them
@@ -23,8 +23,9 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(a, root) of every node of ``links`` (a, b): root is the smallest node of its component.
 
-    Each round is checkpointed to the shared folder; only counts come to the driver. A node that links to itself is a
-    component. The number of rounds grows with the logarithm of the nodes.
+    Each half of a round is checkpointed to the shared folder; only counts come to the driver. A node that links to itself
+    is a component. The number of rounds grows with the logarithm of the nodes. No node's links are gathered in one task,
+    however many they are.
     """
     links = checkpointed(links.select("a", "b"))  # it is read twice below
     nodes = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
@@ -35,7 +36,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        state = checkpointed(_stars(_stars(state, True), False))
+        state = checkpointed(_stars(checkpointed(_stars(state, True, mark[0])), False, mark[0]))
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(state.select("a", F.col("b").alias("root")), "a", "left").select("a", F.coalesce("root", "a").alias("root"))

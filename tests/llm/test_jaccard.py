@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quire.llm import common
 from quire.llm import jaccard as J
 from quire.llm.components import components
 
@@ -47,6 +48,7 @@ def brute(rows):
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(J, "BUCKET_BLOCK", block)
     monkeypatch.setattr(J, "GROUP_BLOCK", block)
+    monkeypatch.setattr(common, "HEAVY", 1 << 14 if block > 3 else 1)
     rows = corpus()
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, c int, root string")
     got = J.near_duplicates(df).select("doc_id", "class_id", "copy_id", "n_copies", "n_links").collect()
@@ -81,10 +83,12 @@ def test_pruning_bounds():
     assert lost <= 1
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200)]
+@pytest.mark.parametrize("heavy", [1 << 14, 4])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    links = [(i, i + 1) for i in range(40)] + [(5, 1000 + i) for i in range(60)] + [(100, 101), (103, 101), (200, 200)]
     got = {r["a"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and {got[100], got[101], got[103]} == {100} and got[200] == 200
+    assert all(got[i] == 0 for i in (*range(41), *range(1000, 1060))) and {got[100], got[101], got[103]} == {100} and got[200] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
