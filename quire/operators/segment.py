@@ -137,8 +137,7 @@ def pick_title(lines: DataFrame, doc: str = "doc") -> DataFrame:
     t = T.compact_title(F.col("line"))
     some = lines.where(T.is_document_title(F.col("line"))).select(doc, t.alias("title"), "font_size", "page", "y")
     large = some.withColumn("most", F.max("font_size").over(W.partitionBy(doc))).where("font_size >= most * 0.9")
-    han = chr(0x4E00) + "-" + chr(0x9FA5)
-    script = F.when(F.col("title").rlike(rf"^[{han}]+\z"), 0).when(F.col("title").rlike(rf"^[{han}A-Za-z]+\z"), 1).otherwise(2)
+    script = F.when(F.col("title").rlike(r"^[\u4E00-\u9FA5]+\z"), 0).when(F.col("title").rlike(r"^[\u4E00-\u9FA5A-Za-z]+\z"), 1).otherwise(2)
     return large.groupBy(doc).agg(F.min_by("title", F.struct("page", "y", script.alias("s"), F.length("title").alias("n"), "title")).alias("title"))
 
 

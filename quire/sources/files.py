@@ -188,14 +188,38 @@ def chapters(files: DataFrame) -> DataFrame:
     return segment.finalise(plain.unionByName(marked).unionByName(tables), "path")
 
 
-def pdf_chapters(items: DataFrame) -> DataFrame:
-    """Chapters of positioned text items of page files, by their headings; items come from whichever reader is at hand."""
+def page_lines(items: DataFrame) -> DataFrame:
+    """Lines (doc, page, pos, line, ...) of positioned text items, without noise and what stands at many pages' edges."""
     lines = segment.group_items(items)
     order = W.partitionBy("doc", "page").orderBy(F.desc("y"), "x")
     lines = lines.where(~T.is_noise_line(F.col("text"), F.col("page"))).withColumn("pos", F.row_number().over(order)).withColumnRenamed("text", "line")
-    often = segment.boundary_lines(lines).select("doc", F.col("line").alias("often"))
-    kept = lines.join(often, (lines["doc"] == often["doc"]) & (T.compact_title(F.col("line")) == F.col("often")), "left_anti")
-    return segment.heading_scan(kept)
+    often = segment.boundary_lines(lines).select(F.col("doc").alias("often_in"), F.col("line").alias("often"))
+    return lines.join(often, (F.col("doc") == F.col("often_in")) & (T.compact_title(F.col("line")) == F.col("often")), "left_anti")
+
+
+def pdf_chapters(items: DataFrame, outline: DataFrame | None = None) -> DataFrame:
+    """Chapters of positioned text items of page files; items come from whichever reader is at hand.
+
+    Files whose outline (doc, title, page, pages) has chapter headings are cut by their pages, the others by the headings
+    in their text.
+    """
+    kept = page_lines(items)
+    if outline is None:
+        return segment.heading_scan(kept)
+    entries = outline.where(T.is_chapter_title(F.col("title"))).withColumn("title", T.compact_title(F.col("title")))
+    ranges = segment.outline_ranges(entries, "doc", F.col("pages"))
+    body = F.array_sort(F.collect_list(F.struct("page", "pos", "line")))
+    cut = segment.in_ranges(kept, ranges).groupBy("doc", "title", "page_start", "page_end").agg(body.alias("rows"))
+    content = T.normalize_whitespace(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    number = (F.row_number().over(W.partitionBy("doc").orderBy("page_start")) - 1).cast("long")
+    found = cut.select("doc", number.alias("segment"), "title", "page_start", "page_end", content.alias("content")).where("content != ''")
+    return found.unionByName(segment.heading_scan(kept.join(entries.select("doc"), "doc", "left_anti")))
+
+
+def pdf_titles(items: DataFrame, pages: int = 15) -> DataFrame:
+    """Each page file's likely title, from the largest lines of its first pages."""
+    lines = page_lines(items).where(F.col("page") <= pages)
+    return segment.pick_title(lines.withColumn("font_size", F.col("max_font_size")))
 
 
 def parsed_books(spark: SparkSession, folder: str, prefix: str = "textbook-") -> DataFrame:

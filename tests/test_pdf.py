@@ -85,3 +85,10 @@ def test_chapters_of_a_file(spark, tmp_path):
     assert [(r["title"], r["page_start"], r["page_end"]) for r in got] == [("全文", 1, 1), ("Chapter 1 Cells", 2, 2), ("Chapter 2 Blood", 3, 3)]
     assert [(r["title"], r["page"], r["pages"]) for r in pdf.outlines(found).orderBy("page").collect()] == [("Chapter 1 Cells", 2, 3), ("Chapter 2 Blood", 3, 3)]
     assert pdf.titles(found).first()["pages"] == 3
+    assert files.pdf_titles(pdf.text_items(found)).first()["title"] == "Preface"
+    (tmp_path / "plain.pdf").write_bytes(build([page(b"Chapter 9 Alone")]))
+    both = files.read_files(spark, str(tmp_path / "*.pdf"))
+    cut = files.pdf_chapters(pdf.text_items(both), pdf.outlines(both)).orderBy("doc", "segment").collect()
+    assert [(r["doc"][-8:-4], r["title"], r["page_start"], r["page_end"], r["content"].count("Body line")) for r in cut] == [
+        ("book", "前置内容", 1, 1, 17), ("book", "Chapter 1 Cells", 2, 2, 17), ("book", "Chapter 2 Blood", 3, 3, 17), ("lain", "Chapter 9 Alone", 1, 1, 20)
+    ]
