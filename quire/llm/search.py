@@ -58,22 +58,34 @@ def summary(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Queries of one dimension, turned so that the first coordinates tell most, and their summaries."""
+    """Queries of one dimension, turned so that the first coordinates tell most, and their summaries.
+
+    Fewer queries than dimensions are not worth the turning of every vector: their dimensions are only sorted by energy.
+    """
 
     ids: np.ndarray
     values: np.ndarray
     floor: np.ndarray
-    turn: np.ndarray = field(init=False)
+    turn: np.ndarray | None = field(init=False, default=None)
+    order: np.ndarray | None = field(init=False, default=None)
     levels: list[tuple[np.ndarray, np.ndarray]] = field(init=False)
 
     def __post_init__(self) -> None:
         q = self.values.astype(float)
-        energy, turn = np.linalg.eigh(q.T @ q)
-        self.turn = turn[:, ::-1]
-        energy, turned = np.maximum(energy[::-1], 0), q @ self.turn
+        if len(q) < q.shape[1]:
+            energy = (q * q).sum(axis=0)
+            self.order = np.argsort(-energy, kind="stable")
+            energy = energy[self.order]
+        else:
+            energy, turn = np.linalg.eigh(q.T @ q)
+            energy, self.turn = np.maximum(energy[::-1], 0), turn[:, ::-1]
+        turned = self.turned(q)
         cuts = [cuts_of(energy, s) for s in LEVELS if s < q.shape[1]] + [finest(q.shape[1])]
         self.levels = [(c, summary(turned, c).astype(np.float32)) for c in cuts]
 
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return x[:, self.order] if self.turn is None else x @ self.turn
+
 
 class Search:
     """The best candidates of a block's queries so far, and counts of what each level dropped."""
@@ -94,7 +106,7 @@ class Search:
         b = self.block
         peak = float(max(np.abs(x).max(initial=0), np.abs(b.values).max(initial=0)))
         slack = 2e-6 * peak * peak * x.shape[1] + 1e-6
-        turned = x.astype(float) @ b.turn
+        turned = b.turned(x.astype(float))
         sums: list[np.ndarray | None] = [None] * len(b.levels)
         for low in range(0, len(b.ids), TILE):
             tile = slice(low, low + TILE)

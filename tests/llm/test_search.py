@@ -91,3 +91,11 @@ def test_the_query_by_brute_force(spark):
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
     fine = [(r["vec_id"], np.floor(256 * np.array(r["embedding"], float)).astype(int)) for r in rows if r["embedding"] is not None]
     assert sorted(map(tuple, Q.op5_topk(spark, folder).collect())) == brute(fine, 5, 50)
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    raw = [(i, rng.normal(size=4000).round(2).tolist()) for i in range(60)]
+    df = spark.createDataFrame(raw, "vec_id long, embedding array<double>")
+    want = brute([(i, np.floor(256 * np.array(v)).astype(int)) for i, v in raw], 5, 20)
+    assert sorted(map(tuple, S.top_k(df, F.col("vec_id") % 20 == 0).collect())) == want
