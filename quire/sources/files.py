@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from quire.functions import text as T
 from quire.operators import graph, segment
+from quire.sources import xls
 
 MOST_BYTES = 200 << 20
 #: Why a file is not read.
@@ -145,7 +146,7 @@ def xlsx_sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
 def table_rows(data: bytes, ext: str) -> list[tuple[str, list[list[str]]]]:
     if ext in (".csv", ".tsv"):
         return [("Sheet1", list(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace")), delimiter="\t" if ext == ".tsv" else ",")))]
-    return xlsx_sheets(data)
+    return xls.sheets(data) if ext == ".xls" else xlsx_sheets(data)
 
 
 def _mapped(files: DataFrame, exts: tuple[str, ...], schema: str, rows: Callable[[str, str, bytes], list[tuple]]) -> DataFrame:
@@ -166,7 +167,7 @@ def documents(files: DataFrame) -> DataFrame:
 
 def sheets(files: DataFrame) -> DataFrame:
     """Rows of workbooks and of separated text."""
-    return _mapped(files, (".xlsx", ".csv", ".tsv"), SHEET_SCHEMA, lambda path, ext, data: [(path, name, i, j, cells) for i, (name, rows) in enumerate(table_rows(data, ext)) for j, cells in enumerate(rows)])
+    return _mapped(files, (".xlsx", ".xls", ".csv", ".tsv"), SHEET_SCHEMA, lambda path, ext, data: [(path, name, i, j, cells) for i, (name, rows) in enumerate(table_rows(data, ext)) for j, cells in enumerate(rows)])
 
 
 def sheet_chapters(rows: DataFrame) -> DataFrame:
