@@ -40,15 +40,20 @@ def new_path(spark: SparkSession, what: str) -> str:
     return _MADE[-1]
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes what was written to the shared folder so far, but for the files that ``keep`` reads.
+def made_paths() -> frozenset[str]:
+    """The paths made so far and not released."""
+    return frozenset(_MADE)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, besides: frozenset[str] = frozenset()) -> None:
+    """Deletes what was written to the shared folder so far, but for the paths ``besides`` and the files that ``keep`` reads.
 
     To be called when no other result that reads those tables is still wanted.
     """
     files = keep.inputFiles() if keep is not None else []
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in list(_MADE):
-        if not any(path.rsplit("/", 1)[1] in f for f in files):
+        if path not in besides and not any(path.rsplit("/", 1)[1] in f for f in files):
             place = hadoop(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
             _MADE.remove(path)
