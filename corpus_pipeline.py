@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, jaccard, packing, pii, quality
-from quire.llm.common import free_name, release, table, written
+from quire.llm.common import free_name, made_paths, release, table, written
 from quire.llm.queries import PII_KEY, WORD_VOCABULARY
 
 
@@ -53,12 +53,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote besides its result is deleted when the result is there.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), made_paths()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage{k}")
-            release(spark, keep=docs)
+            release(spark, keep=docs, besides=others)
     return docs
 
 
