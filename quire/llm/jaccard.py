@@ -281,7 +281,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("size"))
     named = attached(named, least, "root", "size", named.count()).select("c", "class_id", "root").join(degree, "c")
     found = classes.select("c", "copy_id", "n_copies").join(named, "c", "left")
-    return signed.select("doc_id", "th", "c").join(found, "c", "left").select(
+    rows = signed.select("doc_id", "th", "c")
+    told = attached(rows.where("c is not null"), found, "c", "n_copies", rows.count())
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in found.dtypes if name != "c"]
+    return told.unionByName(rows.where("c is null").select("*", *none)).select(
         "doc_id",
         "th",
         F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"),
