@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import attached, checkpointed
 
 
+#: A checkpoint has a file for about so many links, however finely they were dealt out.
+LINKS_A_FILE = 100_000
+
+
 def _stars(links: DataFrame, large: bool, total: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b < a")
@@ -23,8 +27,8 @@ def _stars(links: DataFrame, large: bool, total: int) -> DataFrame:
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(a, root) of every node of ``links`` (a, b): root is the smallest node of its component.
 
-    Each half of a round is checkpointed to the shared folder; only counts come to the driver. A node that links to itself
-    is a component. The number of rounds grows with the logarithm of the nodes. No node's links are gathered in one task,
+    Each round is checkpointed to the shared folder; only counts come to the driver. A node that links to itself is a
+    component. The number of rounds grows with the logarithm of the nodes. No node's links are gathered in one task,
     however many they are.
     """
     links = checkpointed(links.select("a", "b"))  # it is read twice below
@@ -36,7 +40,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        state = checkpointed(_stars(checkpointed(_stars(state, True, mark[0])), False, mark[0]))
+        files = max(4, mark[0] // LINKS_A_FILE)
+        state = checkpointed(_stars(_stars(state, True, mark[0]), False, mark[0]).coalesce(files))
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(state.select("a", F.col("b").alias("root")), "a", "left").select("a", F.coalesce("root", "a").alias("root"))

@@ -173,12 +173,12 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     return base.mapInArrow(tidied(run), "doc_id long, th long, c long, sig binary")
 
 
-def _candidates(classes: DataFrame, needed: list[int]) -> DataFrame:
+def _candidates(classes: DataFrame, total: int, needed: list[int]) -> DataFrame:
     """Links (a, b) that join up all pairs of classes which share a band and survive the pruning."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = classes.select("c", F.explode(keys).alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = attached(bands, shared, "band", "n", BANDS * classes.count()).join(classes.select("c", "sig"), "c")
+    members = attached(bands, shared, "band", "n", BANDS * total).join(classes.select("c", "sig"), "c")
     dealt = _blocks(members, "band", F.col("n"), BUCKET_BLOCK).select("band", "i", "j", "own", "c", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,15 +271,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     signed = written(_signed(docs, words), "signed")
     rep = F.min(F.struct("doc_id", "th"))
     classes = written(signed.where("c is not null").groupBy("c").agg(rep.alias("rep"), F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "classes")
-    together = written(components(_candidates(classes, needed)), "together")
-    together = attached(together, together.groupBy("root").agg(F.count("*").alias("size")), "root", "size", together.count())
+    total = classes.count()
+    together = components(_candidates(classes, total, needed))
+    together = attached(together, together.groupBy("root").agg(F.count("*").alias("size")), "root", "size", total)
     members = together.withColumnRenamed("a", "c").join(classes.select("c", "rep.doc_id", "rep.th"), "c")
     links = written(_verified(docs, members, words, threshold, needed), "links")
     degree = links.groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "c")
     groups = components(links.select("a", "b")).withColumnRenamed("a", "c")
-    named = written(groups.join(classes.select("c", "copy_id"), "c"), "named")
+    named = groups.join(classes.select("c", "copy_id"), "c")
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("size"))
-    named = attached(named, least, "root", "size", named.count()).select("c", "class_id", "root").join(degree, "c")
+    named = attached(named, least, "root", "size", total).select("c", "class_id", "root").join(degree, "c")
     found = classes.select("c", "copy_id", "n_copies").join(named, "c", "left")
     rows = signed.select("doc_id", "th", "c")
     told = attached(rows.where("c is not null"), found, "c", "n_copies", rows.count())
