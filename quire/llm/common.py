@@ -97,20 +97,6 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-#: Keys with more than one part in HEAVY of all rows are joined by a broadcast; there are at most so many of them.
-HEAVY = 1 << 14
-
-
-def attached(rows: DataFrame, sums: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """``rows`` with what ``sums`` says of their key: one row a key, ``n`` of it counting the key's rows among ``total``.
-
-    Rows of a frequent key are not gathered in one task: they find it by a broadcast of bounded size.
-    """
-    often = F.col(n) > max(1, total // HEAVY)
-    heavy = F.broadcast(sums.where(often))
-    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(sums.where(~often), key))
-
-
 #: Bits of a membership map: 1024 rows of 4 KB, whatever the number of keys.
 _BITS, _ROW_BITS = 1 << 25, 1 << 15
 
