@@ -101,3 +101,20 @@ def test_candidate_blocks(spark):
     n = retrieval.prepared(D.nodes(spark, DIR).where("ord < 200"), ascii_only=True)
     plain = retrieval.rank_candidates(n.where("ord % 50 = 0"), n).collect()
     assert sorted(retrieval.rank_candidates_blocks(n.where("ord % 50 = 0"), n, block=2).collect()) == sorted(plain)
+
+
+def test_candidate_classes(spark):
+    rows = [(f"n{k:02}", k, "red ring" if k % 2 else "red rings", "a" * (k % 3), "PROMO" if k % 4 else None, "b" if k % 5 else None, "Unit 1") for k in range(60)] + [("x", 60, "", None, None, None, None)]
+    n = retrieval.prepared(spark.createDataFrame(rows, "id string, ord long, name string, definition string, category string, textbook_id string, chapter string"), ascii_only=True)
+    plain = retrieval.rank_candidates(n.where("ord % 5 = 0"), n, 7).collect()
+    for block in (3, 100):
+        found = retrieval.rank_candidates_blocks(n.where("ord % 5 = 0"), n, 7, block)
+        assert sorted(found.collect()) == sorted(plain) and len(plain) == 13 * 7
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan  # nodes that agree are scored once, not each pair
+
+
+def test_candidates_without_grams(spark):
+    rows = [("a", 0, "", None, None, None, None), ("b", 1, "", None, None, None, None)]
+    n = retrieval.prepared(spark.createDataFrame(rows, "id string, ord long, name string, definition string, category string, textbook_id string, chapter string"), ascii_only=True)
+    assert sorted(map(tuple, retrieval.rank_candidates_blocks(n, n).collect())) == sorted(map(tuple, retrieval.rank_candidates(n, n).collect()))
