@@ -27,6 +27,8 @@ OWN_DEFINITION = "%s 是跨教材整合后的知识点。"
 PLAIN_CATEGORY = "核心概念"
 SURE = {"merge": 0.82, "keep": 0.76, "remove": 0.76}
 MOST_CHECKED = 8
+#: Signs of a question that are looked through at a time.
+PIECE = 256
 
 
 def _at(v: Column, *paths: str) -> Column:
@@ -234,15 +236,25 @@ def explanation(decision_id: Column, action: Column, name: Column, reason: Colum
 def questioned(asked: DataFrame, decisions: DataFrame, nodes: DataFrame, ascii_only: bool = False) -> DataFrame:
     """The decision that each question (round, prompt) is about: the last one with a node or result named in it, else the last.
 
-    Names are compared by their keys; ``name`` is the decision's result. Questions are a teacher's few and are sent out to
-    the log. A turn that explains adds no decision; its two turns follow from ``explanation``.
+    Names are compared by their keys; ``name`` is the decision's result. Each key counts once, with its last decision, and
+    meets the equal parts of each distinct question, so that no question is compared with every decision. A turn that
+    explains adds no decision; its two turns follow from ``explanation``.
     """
-    own = decisions.select("seq", F.explode("affected_nodes").alias("id")).join(nodes.select("id", "name"), "id").select("seq", "name")
-    named = own.unionByName(decisions.select("seq", "name")).select("seq", T.match_key(F.col("name"), ascii_only).alias("key")).where("key != ''")
-    said = asked.select("round", T.match_key(F.col("prompt"), ascii_only).alias("said"))
-    met = named.join(F.broadcast(said), F.contains("said", "key")).groupBy("round").agg(F.max("seq").alias("met"))
+    keyed = nodes.select("id", T.match_key(F.col("name"), ascii_only).alias("key"))
+    own = decisions.select("seq", F.explode("affected_nodes").alias("id")).join(keyed, "id").select("seq", "key")
+    named = own.unionByName(decisions.select("seq", T.match_key(F.col("name"), ascii_only).alias("key"))).where("key != ''")
+    keys = named.groupBy("key").agg(F.max("seq").alias("seq"))
+    rounds = asked.withColumn("_said", T.match_key(F.col("prompt"), ascii_only))
+    sizes = keys.agg(F.collect_set(F.length("key")).alias("sizes"))
+    parts = rounds.select("_said").distinct().join(F.broadcast(sizes), F.lit(True)).select("_said", F.explode("sizes").alias("size")).where(F.length("_said") >= F.col("size"))
+    # pieces first, as finding a place in a text takes as long as the place is far
+    piece = F.transform(F.sequence(F.lit(0), F.floor((F.length("_said") - F.col("size")) / PIECE).cast("int")), lambda k: F.substring("_said", k * PIECE + 1, F.col("size") + PIECE - 1))
+    parts = parts.select("_said", "size", F.explode(piece).alias("piece"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1), lambda i: F.substring("piece", i, F.col("size")))
+    parts = parts.select("_said", F.explode(F.array_distinct(cut)).alias("key"))
+    met = parts.join(keys, "key").groupBy("_said").agg(F.max("seq").alias("met"))
     last = decisions.agg(F.max("seq").alias("last"))
-    chosen = asked.join(met, "round", "left").join(F.broadcast(last), F.lit(True)).withColumn("seq", F.coalesce("met", "last")).drop("met", "last")
+    chosen = rounds.join(met, "_said", "left").join(F.broadcast(last), F.lit(True)).withColumn("seq", F.coalesce("met", "last")).drop("met", "last", "_said")
     return chosen.join(decisions, "seq", "left")
 
 

@@ -93,3 +93,30 @@ def test_judge_questions_and_turns(spark):
     assert [r["e"] for r in said] == ["决策 merge_001 的动作为 merge，结果节点为“m”。理由：r1", "决策 keep_002 的动作为 keep。理由：r2"]
     none = D.questioned(spark.createDataFrame([(0, "为什么？")], "round int, prompt string"), log.where("false"), nodes)
     assert none.select(D.explanation(F.col("decision_id"), F.col("action"), F.col("name"), F.col("reason")).alias("e")).first()["e"] == D.NOTHING_DECIDED
+
+
+def test_questions_meet_parts_of_texts(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("ab c") for _ in range(n))
+    nodes = [(f"n{k}", word(r.randint(0, 7))) for k in range(60)]
+    log = [(k, [r.choice(nodes)[0] for _ in range(2)], word(9) if k % 3 == 0 else None, "keep") for k in range(80)]
+    asked = [(k, word(r.choice([0, 3, 40, 700]))) for k in range(50)]
+    key = lambda t: (t or "").replace(" ", "")
+    names = dict(nodes)
+    want = {k: max([s for s, ids, name, _ in log if any(x and x in key(t) for x in [*(key(names[i]) for i in ids), key(name)])], default=79) for k, t in asked}
+    found = D.questioned(spark.createDataFrame(asked, "round int, prompt string"), spark.createDataFrame(log, "seq int, affected_nodes array<string>, name string, action string"), spark.createDataFrame(nodes, "id string, name string"), ascii_only=True)
+    assert {x["round"]: x["seq"] for x in found.collect()} == want
+    assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()  # no question meets every decision
+
+
+def test_rounds_join_by_equality(spark, tmp_path):
+    from quire.plans import more
+
+    rows = [(k, f"p{k}", "b", "t", 1, 900.0) for k in range(24)]
+    at = str(tmp_path)
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{at}/part.parquet")
+    candidates = more._rounds(spark, at)[1]
+    assert sorted((c["round"], c["id"], c["rank"]) for c in candidates.collect()) == sorted((k, f"n{k + j}", j) for k in (0, 10, 20) for j in (1, 2))
+    assert "NestedLoop" not in candidates._jdf.queryExecution().executedPlan().toString()
