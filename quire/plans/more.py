@@ -196,10 +196,9 @@ def stored_status(spark, sf_dir):
 def _rounds(spark, sf_dir):
     """A round for every part whose key is divisible by 10; the two parts after it are its candidates."""
     n = D.nodes(spark, sf_dir).select("id", "ord", "name")
-    t = n.where("ord % 10 = 0").alias("t")
-    near = n.alias("c")
-    c = t.join(near, (F.col("c.ord") == F.col("t.ord") + 1) | (F.col("c.ord") == F.col("t.ord") + 2))
-    candidates = c.select(F.col("t.ord").alias("round"), F.col("c.id").alias("id"), (F.col("c.ord") - F.col("t.ord")).alias("rank"), F.when(F.col("t.ord") % 3 == 0, 0.7).otherwise(0.75).alias("score"))
+    near = n.where("ord % 10 = 0").select(F.col("ord").alias("round"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    c = near.join(n.select("id", "ord"), F.col("ord") == F.col("round") + F.col("rank"))
+    candidates = c.select("round", "id", "rank", F.when(F.col("round") % 3 == 0, 0.7).otherwise(0.75).alias("score"))
     second = n.select((F.col("ord") - 2).alias("ord"), F.col("name").alias("second"), F.col("id").alias("second_id"))
     r = n.where("ord % 10 = 0").join(second, "ord")
     k = F.col("ord") / 10 % 5
