@@ -168,3 +168,22 @@ def test_view_graph(spark):
     assert graph.visual_edges(e).first()["derived"]
     assert rows(graph.neighbourhood(e, n, F.col("id") == "a"), "id") == [("a",), ("b",)]
     assert graph.knowledge(n).count() == 1 and graph.knowledge(n.where("id = 'a'")).count() == 1
+
+
+def test_replay_is_the_fold_step_by_step():
+    import random
+    import time
+
+    for seed in range(60):
+        r = random.Random(seed)
+        ids = [f"n{k}" for k in range(r.randint(1, 12))]
+        log = [{"action": r.choice(["merge", "merge", "keep", "remove"]), "affected_nodes": [r.choice([*ids, "no"]) for _ in range(r.randint(0, 4))], "decision_id": f"d{k}", "result_node": r.choice([None, None, f"m{k}"]), "result_node_detail": {"k": k}} for k in range(r.randint(0, 40))]
+        groups = [integrate.Group(i, (i,)) for i in ids]
+        for d in log:
+            groups = integrate.apply_decision(groups, d, set(ids))
+        key = lambda g: g.raw
+        assert sorted(integrate.replay(ids, log), key=key) == sorted(groups, key=key)
+    many = [f"n{k}" for k in range(40_000)]
+    start = time.time()
+    (one,) = integrate.replay(many, ({"action": "merge", "affected_nodes": [many[0], i]} for i in many[1:]))
+    assert len(one.raw) == len(many) and time.time() - start < 20  # minutes where each step lists the whole group
