@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,11 +29,17 @@ def _rolled(docs: DataFrame, key: str, text: str, opens: Callable[[Column], Colu
     at = F.filter(F.transform("lines", lambda line, i: F.when(opens(line), i + 1)), lambda i: i.isNotNull())
     marked = lined.withColumn("at", at)
     ends = F.concat("at", F.array(F.size("lines") + 1))
-    cut = marked.withColumn("spans", F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("at")).alias("low"), ends.alias("high")))
-    cut = cut.select(key, "lines", F.posexplode("spans").alias("segment", "span"))
-    content = T.normalize_whitespace(F.array_join(F.slice("lines", F.col("span.low") + 1, F.col("span.high") - F.col("span.low") - 1), "\n"))
-    head = F.when(F.col("span.low") > 0, title(F.element_at("lines", F.greatest(F.col("span.low"), F.lit(1)))))
-    return cut.select(key, "segment", head.alias("title"), content.alias("content")).where("content != ''")
+    spans = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("at")).alias("low"), ends.alias("high"))
+
+    def cut(span: Column, segment: Column) -> Column:
+        low = span["low"]
+        content = T.normalize_whitespace(F.array_join(F.slice("lines", low + 1, span["high"] - low - 1), "\n"))
+        head = F.when(low > 0, title(F.element_at("lines", F.greatest(low, F.lit(1)))))
+        return F.struct(segment.alias("segment"), head.alias("title"), content.alias("content"))
+
+    # cut inside the row: a row per span would take all lines along, and a filter on contents would make them twice
+    filled = F.filter(F.transform(spans, cut), lambda s: s["content"] != "")
+    return marked.select(key, F.inline(filled))
 
 
 def split_text(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -66,13 +75,14 @@ def finalise(chapters: DataFrame, key: str) -> DataFrame:
     nth = F.sum(plain.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     title = F.when(plain & (nth == 1), "前置内容").when(plain, F.concat(F.lit("前置内容 "), nth.cast("string"))).otherwise(F.col("title"))
     number = F.row_number().over(order)
+    chapters = chapters.withColumn("char_count", T.count_chars(F.col("content")))  # before rows are ordered: who drops contents orders none
     return chapters.select(
         key,
         F.concat(F.lit("ch_"), F.when(number < 100, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))).alias("chapter_id"),
         number.alias("chapter_idx"),
         T.compact_title(title).alias("title"),
         "content",
-        T.count_chars(F.col("content")).alias("char_count"),
+        "char_count",
     )
 
 
@@ -141,18 +151,30 @@ def pick_title(lines: DataFrame, doc: str = "doc") -> DataFrame:
     return large.groupBy(doc).agg(F.min_by("title", F.struct("page", "y", script.alias("s"), F.length("title").alias("n"), "title")).alias("title"))
 
 
-def _group_lines(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Items of one page as lines: each joins the first line within reach of its height; a gap becomes a blank."""
+def _group_lines(doc: str, page: int, rows: list[tuple]) -> list[tuple]:
+    """Items of one page, in order, as lines: each joins the first line within reach of its height; a gap becomes a blank.
+
+    Lines are looked up by height: they stand more than 2 apart, so few are within reach.
+    """
     lines: list[tuple[float, list]] = []
-    for r in pdf.sort_values("ord").itertuples():
-        if not (r.str or "").strip():
+    heights: list[tuple[float, int]] = []
+    for said, x, y, width, font_name, font_size in rows:
+        if not (said or "").strip():
             continue
-        size = r.font_size or 10.0
-        home = next((g for y, g in lines if abs(y - r.y) <= max(2.0, size * 0.35)), None)
-        if home is None:
-            home = []
-            lines.append((r.y, home))
-        home.append((r.x, r.str, max(0.0, r.width or 0.0), size, r.font_name or "", r.y))
+        size = font_size or 10.0
+        x, y, size, width = (math.nan if v is None else v for v in (x, y, size, width))
+        reach = max(2.0, size * 0.35)
+        first, k = None, bisect.bisect_left(heights, (y - reach * 1.001 - 1e-9 * abs(y), -1))
+        while k < len(heights) and heights[k][0] <= y + reach * 1.001 + 1e-9 * abs(y):
+            if abs(heights[k][0] - y) <= reach and (first is None or heights[k][1] < first):
+                first = heights[k][1]
+            k += 1
+        if first is None:
+            first = len(lines)
+            lines.append((y, []))
+            if not math.isnan(y):
+                bisect.insort(heights, (y, first))
+        lines[first][1].append((x, said, max(0.0, width or 0.0), size, font_name or "", y))
     out = []
     for _, items in lines:
         items = sorted(items, key=lambda i: i[0])
@@ -165,14 +187,41 @@ def _group_lines(pdf: pd.DataFrame) -> pd.DataFrame:
             weighted += size * max(1, len(word))
             total += max(1, len(word))
         bold = any(re.search(BOLD, i[4]) for i in items)
-        out.append((pdf["doc"].iloc[0], int(pdf["page"].iloc[0]), " ".join(said.split()), items[0][0], items[0][5], weighted / total, max(i[3] for i in items), bold))
+        out.append((doc, page, " ".join(said.split()), items[0][0], items[0][5], weighted / total, max(i[3] for i in items), bold))
     out.sort(key=lambda r: (-r[4], r[3]))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in LINE_SCHEMA.split(", ")])
+    return out
 
 
 def group_items(items: DataFrame) -> DataFrame:
-    """Lines of positioned text items (doc, page, ord, str, x, y, width, font_name, font_size), page by page."""
-    return items.groupBy("doc", "page").applyInPandas(_group_lines, LINE_SCHEMA)
+    """Lines of positioned text items (doc, page, ord, str, x, y, width, font_name, font_size), page by page.
+
+    Pages are told apart as sorted rows go by, so that a page costs its items and no call of its own.
+    """
+    names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.string(), *[pa.float64()] * 4, pa.bool_()]
+
+    def told(lines: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, [], []
+        for batch in batches:
+            for doc, page, *item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, page) != at:
+                    out += _group_lines(*at, held) if held else []
+                    at, held = (doc, page), []
+                    if len(out) >= 10_000:
+                        yield told(out)
+                        out = []
+                held.append(item)
+        out += _group_lines(*at, held) if held else []
+        if out:
+            yield told(out)
+
+    number = lambda c: F.col(c).cast("double").alias(c)
+    rows = items.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("int").alias("page"), "str", number("x"), number("y"), number("width"), "font_name", number("font_size"), "ord")
+    dealt = rows.repartition("doc", "page").sortWithinPartitions("doc", "page", "ord").drop("ord")
+    return dealt.mapInArrow(run, LINE_SCHEMA)
 
 
 def recursive_chunks(text: str, size: int = 700, overlap: int = 80, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
