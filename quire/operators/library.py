@@ -22,8 +22,7 @@ def _at(row: Column, *names: str) -> Column:
 
 def _said(row: Column, *names: str) -> Column:
     """The same as compact text; null where it is missing."""
-    said = F.try_variant_get(_at(row, *names), "$", "string")
-    return F.when(said.isNotNull(), T.compact_text(said))
+    return F.trim(T.fold(F.coalesce(*(F.try_variant_get(row, f"$.{n}", "string") for n in names))))
 
 
 def _listed(row: Column, name: str) -> Column:
@@ -104,8 +103,10 @@ def normalised_sides(rows: DataFrame, ascii_only: bool = False) -> DataFrame:
     made = F.concat(T.safe_id(F.regexp_replace("file", r"\.json$", ""), "side", ascii_only=ascii_only), F.lit("_edge_"), _padded(F.col("pos") + 1))
     empty = lambda *names: F.coalesce(_said(row, *names), F.lit(""))
     marks = (F.try_variant_get(row, f"$.{n}", "boolean").alias(n) for n in ("derived", "fact_eligible"))
-    out = rows.select("file", "pos", F.coalesce(_said(row, "id", "edge_id"), made).alias("id"), empty("source").alias("source"), empty("target").alias("target"), F.coalesce(_said(row, "relation_type", "type"), F.lit(PLAIN_TYPE)).alias("relation_type"), empty("description", "reason").alias("description"), *marks)
-    return out.where("source != '' and target != ''")
+    side = F.struct("file", "pos", F.coalesce(_said(row, "id", "edge_id"), made).alias("id"), empty("source").alias("source"), empty("target").alias("target"), F.coalesce(_said(row, "relation_type", "type"), F.lit(PLAIN_TYPE)).alias("relation_type"), empty("description", "reason").alias("description"), *marks)
+    # inside an array, as a filter on columns would be worked out before them, row parsed anew and all
+    ended = F.filter(F.array(side), lambda s: (s["source"] != "") & (s["target"] != ""))
+    return rows.select(F.inline(ended))
 
 
 def source_graph(node_rows: DataFrame, side_rows: DataFrame, ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -198,8 +199,9 @@ def of_type(edges: DataFrame, relation_type: str | None) -> DataFrame:
 
 
 def book_summary(chapters: DataFrame, *keys: str) -> DataFrame:
-    """Each book's chapters in order, with the beginning of each, and its length."""
-    one = F.struct("chapter_idx", "chapter_id", F.col("chapter_title").alias("title"), "page_start", "page_end", "char_count", T.preview(F.col("content"), 120).alias("preview"))
+    """Each book's chapters in order, with the beginning of each (``preview`` where chapters have it), and its length."""
+    preview = F.col("preview") if "preview" in chapters.columns else T.preview(F.col("content"), 120)
+    one = F.struct("chapter_idx", "chapter_id", F.col("chapter_title").alias("title"), "page_start", "page_end", "char_count", preview.alias("preview"))
     return chapters.groupBy(*keys).agg(F.sum("char_count").cast("long").alias("total_chars"), F.count("*").alias("chapter_count"), F.array_sort(F.collect_list(one)).alias("chapters"))
 
 

@@ -131,7 +131,7 @@ def edges_of_type(spark, sf_dir):
 
 @query(f"WITH {CHAPTERS}, p AS (SELECT *, CASE WHEN length({COMPACT.format('content')}) > 120 THEN left({COMPACT.format('content')}, 120) || '...' ELSE {COMPACT.format('content')} END AS preview FROM chapters) SELECT textbook_id, sum(char_count)::BIGINT AS total_chars, count(*) AS chapter_count, md5(string_agg(chapter_id || preview || page_end, '|' ORDER BY chapter_idx)) AS digest FROM p GROUP BY 1")
 def book_summaries(spark, sf_dir):
-    s = library.book_summary(D.chapters(spark, sf_dir), "textbook_id")
+    s = library.book_summary(D.chapters(spark, sf_dir, preview=T.preview(F.col("text"), 120)), "textbook_id")
     said = F.array_join(F.transform("chapters", lambda c: F.concat(c["chapter_id"], c["preview"], c["page_end"].cast("string"))), "|")
     return s.select("textbook_id", "total_chars", "chapter_count", F.md5(said.cast("binary")).alias("digest"))
 
@@ -417,7 +417,7 @@ _MARKED_TEXT = "'intro ' || lang || chr(10) || '# Book ' || source || chr(10) ||
     f"WITH w AS (SELECT doc_id, string_split({WHITE.format(_MARKED_TEXT)}, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM w), m AS (SELECT *, length(regexp_extract(line, '^(#{{1,3}})\\s+\\S', 1)) AS level, {TITLE.format("regexp_extract(line, '^#{1,3}\\s+(.+?)\\s*$', 1)")} AS t FROM l), h AS (SELECT *, CASE WHEN level > 0 AND (level <= 2 OR {_IS_HEADING}) THEN t END AS heading FROM m), g AS (SELECT *, count(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM h), s AS (SELECT doc_id, seg, max(heading) AS title, string_agg(line, chr(10) ORDER BY pos) FILTER (heading IS NULL) AS body FROM g GROUP BY 1, 2), c AS (SELECT doc_id, seg, coalesce(title, '全文') AS title, {WHITE.format("coalesce(body, '')")} AS content FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seg) AS n FROM c WHERE content <> '') SELECT doc_id, 'ch_' || lpad(CAST(n AS VARCHAR), 2, '0') AS chapter_id, CASE WHEN title = '全文' THEN '前置内容' ELSE title END AS title, length(content) AS char_count FROM k"
 )
 def markdown_chapters(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = D.dealt(spark, sf_dir, "documents")
     text = F.concat(F.lit("intro "), "lang", F.lit("\n# Book "), "source", F.lit("\n"), "text", F.lit("\n## Part 12\n### Deep part\n### 第三章 血液\nlast\n#nothing"))
     return segment.finalise(segment.split_markdown(d.select("doc_id", text.alias("text")), "doc_id"), "doc_id").select("doc_id", "chapter_id", "title", F.col("char_count").cast("long").alias("char_count"))
 
