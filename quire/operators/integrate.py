@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quire.functions import text as T
-from quire.operators.graph import first_wins, is_fact, ordered_set
+from quire.operators.graph import is_fact, ordered_set
 
 ACTIONS = ("merge", "keep", "remove")
 TARGET_RATIO = 0.3
@@ -207,12 +207,45 @@ def merged_nodes(raw: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+EDGE = ("source", "target", "relation_type", "description")
+
+
+def _moved(edges: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Edges with new_source and new_target, and whatever else ``ids`` (raw_id, id) tell of an end.
+
+    Edges are far more than nodes: the ids of a partition are hashed, so that edges need not be sorted by their ends.
+    """
+    for end in ("source", "target"):
+        told = ids.select(F.col("raw_id").alias("_raw"), *(F.col(c).alias(f"new_{end}" if c == "id" else f"{c}_{end}") for c in ids.columns if c != "raw_id"))
+        edges = edges.join(told.hint("shuffle_hash"), F.col(end) == F.col("_raw"), how).drop("_raw")
+    return edges
+
+
 def rewrite_edges(edges: DataFrame, current: DataFrame) -> DataFrame:
-    """Edges between current nodes: ends moved, loops and lost ends dropped, the first of equal edges kept and numbered."""
-    ids = current.select("raw_id", "id")
-    e = edges.join(ids.toDF("source", "new_source"), "source").join(ids.toDF("target", "new_target"), "target").where("new_source != new_target")
-    e = e.drop("source", "target").withColumnRenamed("new_source", "source").withColumnRenamed("new_target", "target")
-    return first_wins(e, ["source", "target", "relation_type", "description"], "ord")
+    """Edges between current nodes: ends moved, loops and lost ends dropped, the first of equal edges kept and numbered.
+
+    Equal edges are grouped, not ordered, and columns that nobody reads are not carried.
+    """
+    e = _moved(edges, current.select("raw_id", "id"), "inner").where("new_source != new_target").drop("source", "target")
+    e = e.withColumnRenamed("new_source", "source").withColumnRenamed("new_target", "target")
+    place = F.struct(F.col("ord").isNull(), "ord")
+    rest = [F.min("ord").alias("ord") if c == "ord" else F.min_by(c, place).alias(c) for c in e.columns if c not in EDGE]
+    return e.groupBy(*EDGE).agg(*rest).select(*e.columns)
+
+
+def edge_counts(edges: DataFrame, current: DataFrame) -> DataFrame:
+    """edges_before, and edges_after as rewrite_edges leaves them, from one pass over the edges.
+
+    An edge that goes stays with empty keys, to be counted before; of an id that ``current`` lists twice only the first
+    counts there. These are found in a shuffle of their own (hence the length), so that adaptive execution can still split
+    the edges of a frequent end.
+    """
+    first = F.row_number().over(W.partitionBy("raw_id", F.length("raw_id")).orderBy("id")) == 1
+    e = _moved(edges, current.select("raw_id", "id", first.cast("int").alias("_n")), "left")
+    stays = F.col("new_source") != F.col("new_target")
+    keys = [F.when(stays, F.col(f"new_{c}" if c in ("source", "target") else c)).alias(c) for c in EDGE]
+    n = F.coalesce("_n_source", F.lit(1)) * F.coalesce("_n_target", F.lit(1))
+    return e.select(*keys, n.alias("n")).groupBy(*EDGE).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges_before"), F.count("source").alias("edges_after"))
 
 
 def resolve_ends(edges: DataFrame, raw: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -235,17 +268,27 @@ def integrated_chars(definition: Column, name: Column) -> Column:
     return F.greatest(F.lit(1), T.count_chars(T.compact_text(F.coalesce(definition, name)))).cast("long")
 
 
-def compression(raw: DataFrame, current: DataFrame, book_chars: DataFrame | None = None) -> DataFrame:
-    """Characters before and after integration, their ratio and whether it meets the target."""
+def _before(raw: DataFrame, *more: Column) -> DataFrame:
     none = F.array().cast("array<string>")
-    before = raw.agg(F.sum(raw_chars(F.col("definition"), none, F.col("name"))).alias("nodes_chars"))
-    parsed = (book_chars or raw.sparkSession.range(0).select(F.col("id").alias("total_chars"))).agg(F.coalesce(F.sum("total_chars"), F.lit(0)).alias("parsed"))
-    after = current.agg(F.sum(integrated_chars(F.col("definition"), F.col("name"))).alias("integrated_chars"))
-    one = before.join(parsed, F.lit(True)).join(after, F.lit(True))
+    return raw.agg(F.sum(raw_chars(F.col("definition"), none, F.col("name"))).alias("nodes_chars"), *more)
+
+
+def _after(current: DataFrame, *more: Column) -> DataFrame:
+    return current.agg(F.sum(integrated_chars(F.col("definition"), F.col("name"))).alias("integrated_chars"), *more)
+
+
+def _told(one: DataFrame, book_chars: DataFrame | None, *more: str) -> DataFrame:
+    """Compression from one row with nodes_chars and integrated_chars, after its columns ``more``."""
+    parsed = (book_chars or one.sparkSession.range(0).select(F.col("id").alias("total_chars"))).agg(F.coalesce(F.sum("total_chars"), F.lit(0)).alias("parsed"))
     original = F.when(F.col("parsed") > 0, F.col("parsed")).otherwise(F.col("nodes_chars"))
     ratio = F.col("integrated_chars") / F.greatest(F.lit(1), original)
     source = F.when(F.col("parsed") > 0, "parsed_textbook_total_chars").otherwise("node_content_fallback")
-    return one.select(original.cast("long").alias("original_chars"), F.col("integrated_chars").cast("long").alias("integrated_chars"), F.round(ratio, 4).alias("ratio"), (ratio <= TARGET_RATIO).alias("target_met"), source.alias("source"))
+    return one.join(parsed, F.lit(True)).select(*more, original.cast("long").alias("original_chars"), F.col("integrated_chars").cast("long").alias("integrated_chars"), F.round(ratio, 4).alias("ratio"), (ratio <= TARGET_RATIO).alias("target_met"), source.alias("source"))
+
+
+def compression(raw: DataFrame, current: DataFrame, book_chars: DataFrame | None = None) -> DataFrame:
+    """Characters before and after integration, their ratio and whether it meets the target."""
+    return _told(_before(raw).join(_after(current), F.lit(True)), book_chars)
 
 
 def action_counts(decisions: DataFrame) -> DataFrame:
@@ -259,21 +302,23 @@ def remaining(raw: DataFrame, decisions: DataFrame) -> DataFrame:
     return raw.agg(F.count("*").alias("raw")).join(named, F.lit(True)).select("raw", "processed", left.cast("long").alias("remaining"), (left > 0).alias("should_continue"))
 
 
-def comparison(raw: DataFrame, edges: DataFrame, current: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """Nodes and edges before and after."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    nodes = current.agg(F.count_distinct("id").alias("nodes_after"))
-    return count(raw, "nodes_before").join(count(edges, "edges_before"), F.lit(True)).join(nodes, F.lit(True)).join(count(new_edges, "edges_after"), F.lit(True))
+def comparison(raw: DataFrame, edges: DataFrame, current: DataFrame) -> DataFrame:
+    """Nodes and edges before and after; ``current`` tells the id of each raw node that is left."""
+    nodes = raw.agg(F.count("*").alias("nodes_before")).join(current.agg(F.count_distinct("id").alias("nodes_after")), F.lit(True))
+    return nodes.join(edge_counts(edges, current), F.lit(True)).select("nodes_before", "edges_before", "nodes_after", "edges_after")
 
 
-def graph_summary(raw: DataFrame, edges: DataFrame, current: DataFrame, new_edges: DataFrame, decisions: DataFrame, book_chars: DataFrame | None = None) -> DataFrame:
+def graph_summary(raw: DataFrame, edges: DataFrame, merged: DataFrame, current: DataFrame, decisions: DataFrame, book_chars: DataFrame | None = None) -> DataFrame:
     """One row with all that is told of an integrated graph: before and after, compression, and the log's actions.
 
-    ``current`` are the merged nodes (id, name, definition, frequency); raw nodes that none of them stands for are removed.
+    ``merged`` are the merged nodes (id, name, definition, frequency), a row an id; raw nodes that none of them stands for
+    are removed. ``current`` tells the id of each raw node. Nodes are read once before and once after, edges once;
+    ``decisions`` needs its actions only.
     """
-    whole = comparison(raw, edges, current, new_edges).join(compression(raw, current, book_chars), F.lit(True)).join(action_counts(decisions), F.lit(True))
-    kept = current.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("_kept"))
-    return whole.join(kept, F.lit(True)).withColumn("removed", F.greatest(F.lit(0), F.col("nodes_before") - F.col("_kept")).cast("long")).drop("_kept")
+    nodes = _before(raw, F.count("*").alias("nodes_before")).join(_after(merged, F.count("id").alias("nodes_after"), F.coalesce(F.sum("frequency"), F.lit(0)).alias("_kept")), F.lit(True))
+    one = nodes.join(edge_counts(edges, current), F.lit(True))
+    told = _told(one, book_chars, "nodes_before", "edges_before", "nodes_after", "edges_after", "_kept").join(action_counts(decisions), F.lit(True))
+    return told.withColumn("removed", F.greatest(F.lit(0), F.col("nodes_before") - F.col("_kept")).cast("long")).drop("_kept")
 
 
 def decision_ids(decisions: DataFrame, placed: bool = False) -> DataFrame:

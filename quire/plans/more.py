@@ -252,14 +252,14 @@ def questioned_decisions(spark, sf_dir):
 )
 def graph_summary(spark, sf_dir):
     n, e = D.nodes(spark, sf_dir), D.edges(spark, sf_dir)
-    current = n.select(F.col("id").alias("raw_id"), F.min("id").over(W.partitionBy("name")).alias("id"), F.lit("merged").alias("status"))
-    return integrate.graph_summary(n, e, integrate.merged_nodes(n, current), integrate.rewrite_edges(e, current), D.decisions(spark, sf_dir))
+    current = D.same_name(n).withColumn("status", F.lit("merged"))
+    return integrate.graph_summary(n, e, integrate.merged_nodes(n, current), current, D.actions(spark, sf_dir))
 
 
 @query(f"WITH {NODES} SELECT min(id) AS id, count(*) AS frequency, string_agg(DISTINCT category, '|' ORDER BY category) AS categories, len(list_distinct(list(chapter))) AS chapters, md5(string_agg(id, ',' ORDER BY id)) AS merged_from FROM nodes GROUP BY name")
 def merged_lists(spark, sf_dir):
     n = D.nodes(spark, sf_dir)
-    current = n.select(F.col("id").alias("raw_id"), F.min("id").over(W.partitionBy("name")).alias("id"), F.lit("merged").alias("status"))
+    current = D.same_name(n).withColumn("status", F.lit("merged"))
     m = integrate.merged_nodes(n, current)
     return m.select("id", "frequency", F.array_join(F.array_sort("categories"), "|").alias("categories"), F.size("chapters").cast("long").alias("chapters"), F.md5(F.array_join("merged_from", ",").cast("binary")).alias("merged_from"))
 

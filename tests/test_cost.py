@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import library, retrieval, segment
+from quire.operators import integrate, library, retrieval, segment
+from quire.plans import catalog, more
 from quire.plans import derived as D
 
 DOCS = [(k, "\n".join(f"Chapter {i} x\n the  red {k} ring {i}" for i in range(4)), "en", f"s{k % 2}", 100) for k in range(9)]
@@ -85,3 +86,52 @@ def test_sides_are_parsed_once(spark):
     sides = library.normalised_sides(rows.select(F.lit("f.json").alias("file"), "pos", F.parse_json("t").alias("row")), ascii_only=True)
     assert [(r["pos"], r["source"], r["target"], r["id"]) for r in sides.collect()] == [(0, "a", "b", "f_edge_001")]
     assert plan(sides).lower().count("parse") <= 1 or "Filter" not in plan(sides)
+
+
+IDS = [("a", "a"), ("b", "a"), ("c", "c"), ("c", "x"), ("d", "d"), (None, "n")]
+ENDS = [("a", "c"), ("b", "c"), ("a", "b"), ("c", "c"), ("c", "c"), ("d", "gone"), ("d", None), ("d", "a"), (None, "a"), ("gone", "gone")]
+
+
+def edges_and_ids(spark, times=1):
+    rows = [(f"e{k}", k, s, t, "contains", None) for k, (s, t) in enumerate(ENDS * times)]
+    e = spark.createDataFrame(rows, "id string, ord long, source string, target string, relation_type string, description string")
+    return e, spark.createDataFrame(IDS, "raw_id string, id string")
+
+
+def test_edges_are_counted_in_one_pass(spark):
+    e, ids = edges_and_ids(spark)
+    after = {(x, y, 0 if x == "a" else 7) for x, y in (("a", "c"), ("a", "x"), ("d", "a"))} | {("c", "x", 3), ("x", "c", 3)}
+    kept = integrate.rewrite_edges(e, ids)
+    assert {(r["source"], r["target"], r["ord"]) for r in kept.collect()} == after and kept.columns == ["id", "ord", "relation_type", "description", "source", "target"]
+    assert {r["id"] for r in kept.collect()} == {"e0", "e3", "e7"}
+    raw = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [tuple(r) for r in integrate.comparison(raw, e, ids).collect()] == [(2, len(ENDS), 5, len(after))]
+    assert tuple(integrate.edge_counts(e.limit(0), ids).first()) == (0, 0) and tuple(integrate.edge_counts(e, ids.limit(0)).first()) == (len(ENDS), 0)
+    assert "Window" not in plan(kept)
+
+
+def test_frequent_ends_are_split(spark):
+    e, ids = edges_and_ids(spark, 3000)
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        counted = integrate.edge_counts(e.repartition(8), ids)
+        assert tuple(counted.collect()[0]) == (3000 * len(ENDS), 5)
+        assert "ShuffledHashJoin(skew=true)" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_summary_reads_lines_twice(spark):
+    here = "/root/testdata/sf0.001"
+    read = lambda df, column: sum("Relation [" in x and column in x for x in plan(df).splitlines())
+    for query, times in ((more.graph_summary, 2), (catalog.before_after, 1), (catalog.action_counts, 1), (catalog.remaining_nodes, 1)):
+        assert read(query(spark, here), "l_orderkey") == times
+    assert "Window" not in plan(catalog.action_counts(spark, here)) and "Window" not in plan(catalog.merged_by_name(spark, here))
+
+
+def test_names_are_looked_up(spark):
+    n = spark.createDataFrame([("n2", "x"), ("n1", "x"), ("n4", None), ("n3", None), ("n5", "y")], "id string, name string")
+    assert sorted(tuple(r) for r in D.same_name(n).collect()) == [("n1", "n1"), ("n2", "n1"), ("n3", "n3"), ("n4", "n3"), ("n5", "n5")]
